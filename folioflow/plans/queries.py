@@ -1,0 +1,575 @@
+"""Queries over whole tables, one or more an operator, each with its SQL for an independent engine."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from folioflow.functions import scan as sc
+from folioflow.functions import text as tx
+from folioflow.functions import titles as ti
+from folioflow.operators import hierarchy as hi
+from folioflow.operators import links as li
+from folioflow.operators import merging as me
+from folioflow.operators import numbering as nu
+from folioflow.session import first_delivery, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+# SQL fragments for the other engine: its patterns know no Unicode classes and no look-around.
+WS = r"[\s\x0b\x{85}\p{Z}]"
+PAGES = "(SELECT * FROM page_out QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY row_id) = 1)"
+DOCS = "(SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _safe(x: str) -> str:
+    a = f"regexp_replace(coalesce({x}, ''), '[\\\\/:*?\"<>|\\x00-\\x1f]+', ' ', 'g')"
+    b = f"regexp_replace(regexp_replace({_strip(a)}, '\\.+$', ''), '{WS}+', ' ', 'g')"
+    return f"coalesce(nullif(regexp_replace(substring({b}, 1, 80), '{WS}+$', ''), ''), 'Untitled')"
+
+
+def _dir(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '[^/]*$', ''), '/$', '')"
+
+
+def _name(x: str) -> str:
+    return f"split_part({x}, '/', -1)"
+
+
+def _norm(x: str) -> str:
+    return f"regexp_replace(lower({x}), '[^0-9a-z]', '', 'g')"
+
+
+def _stripnum(x: str) -> str:
+    return f"coalesce(nullif(regexp_extract({_name(x)}, '(?i)^(\\d+) - (.+)\\.md$', 2), ''), regexp_replace({_name(x)}, '\\.[^.]*$', ''))"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that gives the same rows elsewhere."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return first_delivery(table(spark, sf_dir, "page_out"), *columns)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"\r\n?", "\n"))
+
+
+# ---------------------------------------------------------------- indexes and statistics
+@query(f"""SELECT page_id, notebook, section, idx, printf('%02d', idx) || ' - ' || {_safe('title')} || '.md' AS file_name,
+  repeat('&nbsp;&nbsp;&nbsp;', level - 1) || '[' || coalesce(title, 'Untitled page') || '](' ||
+  replace(replace(replace(replace(replace(replace(replace(replace(printf('%02d', idx) || ' - ' || {_safe('title')} || '.md', '%', '%25'), ' ', '%20'), '(', '%28'), ')', '%29'), '<', '%3C'), '>', '%3E'), '#', '%23'), '?', '%3F') || ')' AS entry,
+  level, coalesce(created, '') AS created, coalesce(modified, '') AS modified, paragraphs, text_chars FROM {PAGES} WHERE NOT is_version""")
+def page_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Section index rows: file name, linked title with its indent, dates and sizes of every current page."""
+    p = _pages(spark, sf_dir, "notebook", "section", "idx", "title", "level", "created", "modified", "paragraphs", "text_chars", "is_version").where("not is_version")
+    file = F.concat(F.format_string("%02d", "idx"), F.lit(" - "), tx.safe_name("title"), F.lit(".md"))
+    entry = F.concat(F.expr("repeat('&nbsp;&nbsp;&nbsp;', level - 1)"), F.lit("["), F.coalesce("title", F.lit("Untitled page")), F.lit("]("), tx.md_path(file), F.lit(")"))
+    return p.select("page_id", "notebook", "section", "idx", file.alias("file_name"), entry.alias("entry"), "level", F.coalesce("created", F.lit("")).alias("created"), F.coalesce("modified", F.lit("")).alias("modified"), "paragraphs", "text_chars")
+
+
+@query(f"""SELECT notebook, coalesce(grp, '') AS grp, section, count(*) FILTER (NOT is_version) AS pages, count(*) FILTER (is_version) AS versions,
+  sum(text_chars) AS chars, sum(paragraphs) AS paragraphs, sum(coalesce(len(warnings), 0)) AS n_warnings FROM {PAGES} GROUP BY ALL""")
+def section_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "notebook", "grp", "section", "is_version", "text_chars", "paragraphs", "warnings")
+    return p.groupBy("notebook", F.coalesce("grp", F.lit("")).alias("grp"), "section").agg(
+        F.count_if(~F.col("is_version")).alias("pages"), F.count_if("is_version").alias("versions"), F.sum("text_chars").alias("chars"), F.sum("paragraphs").alias("paragraphs"),
+        F.sum(F.when(F.col("warnings").isNotNull(), F.size("warnings")).otherwise(0)).alias("n_warnings"))
+
+
+@query(f"""SELECT notebook, count(DISTINCT (coalesce(grp, ''), section)) AS sections, count(*) AS pages, sum(text_chars) AS chars,
+  round(avg(paragraphs), 4) AS avg_paragraphs, grouping(notebook) AS is_total FROM {PAGES} GROUP BY ROLLUP (notebook)""")
+def notebook_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "notebook", "grp", "section", "text_chars", "paragraphs")
+    return p.rollup("notebook").agg(
+        F.countDistinct(F.struct(F.coalesce("grp", F.lit("")), "section")).alias("sections"), F.count("*").alias("pages"), F.sum("text_chars").alias("chars"),
+        F.round(F.avg("paragraphs"), 4).alias("avg_paragraphs"), F.grouping("notebook").cast("bigint").alias("is_total"))
+
+
+@query(f"""SELECT notebook, section, '# ' || section || chr(10) || string_agg('| ' || idx || ' | ' || coalesce(title, 'Untitled page') || ' |', chr(10) ORDER BY idx, page_id) AS body
+  FROM {PAGES} WHERE NOT is_version GROUP BY notebook, section""")
+def section_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each section's index file, rows in page order (a section's index is one file by definition)."""
+    p = _pages(spark, sf_dir, "notebook", "section", "idx", "title", "is_version").where("not is_version")
+    row = F.concat(F.lit("| "), F.col("idx").cast("string"), F.lit(" | "), F.coalesce("title", F.lit("Untitled page")), F.lit(" |"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", "page_id", row.alias("r")))), lambda x: x["r"])
+    return p.groupBy("notebook", "section").agg(F.concat(F.lit("# "), F.first("section"), F.lit("\n"), F.array_join(rows, "\n")).alias("body"))
+
+
+@query("SELECT step, action, count(*) AS n, count(detail) AS n_detail, count(DISTINCT path) AS n_paths FROM page_action GROUP BY step, action")
+def step_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page_action").groupBy("step", "action").agg(F.count("*").alias("n"), F.count("detail").alias("n_detail"), F.countDistinct("path").alias("n_paths"))
+
+
+@query(f"SELECT w AS warning, count(*) AS n FROM (SELECT unnest(warnings) AS w FROM {PAGES}) GROUP BY w")
+def error_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, "warnings").select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- hierarchy
+_PARENT = f"""c AS (SELECT page_id, notebook || '/' || coalesce(grp, '') || '/' || section AS f, idx, level FROM {PAGES} WHERE NOT is_version),
+  par AS (SELECT c.page_id, (SELECT arg_max(b.page_id, (b.idx, b.page_id)) FROM c b WHERE b.f = c.f AND b.level < c.level AND (b.idx, b.page_id) < (c.idx, c.page_id)) AS parent_id, c.f, c.idx FROM c)"""
+
+
+def _parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "notebook", "grp", "section", "idx", "level", "is_version").where("not is_version")
+    p = p.withColumn("f", F.concat_ws("/", "notebook", F.coalesce("grp", F.lit("")), "section"))
+    return hi.parents(p, "f", "idx", "level", "page_id"), p
+
+
+@query(f"WITH {_PARENT} SELECT page_id, parent_id FROM par")
+def page_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parents(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_PARENT} SELECT page_id, parent_id, n, lpad(n::varchar, greatest(2, length(m::varchar))::int, '0') AS label FROM (
+  SELECT page_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY idx, page_id) AS n, count(*) OVER (PARTITION BY parent_id) AS m FROM par WHERE parent_id IS NOT NULL)""")
+def children_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, p = _parents(spark, sf_dir)
+    kids = found.where("parent_id is not null").join(p.select("page_id", "idx"), "page_id")
+    return hi.child_numbers(kids, "parent_id", ["idx", "page_id"]).select("page_id", "parent_id", F.col("n").cast("bigint").alias("n"), "label")
+
+
+@query(f"""WITH RECURSIVE {_PARENT}, up AS (SELECT page_id, page_id AS top, 0 AS depth FROM par WHERE parent_id IS NULL
+  UNION ALL SELECT par.page_id, up.top, up.depth + 1 FROM par JOIN up ON par.parent_id = up.page_id) SELECT page_id, top AS root_id, depth::bigint AS depth FROM up""")
+def page_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top page and depth of every page, by pointer doubling over the parents."""
+    return hi.descendants(_parents(spark, sf_dir)[0])
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT page_id, version_of FROM {PAGES}), up AS (SELECT page_id, page_id AS top, 0 AS depth FROM e WHERE version_of IS NULL OR version_of NOT IN (SELECT page_id FROM e)
+  UNION ALL SELECT e.page_id, up.top, up.depth + 1 FROM e JOIN up ON e.version_of = up.page_id) SELECT page_id, top AS root_id, depth::bigint AS depth FROM up""")
+def revision_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current page at the end of each version's chain."""
+    return hi.descendants(_pages(spark, sf_dir, "version_of"), "page_id", "version_of")
+
+
+@query(f"SELECT page_id FROM {PAGES} p WHERE NOT is_version AND page_id NOT IN (SELECT version_of FROM {PAGES} WHERE version_of IS NOT NULL)")
+def current_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "is_version", "version_of")
+    return p.where("not is_version").join(p.where("version_of is not null").select(F.col("version_of").alias("page_id")), "page_id", "left_anti").select("page_id")
+
+
+@query(f"""SELECT page_id, version_of, printf('%d', row_number() OVER (PARTITION BY version_of ORDER BY coalesce(modified, ''), page_id)) AS n FROM {PAGES} WHERE is_version""")
+def version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "is_version", "version_of", "modified").where("is_version")
+    n = F.row_number().over(Window.partitionBy("version_of").orderBy(F.coalesce("modified", F.lit("")), "page_id"))
+    return p.select("page_id", "version_of", n.cast("string").alias("n"))
+
+
+# ---------------------------------------------------------------- merges
+@query("""SELECT path, step, action, detail, seq FROM page_action QUALIFY row_number() OVER (PARTITION BY path ORDER BY logged_at DESC, seq DESC) = 1""")
+def node_last_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last entry of the log for each path; one aggregate, whatever the number of entries of the hot path."""
+    return me.last_writer(table(spark, sf_dir, "page_action"), ["path"], ["logged_at", "seq"], ["step", "action", "detail", "seq"])
+
+
+@query("""SELECT path, max(CASE WHEN step = 'titles' AND r = 1 THEN action END) AS titles, max(CASE WHEN step = 'header' AND r = 1 THEN action END) AS header, max(CASE WHEN step = 'links' AND r = 1 THEN action END) AS links
+  FROM (SELECT *, row_number() OVER (PARTITION BY path, step ORDER BY logged_at DESC, seq DESC) AS r FROM page_action) GROUP BY path""")
+def node_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last writer per part of each object, parts side by side."""
+    a = table(spark, sf_dir, "page_action").withColumn("part", F.when(F.col("step") == "titles", 1).when(F.col("step") == "header", 2).when(F.col("step") == "links", 4))
+    return me.last_writer_by_part(a, ["path"], "part", ["logged_at", "seq"], "action", {1: "titles", 2: "header", 4: "links"})
+
+
+@query(f"""WITH p AS (SELECT page_id, string_split(path, '/') AS a, string_split(coalesce(title, ''), ' ') AS b FROM {PAGES})
+  SELECT page_id, (i - 1)::int AS pos, a[i] AS part, b[i] AS word FROM p, LATERAL (SELECT unnest(generate_series(1, greatest(len(a), len(b)))) AS i)""")
+def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The i-th path part beside the i-th word of the title; the shorter side ends in NULL."""
+    p = _pages(spark, sf_dir, "path", "title")
+    z = me.zip_positions(F.split("path", "/"), F.split(F.coalesce("title", F.lit("")), " "), ("part", "word"))
+    return p.select("page_id", F.posexplode(z).alias("pos", "z")).select("page_id", "pos", "z.part", "z.word")
+
+
+@query("""WITH o AS (SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey) AS refs FROM lineitem GROUP BY l_orderkey), x AS (SELECT l_orderkey, unnest(refs) AS ref, generate_subscripts(refs, 1) - 1 AS pos FROM o)
+  SELECT l_orderkey, pos::int AS pos, ref, p_brand FROM x JOIN part ON ref = p_partkey WHERE p_size <= 25""")
+def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References by position, resolved to their targets; unresolved ones drop out, positions stay."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("refs"))
+    parts = table(spark, sf_dir, "part").where("p_size <= 25").select("p_partkey", "p_brand")
+    return me.resolve_references(lines, "l_orderkey", "refs", parts, "p_partkey").select("l_orderkey", "pos", "ref", "p_brand")
+
+
+@query("""SELECT digest, arg_min(name, asset_id) AS name, min(asset_id) AS asset_id, count(*) AS n_copies FROM page_asset GROUP BY digest""")
+def asset_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a digest: the first asset's name stands for all copies (one digest may hold a third of all rows)."""
+    return me.first_of_copies(table(spark, sf_dir, "page_asset"), ["digest"], ["asset_id"], ["asset_id", "name"])
+
+
+@query("SELECT sha1(body) AS digest, min(page_id) AS page_id, count(*) AS n_copies FROM page_out WHERE body IS NOT NULL GROUP BY 1")
+def body_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "page_out").where("body is not null").select(F.sha1("body").alias("digest"), "page_id")
+    return me.first_of_copies(p, ["digest"], ["page_id"], ["page_id"])
+
+
+@query(f"""SELECT asset_id, {_dir('page_path')} || '/' || lower(name) AS target, digest, row_number() OVER (PARTITION BY {_dir('page_path')}, lower(name), digest ORDER BY asset_id) = 1 AS kept,
+  min(asset_id) OVER (PARTITION BY {_dir('page_path')}, lower(name), digest) AS merged_into FROM page_asset""")
+def merge_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assets of the same target and digest: the first stays, the others are aliases of it."""
+    a = table(spark, sf_dir, "page_asset").withColumn("target", F.concat_ws("/", tx.dirname("page_path"), F.lower("name")))
+    w = Window.partitionBy("target", "digest")
+    return a.select("asset_id", "target", "digest", (F.row_number().over(w.orderBy("asset_id")) == 1).alias("kept"), F.min("asset_id").over(w).alias("merged_into"))
+
+
+@query(f"""WITH t AS (SELECT seq, to_path AS path, row_number() OVER (PARTITION BY lower(to_path) ORDER BY seq) AS n FROM page_action WHERE to_path IS NOT NULL)
+  SELECT seq, n::int AS rank, CASE WHEN n = 1 THEN path ELSE {_dir('path')} || '/' || regexp_replace({_name('path')}, '\\.[^.]*$', '') || ' (' || n || ').md' END AS final FROM t""")
+def clash_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "page_action").where("to_path is not null").select("seq", F.col("to_path").alias("path"))
+    return me.clash_suffix(a, "path", F.lower("path"), ["seq"]).select("seq", "rank", "final")
+
+
+@query()
+def clash_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clash suffixes repeated until all names differ (tested for distinct keys)."""
+    a = table(spark, sf_dir, "page_action").where("to_path is not null").select("seq", F.col("to_path").alias("path"))
+    return me.settle_clashes(a, "path", F.lower, ["seq"]).select("seq", "final")
+
+
+_LCP = """list_reduce(list_prepend(struct_pack(ok := true, s := ''), list_transform(list_zip(string_split(lo, '/'), string_split(hi, '/')), lambda x: struct_pack(ok := x[1] = x[2], s := coalesce(x[1], '')))),
+  lambda a, b: struct_pack(ok := a.ok AND coalesce(b.ok, false), s := CASE WHEN a.ok AND coalesce(b.ok, false) THEN CASE WHEN a.s = '' THEN b.s ELSE a.s || '/' || b.s END ELSE a.s END)).s"""
+
+
+@query(f"""WITH u AS (SELECT digest, min({_dir('page_path')} COLLATE "C") AS lo, max({_dir('page_path')} COLLATE "C") AS hi, count(*) AS n_users FROM page_asset GROUP BY digest)
+  SELECT digest, {_LCP} AS folder, n_users FROM u""".replace(' COLLATE "C"', ""))
+def common_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest folder that all pages using a digest share."""
+    return me.shared_folder(table(spark, sf_dir, "page_asset").withColumn("folder", tx.dirname("page_path")), "digest", "folder")
+
+
+@query(f"""SELECT name, count(*) AS n_links, count(DISTINCT page_id) AS n_notes, min(page_id) AS first_note FROM page_asset a JOIN {PAGES} p ON a.page_path = p.path GROUP BY name""")
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir, "path").select("page_id", F.col("path").alias("page_path"))
+    return li.backlinks(table(spark, sf_dir, "page_asset").join(pages, "page_path"), "name", "page_id")
+
+
+@query(f"SELECT page_id FROM {PAGES} p WHERE path NOT IN (SELECT page_path FROM page_asset WHERE page_path IS NOT NULL)")
+def unlinked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that no asset belongs to (left anti join)."""
+    used = table(spark, sf_dir, "page_asset").select(F.col("page_path").alias("path"))
+    return _pages(spark, sf_dir, "path").join(used, "path", "left_anti").select("page_id")
+
+
+@query("SELECT path, count(*) AS n FROM page_action a WHERE NOT EXISTS (SELECT 1 FROM page_out p WHERE p.path = a.path) GROUP BY path")
+def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log entries about paths that are no page: aggregated first, so the hot path is one row before the join."""
+    n = table(spark, sf_dir, "page_action").groupBy("path").agg(F.count("*").alias("n"))
+    return n.join(table(spark, sf_dir, "page_out").select("path").distinct(), "path", "left_anti")
+
+
+@query(f"""WITH folders AS (SELECT DISTINCT array_to_string(list_slice(string_split({_dir('path')}, '/'), 1, i), '/') AS folder FROM (SELECT DISTINCT path FROM page_out), LATERAL (SELECT unnest(generate_series(1, len(string_split({_dir('path')}, '/')))) AS i))
+  SELECT folder, EXISTS (SELECT 1 FROM page_action WHERE to_path = folder || '/README.md' OR path = folder || '/README.md') AS has_index FROM folders""")
+def folder_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All folders above live pages, and whether the log knows an index file in them."""
+    folders = table(spark, sf_dir, "page_out").select("path").distinct().select(F.explode(me.levels_of("path")).alias("folder")).distinct()
+    a = table(spark, sf_dir, "page_action").select(F.explode(F.array("path", "to_path")).alias("p")).where("p is not null").distinct()
+    index = a.where(tx.basename("p") == "README.md").select(tx.dirname("p").alias("folder"), F.lit(True).alias("y"))
+    return folders.join(index, "folder", "left").select("folder", F.coalesce("y", F.lit(False)).alias("has_index"))
+
+
+@query("""SELECT n_name, (row_number() OVER (ORDER BY n_regionkey, n_nationkey) - 1)::int AS rank FROM nation QUALIFY row_number() OVER (PARTITION BY lower(n_name) ORDER BY n_regionkey, n_nationkey) = 1""")
+def toc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of contents: first entry by lower-case name, ranked by index (a table of contents is a small table)."""
+    n = table(spark, sf_dir, "nation").groupBy(F.lower("n_name").alias("k")).agg(F.min(F.struct("n_regionkey", "n_nationkey", "n_name")).alias("e"))
+    return n.select(F.col("e.n_name").alias("n_name"), (F.row_number().over(Window.orderBy("e.n_regionkey", "e.n_nationkey")) - 1).alias("rank"))
+
+
+@query(f"""SELECT rename_id, p.page_id, new_title FROM (SELECT path, arg_max(new_title, rename_id) AS new_title, max(rename_id) AS rename_id FROM renames WHERE trim(coalesce(new_title, '')) <> '' GROUP BY path) r
+  JOIN {PAGES} p ON p.path = r.path WHERE p.title IS DISTINCT FROM new_title""")
+def rename_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rename file joined to the pages: the last entry of a path wins, blanks and equal titles drop out."""
+    r = table(spark, sf_dir, "renames").where("trim(coalesce(new_title, '')) <> ''")
+    r = me.last_writer(r, ["path"], ["rename_id"], ["rename_id", "new_title"])
+    p = _pages(spark, sf_dir, "path", "title")
+    return p.join(r, "path").where(~F.col("title").eqNullSafe(F.col("new_title"))).select("rename_id", "page_id", "new_title")
+
+
+# ---------------------------------------------------------------- numbering
+_LINES = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM {DOCS} WHERE text IS NOT NULL),
+  m AS (SELECT doc_id, pos, regexp_matches(line, '^- ') AS num FROM l)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+@query(f"""WITH {_LINES}, i AS (SELECT *, sum(CASE WHEN num THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS isl FROM m)
+  SELECT doc_id, pos::int AS pos, (CASE WHEN num THEN sum(num::int) OVER (PARTITION BY doc_id, isl ORDER BY pos) ELSE 0 END)::bigint AS ordinal FROM i""")
+def list_ordinals_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nu.list_ordinals(_lines(spark, sf_dir), ["doc_id"], "pos", F.col("line").startswith("- "), True).select("doc_id", "pos", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, pos::int AS pos, (CASE WHEN num THEN sum(num::int) OVER (PARTITION BY doc_id ORDER BY pos) ELSE 0 END)::bigint AS ordinal FROM m")
+def list_ordinals_noreset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nu.list_ordinals(_lines(spark, sf_dir), ["doc_id"], "pos", F.col("line").startswith("- "), False).select("doc_id", "pos", F.col("ordinal").cast("bigint").alias("ordinal"))
+
+
+@query("""SELECT asset_id, CASE WHEN n > 1 THEN name || ' ' || n ELSE name END AS unique_name FROM (SELECT asset_id, name, row_number() OVER (PARTITION BY page_path, name ORDER BY asset_id) AS n FROM page_asset)""")
+def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nu.repeated_names(table(spark, sf_dir, "page_asset"), "page_path", "name", ["asset_id"]).select("asset_id", "unique_name")
+
+
+@query(f"""WITH p AS (SELECT page_id, notebook, regexp_extract(section, '(\\d+)$', 1)::bigint * 100 + 1 AS start, idx FROM {PAGES} WHERE NOT is_version AND regexp_matches(section, '\\d+$'))
+  SELECT page_id, lpad((start - 1 + idx)::varchar, greatest(2, length((max(start - 1 + idx) OVER (PARTITION BY notebook))::varchar))::int, '0') AS new_number FROM p""")
+def chunk_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of numbered sections renumbered into their notebook, padded to the widest number of it."""
+    p = _pages(spark, sf_dir, "notebook", "section", "idx", "is_version").where(F.col("section").rlike(r"\d+$") & ~F.col("is_version"))
+    start = F.regexp_extract("section", r"(\d+)$", 1).cast("bigint") * 100 + 1
+    return nu.chunk_numbers(p.withColumn("start", start), "notebook", F.col("start"), F.col("idx")).select("page_id", "new_number")
+
+
+@query("SELECT step, seq, path FROM page_action QUALIFY row_number() OVER (PARTITION BY step ORDER BY logged_at, seq) <= 40")
+def bounded_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 40 entries of each step, as a report shows them (the limit is the feature)."""
+    return nu.bounded_lists(table(spark, sf_dir, "page_action"), "step", ["logged_at", "seq"], 40).select("step", "seq", "path")
+
+
+@query("SELECT step, count(*) AS n_rows, greatest(0, count(*) - 40) AS n_more FROM page_action GROUP BY step")
+def list_remainders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nu.remainders(table(spark, sf_dir, "page_action"), "step", 40)
+
+
+# ---------------------------------------------------------------- paths, names and titles
+@query(f"""SELECT page_id, {_dir('path')} AS dir, {_name('path')} AS name, len(string_split(path, '/'))::int AS n_parts, coalesce(regexp_extract(lower({_name('path')}), '^(\\d+) - (.+)\\.md$', 1), '') AS number, {_stripnum('path')} AS bare,
+  {_safe('title')} AS safe, {_norm("coalesce(title, '')")} AS plain FROM {PAGES}""")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "path", "title")
+    return p.select("page_id", tx.dirname("path").alias("dir"), tx.basename("path").alias("name"), F.size(F.split("path", "/")).alias("n_parts"), F.coalesce(tx.number("path"), F.lit("")).alias("number"),
+                    tx.strip_number("path").alias("bare"), tx.safe_name("title").alias("safe"), tx.norm(F.coalesce("title", F.lit(""))).alias("plain"))
+
+
+@query(f"SELECT page_id, replace(replace(lower(nfc_normalize(path)), 'ß', 'ss'), 'µ', 'μ') AS key FROM {PAGES}")
+def path_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, "path").select("page_id", tx.path_key("path").alias("key"))
+
+
+@query("SELECT p_partkey, replace(replace(replace(replace(replace(replace(replace(replace(p_name || ' (' || p_brand || ') 50% <' || p_type || '>?', '%', '%25'), ' ', '%20'), '(', '%28'), ')', '%29'), '<', '%3C'), '>', '%3E'), '#', '%23'), '?', '%3F') AS dest FROM part")
+def md_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") 50% <"), "p_type", F.lit(">?"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.md_path(raw).alias("dest"))
+
+
+@query("SELECT p_partkey, p_name || ' (' || p_brand || ') 50% + <' || p_type || '>?' AS text FROM part")
+def decoded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A round trip: encoded destinations decoded again, `+` and bare `%` included."""
+    raw = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") 50% + <"), "p_type", F.lit(">?"))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.decode_path(tx.md_path(raw)).alias("text"))
+
+
+@query(f"SELECT page_id, coalesce(nullif({_strip('title')}, ''), {_stripnum('path')}) AS title, greatest(1, coalesce(level, 1)) AS level FROM {PAGES}")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, "title", "path", "level").select("page_id", tx.page_title("title", "path").alias("title"), tx.level("level").alias("level"))
+
+
+_FIRST_WS = _strip("old_title")
+
+
+@query(f"""WITH r AS (SELECT rename_id, {_FIRST_WS} AS t, {_norm("coalesce(new_title, '')")} AS nf FROM renames WHERE old_title IS NOT NULL)
+  SELECT rename_id, CASE WHEN regexp_matches(t, '(?i)^\\(?\\s*untitled(?:\\s+(?:page|note))?\\s*\\)?$') THEN 'untitled' WHEN ends_with(t, '...') OR ends_with(t, '…') THEN 'cut-off first line'
+  WHEN t = '' OR substring(t, 1, 1) IN ('?', '"', '“', '”') THEN 'stray quote marks' WHEN regexp_matches(t, 'https?:|www\\.|\\S@\\S|[{{}}=;]|\\$[A-Za-z_{{(]|^\\.') THEN 'URL, email or code' WHEN length(t) > 80 THEN 'too long'
+  WHEN length(t) >= 30 AND length(nf) > length({_norm('t')}) AND starts_with(nf, {_norm('t')}) THEN 'cut-off first line' END AS problem FROM r""")
+def title_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "renames").where("old_title is not null")
+    return r.select("rename_id", ti.title_problem("old_title", F.coalesce("new_title", F.lit(""))).alias("problem"))
+
+
+@query()
+def heuristic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed titles of pages with a poor one, from their first line with text."""
+    p = _pages(spark, sf_dir, "title", "body").withColumn("lines", ti.content_lines("body"))
+    head = F.get("lines", F.lit(0))
+    p = p.select("page_id", F.coalesce("title", F.lit("")).alias("title"), head["raw"].alias("raw"), head["plain"].alias("plain"))
+    p = p.withColumn("problem", ti.title_problem("title", F.coalesce("plain", F.lit("")))).where("problem is not null")
+    return p.select("page_id", "problem", ti.heuristic_title("title", "raw", "plain").alias("new_title"))
+
+
+@query()
+def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir, "body").select("page_id", ti.first_line("body").alias("first_line"), F.size(ti.content_lines("body")).alias("n_lines"))
+
+
+@query("""SELECT asset_id, regexp_matches(trim(regexp_replace(name, '\\.[^.]*$', '')), '(?i)^(?:image|img|picture|pic|photo|untitled(?:[ _-]?(?:picture|image|attachment))?|screen[ _-]?shot|asset|attachment|file|scan|clip[ _-]?image|missing-image)(?:[ _-]?\\d+)?$|^(?:galleryContent|lens_processed_|IMG[_-]|DSC[_-]?|PXL_|Screenshot_)[\\w-]*$|^[0-9a-f]{16,}$|^\\d+$') AS generic FROM page_asset WHERE name IS NOT NULL""")
+def generic_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page_asset").where("name is not null").select("asset_id", ti.is_generic_asset("name").alias("generic"))
+
+
+@query()
+def names_from_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "page_asset").where("name is not null")
+    return a.select("asset_id", ti.name_from_alt("alt", "name").alias("new_name"), F.coalesce(ti.looks_like_ocr("alt"), F.lit(False)).alias("ocr"))
+
+
+@query()
+def url_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the addresses that pages mention."""
+    p = table(spark, sf_dir, "page_out").where("body is not null").select(F.explode(F.regexp_extract_all("body", F.lit(r"(https?://[^\s)\]>\"]+)"), F.lit(1))).alias("url")).distinct()
+    return p.select("url", ti.url_title("url").alias("title"))
+
+
+@query("""WITH t AS (SELECT row_id, string_split(regexp_replace(trim(title), '\\s+', ' ', 'g'), ' ') AS w FROM page_out WHERE regexp_matches(title, '^[ -~]+$'))
+  SELECT row_id, array_to_string(list_transform(w, lambda x, i: CASE WHEN lower(x) <> x OR (i > 1 AND lower(x) IN ('a','an','and','as','at','but','by','for','from','in','into','of','on','or','the','to','vs','via','with')) THEN x ELSE upper(substring(x, 1, 1)) || substring(x, 2) END), ' ') AS cased FROM t""")
+def smart_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title case of all titles in ASCII (the other engine's casing of other scripts differs in places)."""
+    return table(spark, sf_dir, "page_out").where(F.col("title").rlike("^[ -~]+$")).select("row_id", tx.smart_case("title").alias("cased"))
+
+
+@query(f"SELECT row_id, CASE WHEN length({_strip('title')}) <= 4 THEN repeat('•', length({_strip('title')})) ELSE substring({_strip('title')}, 1, 2) || '…(' || length({_strip('title')}) || ' chars)' END AS sample FROM page_out WHERE title IS NOT NULL")
+def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page_out").where("title is not null").select("row_id", tx.mask("title").alias("sample"))
+
+
+@query(f"""SELECT path, CASE WHEN lower({_name('path')}) IN ('.ds_store', 'thumbs.db', 'desktop.ini', '.localized') OR starts_with({_name('path')}, '._') OR list_contains(string_split({_dir('path')}, '/'), '__MACOSX') THEN 'system file'
+  WHEN list_contains(string_split({_dir('path')}, '/'), '_versions') THEN 'older page version' WHEN list_contains(string_split({_dir('path')}, '/'), '_json') THEN 'JSON dump' WHEN lower({_name('path')}) = 'readme.md' THEN 'generated index'
+  WHEN list_contains(string_split({_dir('path')}, '/'), 'OneNote_RecycleBin') THEN 'deleted in OneNote' END AS reason FROM (SELECT path FROM page_out UNION SELECT path FROM page_action)""")
+def scaffolding_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.plans.cleanup import scaffolding_reason
+
+    paths = table(spark, sf_dir, "page_out").select("path").union(table(spark, sf_dir, "page_action").select("path")).distinct()
+    return paths.select("path", scaffolding_reason(F.col("path"), index=tx.basename(F.lower("path")) == "readme.md").alias("reason"))
+
+
+@query(f"""WITH {_PARENT} SELECT p.page_id, CASE WHEN EXISTS (SELECT 1 FROM par WHERE par.parent_id = p.page_id) THEN 'keep folder' ELSE 'delete' END AS action FROM {PAGES} p WHERE NOT is_version AND {_strip("coalesce(body, '')")} = ''""")
+def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = _parents(spark, sf_dir)
+    blank = _pages(spark, sf_dir, "body", "is_version").where((tx.strip(F.coalesce("body", F.lit(""))) == "") & ~F.col("is_version"))
+    holders = found.where("parent_id is not null").select(F.col("parent_id").alias("page_id"), F.lit("keep folder").alias("a")).distinct()
+    return blank.join(holders, "page_id", "left").select("page_id", F.coalesce("a", F.lit("delete")).alias("action"))
+
+
+@query(f"""SELECT page_id, regexp_replace(notebook || ' (Evernote import on 2019-01-02T03-04)', '^(.*\\S)\\s+\\(Evernote import on \\d{{4}}-\\d{{2}}-\\d{{2}}T[\\d-]+\\)$', '\\1') AS clean FROM {PAGES}""")
+def import_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folder names without the suffix that an import left (put on every notebook here, for the data has none)."""
+    from folioflow.plans.cleanup import without_import_suffix
+
+    return _pages(spark, sf_dir, "notebook").select("page_id", without_import_suffix(F.concat("notebook", F.lit(" (Evernote import on 2019-01-02T03-04)"))).alias("clean"))
+
+
+# ---------------------------------------------------------------- sensitive data, links, front matter
+@query()
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.scan(table(spark, sf_dir, "page_out"), "path", "body")
+
+
+@query("""WITH l AS (SELECT path, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM page_out WHERE body IS NOT NULL),
+  m AS (SELECT path, n, unnest(regexp_extract_all(line, '\\b\\d{3}-\\d{2}-\\d{4}\\b')) AS v FROM l) SELECT path, n::int AS line, substring(v, 1, 2) || '…(11 chars)' AS sample FROM m
+  WHERE substring(v, 1, 3) NOT IN ('000', '666') AND v[1] <> '9' AND substring(v, 5, 2) <> '00' AND substring(v, 8, 4) <> '0000'""")
+def scan_ssn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.scan(table(spark, sf_dir, "page_out"), "path", "body").where("kind = 'US Social Security number'").select("path", "line", "sample")
+
+
+@query()
+def redact_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page_out").select("row_id", sc.redact("body").alias("body"))
+
+
+@query(f"SELECT page_id, length(regexp_replace(body, '{WS}', '', 'g')) AS n FROM {PAGES} WHERE body IS NOT NULL AND length(regexp_replace(body, '{WS}', '', 'g')) BETWEEN 1 AND 19")
+def near_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "body").select("page_id", F.length(F.regexp_replace("body", r"(?U)\s", "")).cast("bigint").alias("n"))
+    return p.where("n between 1 and 19")
+
+
+@query("""SELECT 'code' AS kind, name AS what FROM page_asset WHERE lower(regexp_extract(name, '(\\.[^.]*)$', 1)) IN ('.php','.py','.js','.ts','.json','.bin','.exe','.dll','.sh','.bat','.cmd','.ps1','.sql','.java','.cs','.rb','.go','.jar','.msi','.dmg','.apk','.vbs')
+  UNION ALL SELECT 'conflict', path FROM (SELECT DISTINCT path FROM page_out) WHERE regexp_matches(split_part(path, '/', -1), '(?i)conflicted copy|\\.sync-conflict-|\\(case conflict|-conflict-\\d')
+  UNION ALL SELECT 'long path', path FROM (SELECT DISTINCT path FROM page_out) WHERE length(path) > 90""")
+def attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader should look at: code files, sync conflicts, long paths (90 characters here, for the data to have some)."""
+    from folioflow.plans.cleanup import is_code, is_conflict
+
+    paths = table(spark, sf_dir, "page_out").select("path").distinct()
+    return me.union_all([
+        table(spark, sf_dir, "page_asset").where(is_code("name")).select(F.lit("code").alias("kind"), F.col("name").alias("what")),
+        paths.where(is_conflict("path")).select(F.lit("conflict").alias("kind"), F.col("path").alias("what")),
+        paths.where(F.length("path") > 90).select(F.lit("long path").alias("kind"), F.col("path").alias("what")),
+    ])
+
+
+@query("""SELECT row_id, unnest(list_concat(regexp_extract_all(body, '\\]\\(([^()<>\\s\\\\]+)\\)', 1))) AS dest FROM page_out WHERE NOT regexp_matches(body, '\\]\\([^)]*[\\s(<\\\\]')""")
+def link_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link destinations of all pages whose destinations are flat; nested ones are tested against a reference walk."""
+    p = table(spark, sf_dir, "page_out").where(~F.col("body").rlike(r"\]\([^)]*[\s(<\\]"))
+    return li.links(p, "row_id", "body").select("row_id", "dest")
+
+
+@query()
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link with its target inside the export and whether a page or asset of that key exists."""
+    p = _pages(spark, sf_dir, "path", "body")
+    found = li.links(p, "path", "body")
+    assets = table(spark, sf_dir, "page_asset").select(F.concat_ws("/", F.nullif(tx.dirname("page_path"), F.lit("")), "name").alias("item")).union(p.select(F.col("path").alias("item"))).distinct()
+    return li.resolve(found, "path", assets, "item", tx.path_key).select("path", "ord", "dest", "is_image", "target", "inside", F.col("item").isNotNull().alias("found"))
+
+
+@query("""WITH p AS (SELECT row_id, path AS target, 'Harbour Log/Shelf A/Ideas 0' AS here FROM page_out)
+  SELECT row_id, CASE WHEN starts_with(target, here || '/') THEN substring(target, length(here) + 2) WHEN starts_with(target, 'Harbour Log/Shelf A/') THEN '../' || substring(target, 21) WHEN starts_with(target, 'Harbour Log/') THEN '../../' || substring(target, 13) ELSE '../../../' || target END AS rel FROM p""")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "page_out").select("row_id", li.relative_path("path", F.lit("Harbour Log/Shelf A/Ideas 0")).alias("rel"))
+
+
+_FM = r"^---\n((?:[^\n]*\n)*?)---[ \t]*(?:\n|$)"
+
+
+@query(f"""WITH d AS (SELECT doc_id, regexp_extract(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)', 1) AS fm FROM {DOCS} WHERE starts_with(text, '---' || chr(10)))
+  SELECT doc_id, json_extract_string(regexp_extract(fm, '(?m)^title: (.*)$', 1), '$') AS title, nullif(regexp_extract(fm, '(?m)^level: (.*)$', 1), '') AS level, json_extract_string(nullif(regexp_extract(fm, '(?m)^created: (.*)$', 1), ''), '$') AS created FROM d WHERE fm <> ''""")
+def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.sources.notes import front_matter
+
+    d = _documents(spark, sf_dir).select("doc_id", front_matter("text").alias("n")).where("n.has_fm and size(n.fm) > 0")
+    def get(k: str):
+        return F.element_at(F.map_from_entries(F.transform("n.fm", lambda e: F.struct(e["k"], e["v"]))), k)
+    return d.select("doc_id", get("title").alias("title"), get("level").alias("level"), get("created").alias("created"))
+
+
+@query(f"""SELECT doc_id, '---' || chr(10) || array_to_string(list_transform(list_filter(string_split(regexp_extract(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)', 1), chr(10)), lambda l: l <> '' AND NOT starts_with(l, 'level:')), lambda l: l || chr(10)), '') || '---' || chr(10) AS head
+  FROM {DOCS} WHERE regexp_matches(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)')""")
+def frontmatter_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.sources.notes import drop_fields, front_matter, front_matter_text
+
+    d = _documents(spark, sf_dir).select("doc_id", front_matter("text").alias("n")).where("n.has_fm")
+    return d.select("doc_id", front_matter_text(drop_fields(F.col("n.fm"), ["notebook", "section", "level"])).alias("head"))
+
+
+# ---------------------------------------------------------------- time and bytes
+@query("SELECT event_id, to_timestamp(315532800 + (floor(epoch(ts))::bigint - 315532800))::timestamp AS t32, ts AS t64 FROM events")
+def store_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times through both time formats of a page store and back."""
+    e = table(spark, sf_dir, "events").withColumn("u", F.unix_micros(F.col("ts").cast("timestamp")))
+    seconds, tenths = F.expr("u div 1000000") - 315_532_800, (F.col("u") + 11_644_473_600_000_000) * 10
+    return e.select("event_id", tx.time32(seconds).cast("timestamp_ntz").alias("t32"), tx.filetime_exact(tenths).cast("timestamp_ntz").alias("t64"))
+
+
+@query("SELECT row_id, title AS text FROM page_out WHERE title IS NOT NULL")
+def utf16_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles through the store's text encoding and back, with an odd byte and a NUL behind."""
+    p = table(spark, sf_dir, "page_out").where("title is not null")
+    raw = F.concat(F.encode(F.col("title"), "UTF-16LE"), F.unhex(F.lit("000041")))
+    return p.select("row_id", tx.utf16(raw).alias("text"))
+
+
+@query(f"""SELECT page_id, max(len(string_split(trim(l, '|'), '|')))::int AS width, count(*) AS n_rows FROM (SELECT page_id, trim(unnest(string_split(body, chr(10)))) AS l FROM {PAGES}) WHERE regexp_matches(l, '^\\|.*\\|$') GROUP BY page_id""")
+def table_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widest row and number of rows of the tables in each page."""
+    lines = _pages(spark, sf_dir, "body").select("page_id", F.explode(F.split("body", "\n")).alias("l")).withColumn("l", F.trim("l")).where(F.col("l").rlike(r"^\|.*\|$"))
+    return lines.groupBy("page_id").agg(F.max(F.size(F.split(F.regexp_replace("l", r"^\|+|\|+$", ""), r"\|"))).alias("width"), F.count("*").alias("n_rows"))
+
+
+@query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type, date_trunc('hour', ts)")
+def landing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly totals by a structured stream over the events, run to its end."""
+    from folioflow.streaming.landing import hourly_totals
+
+    return hourly_totals(spark, f"{sf_dir}/events.parquet")
