@@ -12,6 +12,7 @@ with a Latin shape are mapped first. Two forms come out:
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -29,19 +30,30 @@ OTHER = dict(zip("ɑɡıⅼꞌˈʼʹ", "agil''''"))
 # Characters of other kinds that render alike.
 SAME = {"‐": "-", "‑": "-", "ʼ": "’", "⁄": "/", "∕": "/", "∶": ":", ";": ";", "·": "·",
         "Ω": "Ω", "K": "K", "Å": "Å", "µ": "μ"}
-SPACES = regex.compile(r"[\p{Zs}\t]+")
-INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}­﻿]+")
+# First and last code points of the default-ignorable ranges, and the kinds of space.
+IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
+             (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))
+BLANKS = (0x9, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
+SPACES = re.compile(" {2,}")
 LETTER = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
-WORD = regex.compile(r"[\p{L}\p{M}\p{N}\p{Default_Ignorable_Code_Point}­]+")
-WIDTH = regex.compile(r"[＀-￯　]+")
-LIGATURE = regex.compile(r"[ﬀ-ﬆĲĳǄ-ǌǱ-ǳⅠ-ⅿ]")
+WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 MAP = str.maketrans(CYRILLIC | GREEK | OTHER)
 TO_CYRILLIC = str.maketrans({b: a for a, b in CYRILLIC.items()})
 TO_GREEK = str.maketrans({b: a for a, b in GREEK.items()})
 FIXED_CYRILLIC = regex.compile(f"[\\p{{Cyrillic}}--[{''.join(CYRILLIC)}]]", regex.V1)
 FIXED_GREEK = regex.compile(f"[\\p{{Greek}}--[{''.join(GREEK)}µΩμ]]", regex.V1)
 FIXED_LATIN = regex.compile(f"[\\p{{Latin}}--[{''.join(set(CYRILLIC.values()) | set(GREEK.values()))}]]", regex.V1)
-SHAPE = str.maketrans(SAME)
+
+
+def _table() -> dict[int, int | str | None]:
+    """One pass over a text: invisibles go, blanks become the blank, full and half width and ligatures their plain form."""
+    plain = [*range(0xFF01, 0xFFA0), *range(0xFFA1, 0xFFF0), *range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180)]
+    out: dict[int, int | str | None] = {c: unicodedata.normalize("NFKC", chr(c)) for c in plain}
+    out |= {c: " " for c in BLANKS} | {c: None for first, last in IGNORABLE for c in range(first, last + 1)}
+    return out | {ord(k): v for k, v in SAME.items()}
+
+
+SHAPE = _table()
 
 
 def clean(text: str) -> str:
@@ -78,12 +90,10 @@ def _script(word: str) -> str:
 
 def _base(text: str) -> str:
     if text.isascii():
-        return SPACES.sub(" ", text) if "\t" in text else text
-    text = WIDTH.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
-    text = LIGATURE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
-    text = INVISIBLE.sub("", text)
-    text = SPACES.sub(" ", text).translate(SHAPE)
-    return unicodedata.normalize("NFC", text)
+        out = text.replace("\t", " ")
+    else:
+        out = unicodedata.normalize("NFC", text.translate(SHAPE))
+    return SPACES.sub(" ", out)
 
 
 def shape(text: str) -> str:
@@ -92,21 +102,39 @@ def shape(text: str) -> str:
 
 
 def key(text: str) -> str:
-    """The method's key: NFKC, full case folding, mapped white space, no default-ignorables, NFC again."""
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", shape(text)))
-    text = unicodedata.normalize("NFKC", text.casefold())
-    return SPACES.sub(" ", text).strip()
+    """The method's key: NFKC, full case folding, mapped white space, no default-ignorables, NFKC again."""
+    return _key(shape(text))
+
+
+def _key(seen: str) -> str:
+    if seen.isascii():
+        return seen.lower().strip()
+    return SPACES.sub(" ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", seen).casefold()).translate(SHAPE)).strip()
+
+
+CLEAN = T.StructType([T.StructField("clean", T.StringType()), T.StructField("key", T.StringType())])
+LOOK = T.StructType([T.StructField("shape", T.StringType()), T.StructField("key", T.StringType())])
+
+
+def _each(values: pd.Series, one, columns: list[str]) -> pd.DataFrame:
+    """Results of the values; each distinct value of a batch is worked on once."""
+    done = {v: one(v) for v in values.dropna().unique()}
+    none = (None,) * len(columns)
+    return pd.DataFrame([done.get(v, none) if isinstance(v, str) else none for v in values], columns=columns)
+
 
+@F.pandas_udf(CLEAN)
+def clean_forms(values: pd.Series) -> pd.DataFrame:
+    return _each(values, lambda v: (clean(v), key(v)), ["clean", "key"])
 
-FORMS = T.StructType([T.StructField("clean", T.StringType()), T.StructField("shape", T.StringType()), T.StructField("key", T.StringType())])
 
+@F.pandas_udf(LOOK)
+def look_forms(values: pd.Series) -> pd.DataFrame:
+    def one(v: str) -> tuple[str, str]:
+        seen = shape(v)
+        return seen, _key(seen)
 
-@F.pandas_udf(FORMS)
-def forms(values: pd.Series) -> pd.DataFrame:
-    """clean, shape and key of each value; each distinct value of a batch is worked on once."""
-    done = {v: (clean(v), shape(v), key(v)) for v in values.dropna().unique()}
-    none = (None, None, None)
-    return pd.DataFrame([done.get(v, none) if isinstance(v, str) else none for v in values], columns=["clean", "shape", "key"])
+    return _each(values, one, ["shape", "key"])
 
 
 def consistent(df: DataFrame, *columns: str) -> DataFrame:
@@ -115,7 +143,7 @@ def consistent(df: DataFrame, *columns: str) -> DataFrame:
     No row is added or dropped; repeated rows get equal results; other columns pass unchanged.
     """
     for c in columns:
-        df = df.withColumn("__forms", forms(F.col(c))).withColumn(f"{c}_clean", F.col("__forms.clean")).withColumn(f"{c}_key", F.col("__forms.key")).drop("__forms")
+        df = df.withColumn("__forms", clean_forms(F.col(c))).withColumn(f"{c}_clean", F.col("__forms.clean")).withColumn(f"{c}_key", F.col("__forms.key")).drop("__forms")
     return df
 
 
@@ -126,7 +154,7 @@ def _values(df: DataFrame, id_column: str, column: str) -> tuple[DataFrame, Data
     """(id, h) of each record and (h, k, s) of each distinct value; empty and NULL values take no part."""
     rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("v")).where("id is not null and v <> ''")
     rows = rows.withColumn("h", F.unhex(F.sha1("v")))
-    values = spread(rows.groupBy("h").agg(F.first("v").alias("v"))).withColumn("f", forms("v"))
+    values = spread(rows.groupBy("h").agg(F.first("v").alias("v"))).withColumn("f", look_forms("v"))
     values = values.select("h", F.xxhash64("f.key").alias("k"), F.unhex(F.sha1("f.shape")).alias("s"))
     return rows.select("id", "h"), values
 
