@@ -50,15 +50,15 @@ def line_findings(line: str | Column) -> Column:
     text = col(line)
     found = [_secrets(text, "password or PIN")]
     for kind, pattern, group in KINDS:
-        found.append(F.transform(F.regexp_extract_all(text, F.lit(pattern if group else f"({pattern})"), F.lit(1)), lambda v, k=kind: _hit_of(k, v)))
+        found.append(F.transform(F.regexp_extract_all(text, F.lit(pattern if group else f"({pattern})"), F.lit(1)), _sampler(kind)))
     cards = F.transform(F.regexp_extract_all(text, F.lit(f"({CARD})"), F.lit(1)), lambda v: F.regexp_replace(v, r"\D", ""))
     cards = F.filter(cards, lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.substring(d, 1, 1).isin("3", "4", "5", "6") & F.call_function("luhn_check", d))
     found.append(F.transform(cards, lambda d: _hit("card number", mask(d))))
     return F.concat(*found)
 
 
-def _hit_of(kind: str, value: Column) -> Column:
-    return _hit(kind, mask(value))
+def _sampler(kind: str):
+    return lambda value: _hit(kind, mask(value))
 
 
 def scan(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

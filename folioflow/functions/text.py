@@ -130,7 +130,7 @@ def mask(c: str | Column) -> Column:
 
 def clean_inline(c: str | Column) -> Column:
     """A Markdown line as plain text: marks, links, emphasis and table bars go."""
-    s = F.replace(col(c), F.lit(" "), F.lit(" "))
+    s = F.replace(col(c), F.lit("\u00a0"), F.lit(" "))
     for pattern, to in (
         (r"^\s*#+\s*", ""),
         (r"^\s*(?:[-*+]|\d+\.)\s+(?:\[[ xX]\]\s+)?", ""),
@@ -194,7 +194,7 @@ def file_type(c: str | Column) -> Column:
 def keep_leading_spaces(c: str | Column) -> Column:
     """Leading blanks (a tab is four) as no-break spaces, so that no code block starts."""
     lead = F.regexp_extract(col(c), r"^[ \t]*", 0)
-    return F.concat(F.replace(F.replace(lead, F.lit("\t"), F.lit("    ")), F.lit(" "), F.lit(" ")), F.substring(col(c), F.length(lead) + 1, F.length(col(c))))
+    return F.concat(F.replace(F.replace(lead, F.lit("\t"), F.lit("    ")), F.lit(" "), F.lit("\u00a0")), F.substring(col(c), F.length(lead) + 1, F.length(col(c))))
 
 
 def common_folder(folders: str | Column) -> Column:

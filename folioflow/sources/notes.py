@@ -91,6 +91,6 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
 def read_renames(spark: SparkSession, path: str) -> DataFrame:
     """(path, new_title) of a rename file; blanks are left out, the last entry of a path wins, a byte-order mark is skipped."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    rows = rows.toDF(*[c.lstrip("﻿") for c in rows.columns]).withColumn("__n", F.monotonically_increasing_id())
+    rows = rows.toDF(*[c.lstrip("\ufeff") for c in rows.columns]).withColumn("__n", F.monotonically_increasing_id())
     rows = rows.where("trim(coalesce(new_title, '')) <> '' and path is not null")
     return rows.groupBy("path").agg(F.max_by(F.trim("new_title"), "__n").alias("new_title"))

@@ -1,0 +1,115 @@
+import pytest
+
+from folioflow.plans import cleanup as cl
+from folioflow.sources.notes import read_renames, read_vault
+
+
+def page(title, body, level=1, heading=True):
+    head = f'---\ntitle: "{title}"\nnotebook: "N"\nsection: "S"\nlevel: {level}\n---\n\n'
+    return head + (f"# {title}\n\n*Monday, 4 June 2018 9:15*\n\n" if heading else "") + body
+
+
+def tree(root):
+    files = {
+        "README.md": "# N\n\n| Section | Pages | x |\n|---|---|---|\n", "N/S/README.md": "# S\n\n| # | Page | x |\n|---|---|---|\n",
+        "N/S/01 - Harbour.md": page("Harbour", "See [tides](02%20-%20Tides.md) and [file](assets/plan%20%281%29.pdf).\n"),
+        "N/S/02 - Tides.md": page("Tides", "Tables: ![](assets/image.png) and [up](01%20-%20Harbour.md) and [gone](x.md)\n", 2),
+        "N/S/03 - Springs.md": page("Springs", "High water.\n", 3), "N/S/04 - Blank.md": page("Blank", "", 1),
+        "N/S/05 - The pumps were moved....md": page("The pumps were moved...", "The pumps were moved before noon. All of them.\n", 1),
+        "N/S/06 - Été.md": page("Été", "Plus de texte ici.\n", 1, False),
+        "N/S/07 - Holder.md": page("Holder", "", 1), "N/S/08 - Held.md": page("Held", "Held text that is long enough here.\n", 2),
+        "N/S/assets/plan (1).pdf": b"%PDF-1", "N/S/assets/image.png": b"\x89PNG1", "N/S/assets/alone.bin": b"zzz",
+        "N/S/_versions/Tides - version 1.md": page("Tides", "old\n"), "N/OneNote_RecycleBin/01 - Out.md": page("Out", "x\n"), "N/S/.DS_Store": b"x",
+        "N/Big/Pages 1-100/01 - A.md": page("A", "A text that is long enough.\n"), "N/Big/Pages 101-200/01 - B.md": page("B", "B text that is long enough, password: hunter22.\n"),
+        "N/Old (Evernote import on 2019-01-02T03-04)/01 - C.md": page("C", "C text that is long enough.\n"),
+    }
+    for path, content in files.items():
+        f = root / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(content if isinstance(content, bytes) else content.encode())
+    return root
+
+
+@pytest.fixture(scope="module")
+def cleaned(spark, tmp_path_factory):
+    root = tree(tmp_path_factory.mktemp("vault"))
+    return root, cl.clean_folder(spark, str(root))
+
+
+def test_final_tree(cleaned):
+    paths = sorted(r["path"] for r in cleaned[1]["items"].collect())
+    assert paths == sorted([
+        "N/Big/001 - A.md", "N/Big/101 - B.md", "N/Old/01 - C.md", "N/S/05 - The pumps were moved before noon.md", "N/S/06 - Été.md",
+        "N/S/Harbour/Harbour.md", "N/S/Harbour/Tides/Tides.md", "N/S/Harbour/Tides/01 - Springs.md", "N/S/Harbour/plan (1).pdf", "N/S/Harbour/Tides/Tides.png",
+        "N/S/Holder/01 - Held.md", "N/S/alone.bin",
+    ])
+
+
+def test_links_follow(cleaned):
+    texts = {r["path"]: r["text"] for r in cleaned[1]["items"].collect()}
+    assert texts["N/S/Harbour/Harbour.md"] == '---\ntitle: "Harbour"\n---\n\nSee [tides](Tides/Tides.md) and [file](plan%20%281%29.pdf).\n'
+    assert "![](Tides.png) and [up](../Harbour.md) and [gone](x.md)" in texts["N/S/Harbour/Tides/Tides.md"]
+    assert [tuple(r) for r in cleaned[1]["broken"].collect()] == [("N/S/Harbour/Tides/Tides.md", "x.md", "missing")]
+
+
+def test_log_and_attention(cleaned):
+    r = cleaned[1]
+    actions = {(a["step"], a["action"]) for a in r["actions"].collect()}
+    assert {("scaffolding", "delete"), ("recycle-bin", "delete"), ("blank-pages", "keep folder"), ("chunks", "move"), ("titles", "rename"), ("header", "edit"), ("nest", "delete"), ("attachments", "move"), ("frontmatter", "edit")} <= actions
+    assert [(x["new_title"], x["reason"], x["source"]) for x in r["renames"].collect()] == [("The pumps were moved before noon", "cut-off first line", "rules")]
+    assert {(a["kind"], a["path"]) for a in r["attention"].collect()} >= {("unlinked", "N/S/assets/alone.bin"), ("code", "N/S/alone.bin")}
+    assert [(f["kind"], f["sample"]) for f in r["findings"].collect()] == [("password or PIN", "hu…(8 chars)")]
+    text = cl.report(r)
+    assert "### unlinked (1)" in text and "hunter22" not in text
+
+
+def test_written_tree_is_stable(spark, cleaned, tmp_path):
+    cl.write(cleaned[1], str(cleaned[0]), str(tmp_path / "out"))
+    again = cl.clean_folder(spark, str(tmp_path / "out"))
+    assert again["actions"].where("action <> 'keep folder'").count() == 0
+    assert sorted(r["path"] for r in again["items"].collect()) == sorted(r["path"] for r in cleaned[1]["items"].collect())
+    with pytest.raises(FileExistsError):
+        cl.write(cleaned[1], str(cleaned[0]), str(tmp_path / "out"))
+
+
+def test_options(spark, cleaned, tmp_path):
+    with pytest.raises(ValueError):
+        cl.clean_folder(spark, str(cleaned[0]), cl.Options(skip=frozenset({"nope"})))
+    (tmp_path / "r.csv").write_text('﻿path,new_title\n"N/S/06 - Été.md",Summer\nN/S/01 - Harbour.md,\n"N/S/06 - Été.md",Late summer\n', encoding="utf-8")
+    o = cl.Options(only=frozenset({"titles"}), renames=read_renames(spark, str(tmp_path / "r.csv")))
+    got = cl.clean_folder(spark, str(cleaned[0]), o)
+    assert "N/S/06 - Late summer.md" in {r["path"] for r in got["items"].collect()}
+    assert got["renames"].count() == 1
+
+
+def test_doubles_merge_and_others_get_a_number(spark):
+    rows = [("a/assets/p.png", False, "d1", None), ("b/assets/p.png", False, "d1", None), ("c/assets/p.png", False, "d2", None), ("a/01 - X.md", True, "n1", "![](assets/p.png)\n[b](../b/assets/p.png)\n[c](../c/assets/p.png)\n")]
+    files = spark.createDataFrame(rows, "path string, is_note boolean, digest string, text string")
+    got = cl.run(files, cl.Options(only=frozenset({"attachments"})))
+    items = {r["orig"]: (r["path"], r["text"]) for r in got["items"].collect()}
+    assert items["a/assets/p.png"][0] == "a/p.png" and items["c/assets/p.png"][0] == "a/p (2).png" and "b/assets/p.png" not in items
+    assert items["a/01 - X.md"][1] == "![](p.png)\n[b](p.png)\n[c](p%20%282%29.png)\n"
+
+
+@pytest.mark.parametrize(("body", "rest"), [
+    ("# T\n\n*4 June 2018*\n\ntext", "text"), ("\n# T\ntext", "text"), ("# U\ntext", "# U\ntext"), ("# T\n*no year*\ntext", "*no year*\ntext"), ("# T", ""), ("# T\n\n", ""),
+])
+def test_header_end(spark, body, rest):
+    from pyspark.sql import functions as F
+
+    assert spark.createDataFrame([(body,)], "b string").select(cl.content(F.col("b"), F.lit("T"), F.lit("T"))).first()[0] == rest
+
+
+def test_old_header(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([("A  title\nMonday, June 04, 2007\n9:15 AM\n\ntext",), ("A title\nnever\n",)], "b string").select(cl.old_header_end(F.col("b"), F.lit("A title")).alias("n")).collect()
+    assert [r["n"] for r in row] == [len("A  title\nMonday, June 04, 2007\n9:15 AM\n\n"), 0]
+
+
+def test_vault_reading(spark, tmp_path):
+    (tmp_path / "x y").mkdir()
+    (tmp_path / "x y" / "a+b %.md").write_bytes(b"---\r\ntitle: \"T\"\r\nlist:\r\n  - 1\r\n---\r\nbody\r\n")
+    (tmp_path / "bad.md").write_bytes(b"\xff\xfe")
+    got = {r["path"]: r for r in read_vault(spark, str(tmp_path)).collect()}
+    assert got["x y/a+b %.md"]["text"].startswith('---\ntitle: "T"\nlist:') and got["bad.md"]["unreadable"] and not got["bad.md"]["is_note"]
