@@ -161,6 +161,8 @@ def place(state: State, moves: DataFrame, step: str, action: str = "move", round
     named = F.when(F.upper(base).isin(*RESERVED), F.concat(F.when(dirname("target") != "", F.concat(dirname("target"), F.lit("/"))).otherwise(F.lit("")), base, F.lit("_"), extension("target"))).otherwise(F.col("target"))
     movers = live.join(moves, "orig").where("target <> path").select("orig", "path", "is_note", "digest", named.alias("target"))
     movers = cut(movers.withColumn("k", path_key("target")))
+    if movers.isEmpty():
+        return
     rest = live.join(movers.select("orig"), "orig", "left_anti")
     held = rest.select(path_key("path").alias("k"), "orig", "is_note", "digest")
     folders = rest.select(F.explode(levels_of("path")).alias("f")).union(movers.select(F.explode(levels_of("target")).alias("f"))).distinct().select(path_key("f").alias("k"))

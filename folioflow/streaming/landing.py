@@ -3,18 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import PurePosixPath
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.session import cut
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder beside the session's checkpoints, which all executors share."""
-    cut(spark.range(1))  # sets the checkpoint folder where the session has none
-    return str(PurePosixPath(spark.sparkContext._jsc.sc().getCheckpointDir().get())) + f"/stream-{uuid.uuid4().hex}"
+from folioflow.session import shared_folder
 
 
 def hourly_totals(spark: SparkSession, folder: str, files_per_trigger: int = 64) -> DataFrame:
@@ -28,7 +20,7 @@ def hourly_totals(spark: SparkSession, folder: str, files_per_trigger: int = 64)
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     events = reader.option("pathGlobFilter", name).parquet(parent) if name.endswith(".parquet") and _is_file(spark, folder) else reader.parquet(folder)
     totals = events.groupBy("event_type", F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    out = shared_folder(spark)
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/result")

@@ -26,7 +26,7 @@ def test_scalars(spark, f, value, want):
 def test_times_and_bytes(spark):
     r = spark.createDataFrame([(0, 129652901230000000, bytearray(b"a\0b\0\0\0x"), bytearray(b"%PDF1"))], "a bigint, b bigint, c binary, d binary").select(
         text.iso(text.time32("a")), text.iso(text.filetime_exact("b")), text.filetime_exact(F.col("a")), text.utf16("c"), text.file_type("d"), text.utf16(F.lit(None).cast("binary"))).first()
-    assert list(r) == ["1980-01-01 00:00:00 UTC", "2011-11-08 13:22:03 UTC", None, "ab", ".pdf", ""]
+    assert list(r) == ["1980-01-01 00:00:00 UTC", "2011-11-09 05:28:43 UTC", None, "ab", ".pdf", ""]
 
 
 @pytest.mark.parametrize(("title", "first", "want"), [
@@ -60,8 +60,8 @@ def test_scan_and_redact(spark):
     rows = spark.createDataFrame([("n/backup codes.txt", body), ("n/e.md", None), ("n/f.md", "")], "path string, text string")
     got = sorted((r["line"], r["kind"], r["sample"]) for r in scan.scan(rows).collect())
     assert got == [(0, "recovery codes file", "backup codes.txt"), (1, "password or PIN", "hu…(8 chars)"), (3, "AWS access key", "AK…(20 chars)"), (4, "card number", "41…(16 chars)"), (5, "US Social Security number", "12…(11 chars)"), (6, "2FA secret", "AB…(19 chars)")]
-    out = one(spark, "password: a1 a1@b.example +44 20 7946 0958 4111 1111 1111 1111", scan.redact)
-    assert out == "password: [redacted] [email] [phone] [redacted]"
+    out = one(spark, "password: a1 a1@b.example +44 20 7946 0958 or 4111 1111 1111 1111", scan.redact)
+    assert out == "password: [redacted] [email] [phone] or [redacted]"
 
 
 def brute_links(s):
