@@ -42,7 +42,7 @@ SENTENCES = 5  # of each sampled document, for training
 LEAST_WORDS, LEAST_LETTERS = 3, 12  # a shorter piece is no whole sentence
 OTHER = 0.8  # a segment in another language than the document's needs this confidence
 
-FRONT = re.compile(r"\A﻿?---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
+FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n.*?\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 HEADING = re.compile(r"^\s{0,3}#{1,6}[ \t].*$", re.M)
 NOISE = re.compile(r"```.*?```|`[^`\n]*`|<[^<>\n]{1,200}>|https?://\S+|\[\[|\]\]|[\w.+-]+@[\w.-]+|\([^()\n]{0,40}\)", re.S)
 BROKEN = re.compile(r"(?<=[^\n.!?…:;|])[ \t]*\r?\n[> \t]*(?=[a-zß-öø-ÿąćęłńóśźżа-яё])")

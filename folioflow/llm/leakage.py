@@ -31,13 +31,14 @@ GAP = 2  # changed, added or missing words between two matching runs
 BLOCK_WORDS = 2_000_000  # words of evaluation text in one broadcast
 
 WORD = re.compile(r"[^\W_]+")
-BROKEN = re.compile(r"(?<=\w)(?:[-‐‑][ \t]*\r?\n[> \t]*|­(?:\r?\n[> \t]*)?)(?=\w)")
+MARKS = re.compile("[\u0300-\u036f]+")
+BROKEN = re.compile(r"(?<=\w)(?:[-‐‑][ \t]*\r?\n[> \t]*|\u00ad(?:\r?\n[> \t]*)?)(?=\w)")
 
 
 def words(text: str) -> list[str]:
     """Words without letter case, punctuation, spacing, line breaks, hyphenation and emphasis."""
     if not text.isascii():
-        text = "".join(ch for ch in unicodedata.normalize("NFKD", text) if not unicodedata.combining(ch))
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text))
     return WORD.findall(BROKEN.sub("", text).casefold())
 
 
@@ -72,6 +73,8 @@ class Targets:
     def read(self, text: str) -> list[str]:
         """Words of a document; a word of the evaluation texts that a blank has split is joined again."""
         ws = words(text)
+        if self.places.keys().isdisjoint(zip(*[ws[k:] for k in range(SHINGLE)])):
+            return []  # without one whole shingle nothing can be joined to a leak
         out: list[str] = []
         i = 0
         vocabulary, bigrams = self.vocabulary, self.bigrams
@@ -157,9 +160,12 @@ def _chain(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> tupl
                 break
             cut_i, cut_j = a + length, b + length
             lost = max(0, cut_i - i, cut_j - j)  # runs may overlap by words common to both
-            if lost >= n or a >= i or b >= j or i - cut_i > GAP or j - cut_j > GAP:
+            gap_i, gap_j = i - cut_i, j - cut_j
+            between = sum(x == y for x, y in zip(doc[cut_i:i], item[cut_j:j])) if gap_i == gap_j else 0
+            # word for word, a word or two may stand between two changed ones
+            near = max(gap_i, gap_j) <= (GAP + between if gap_i == gap_j <= 2 * GAP + 2 else GAP)
+            if lost >= n or a >= i or b >= j or not near:
                 continue
-            between = sum(x == y for x, y in zip(doc[cut_i:i], item[cut_j:j])) if i - cut_i == j - cut_j else 0
             if score[m][0] + n - lost + between > top[0]:
                 top = (score[m][0] + n - lost + between, score[m][1])
         score.append(top)
@@ -176,14 +182,14 @@ def _ends(best: tuple[int, int, int], runs: list[list[int]], doc: list[str], ite
     head = next(r for r in runs if r[0] == first)
     tail = next(r for r in reversed(runs) if r[0] + r[2] - 1 == final)
     i, j, miss = head[0] - 1, head[1] - 1, 0
-    while i >= 0 and j >= 0 and miss <= 1:
+    while i >= 0 and j >= 0 and miss <= 2:
         if doc[i] == item[j]:
             total, first = total + 1, i
         else:
             miss += 1
         i, j = i - 1, j - 1
     i, j, miss = tail[0] + tail[2], tail[1] + tail[2], 0
-    while i < len(doc) and j < len(item) and miss <= 1:
+    while i < len(doc) and j < len(item) and miss <= 2:
         if doc[i] == item[j]:
             total, final = total + 1, i
         else:

@@ -26,15 +26,15 @@ EMAIL_RE = re.compile(rf"(?<![\w.+%/-])(?:mailto:)?[^\W_](?:[\w.+%'-]{{0,62}}[^\
 PLAIN_AT = re.compile(r"@|＠")
 
 # Proposed telephone shapes and how sure each is by itself.
-_S = r"[    .\-‐‑–/]"
+_S = r"[ \u00a0\u202f\u2009.\-‐‑–/]"
 PHONES = [
     (re.compile(rf"(?<![\w+./-])(?:\+|00)[1-9]\d{{0,3}}(?:{_S}?\(0?\d{{0,4}}\))?(?:{_S}?\d{{1,8}}){{1,6}}(?![\w-]|[.,/]\d)"), 0.7),
     (re.compile(rf"(?<![\w+./-])(?:1{_S})?\(\d{{3}}\){_S}?\d{{3}}{_S}\d{{4}}(?:\s?(?:ext\.?|x)\s?\d{{1,5}})?(?![\w-])"), 0.7),
     (re.compile(rf"(?<![\w+./-])(?:1{_S})?[2-9]\d{{2}}({_S})[2-9]\d{{2}}\1\d{{4}}(?:\s?(?:ext\.?|x)\s?\d{{1,5}})?(?![\w-]|[.,/]\d)"), 0.6),
-    (re.compile(r"(?<![\w+./-])0[1-9](?:[  .]\d{2}){4}(?![\w-]|[.,/]\d)"), 0.6),
-    (re.compile(r"(?<![\w+./-])\(?0\d{2,5}\)?(?:[  /]|[ ]?/[ ]?)\d{3,5}(?:[  -]\d{2,5}){0,3}(?![\w-]|[.,/]\d)"), 0.55),
+    (re.compile(r"(?<![\w+./-])0[1-9](?:[ \u00a0.]\d{2}){4}(?![\w-]|[.,/]\d)"), 0.6),
+    (re.compile(r"(?<![\w+./-])\(?0\d{2,5}\)?(?:[ \u00a0/]|[ ]?/[ ]?)\d{3,5}(?:[ \u00a0-]\d{2,5}){0,3}(?![\w-]|[.,/]\d)"), 0.55),
     (re.compile(r"(?<![\w+./-])0\d{9,10}(?![\w-]|[.,/]\d)"), 0.35),
-    (re.compile(r"(?<![\w+./-])[5-9]\d{2}[  -]\d{3}[  -]\d{3}(?![\w-]|[.,/]\d)"), 0.35),
+    (re.compile(r"(?<![\w+./-])[5-9]\d{2}[ \u00a0-]\d{3}[ \u00a0-]\d{3}(?![\w-]|[.,/]\d)"), 0.35),
     (re.compile(r"(?<![\w+./-])8[ -]\(?\d{3}\)?[ -]\d{3}[ -]\d{2}[ -]\d{2}(?![\w-])"), 0.6),
 ]
 PHONE_WORDS = re.compile(
@@ -49,13 +49,13 @@ THING_WORDS = re.compile(
 # Identity numbers: the word that names the document, then the number; the validator confirms where one is defined.
 _NO = r"(?:\s?(?:no|number|nr|num|n[°ºo]|номер|№|numer|número|numéro|numero|nummer|card|id|identity card)\b\.?)?\s?[:#.]?\s?"
 IDS = [
-    (re.compile(rf"\b(?:SSN|S\.S\.N\.|social security|soc\.? sec\.?|SVNR|Sozialversicherungs\w*|sécurité sociale|seguridad social)\b{_NO}(\d{{3}}[  -]?\d{{2}}[  -]?\d{{4}}|\d[\d  -]{{8,20}}\d)(?![\w-])", re.I), 0.8),
+    (re.compile(rf"\b(?:SSN|S\.S\.N\.|social security|soc\.? sec\.?|SVNR|Sozialversicherungs\w*|sécurité sociale|seguridad social)\b{_NO}(\d{{3}}[ \u00a0-]?\d{{2}}[ \u00a0-]?\d{{4}}|\d[\d \u00a0-]{{8,20}}\d)(?![\w-])", re.I), 0.8),
     (re.compile(rf"\b(?:NI|N\.I\.|NINO|national insurance){_NO}([A-Z]{{2}}\s?\d{{2}}\s?\d{{2}}\s?\d{{2}}\s?[A-D])\b", re.I), 0.9),
-    (re.compile(rf"\b(?:passport|Reisepass|Pass|passeport|pasaporte|passaporto|passaporte|paspoort|paszport|паспорт\w*){_NO}([A-Z]{{0,3}}\s?\d[\dA-Z]*(?:[  -]?\d+){{0,4}})\b", re.I), 0.8),
-    (re.compile(rf"\b(?:Personalausweis\w*|Ausweis\w*|identity card|ID card|identity no|carte d['’]identité|carta d['’]identità|identiteitskaart|dowód(?: osobisty)?|cédula|cartão de cidadão|bilhete de identidade|удостоверени\w+){_NO}([A-Z0-9]{{1,4}}\s?\d[\dA-Z]*(?:[  -]?[\dA-Z]*\d[\dA-Z]*){{0,4}})\b"), 0.8),
+    (re.compile(rf"\b(?:passport|Reisepass|Pass|passeport|pasaporte|passaporto|passaporte|paspoort|paszport|паспорт\w*){_NO}([A-Z]{{0,3}}\s?\d[\dA-Z]*(?:[ \u00a0-]?\d+){{0,4}})\b", re.I), 0.8),
+    (re.compile(rf"\b(?:Personalausweis\w*|Ausweis\w*|identity card|ID card|identity no|carte d['’]identité|carta d['’]identità|identiteitskaart|dowód(?: osobisty)?|cédula|cartão de cidadão|bilhete de identidade|удостоверени\w+){_NO}([A-Z0-9]{{1,4}}\s?\d[\dA-Z]*(?:[ \u00a0-]?[\dA-Z]*\d[\dA-Z]*){{0,4}})\b"), 0.8),
     (re.compile(rf"\b(?:DNI|NIF|NIE|D\.N\.I\.){_NO}([XYZ]?[ -]?\d{{1,2}}\.?\d{{3}}\.?\d{{3}}[ -]?[A-Z]?)(?![\w-])", re.I), 0.8),
-    (re.compile(rf"\b(?:tax (?:ID|number|no|ref\w*)|TIN|taxpayer|Steuer-?(?:ID|nummer|nr)\w*|IdNr|numéro fiscal|NIF|codice fiscale|contribuinte|BSN|burgerservicenummer|PESEL|NIP|ИНН|СНИЛС){_NO}([A-Z0-9]*\d[\dA-Z]*(?:[  /.-]?[\dA-Z]*\d[\dA-Z]*){{0,5}})\b", re.I), 0.8),
-    (re.compile(rf"\b(?:driv(?:ing|er['’]?s?) licen[cs]e|licen[cs]e (?:no|number)|Führerschein\w*|permis de conduire|permiso de conducir|carnet de conducir|patente(?: di guida)?|carta de condução|rijbewijs|prawo jazdy|водительск\w+){_NO}([A-Z0-9]*\d[\dA-Z]*(?:[  -]?[\dA-Z]*\d[\dA-Z]*){{0,4}})\b", re.I), 0.8),
+    (re.compile(rf"\b(?:tax (?:ID|number|no|ref\w*)|TIN|taxpayer|Steuer-?(?:ID|nummer|nr)\w*|IdNr|numéro fiscal|NIF|codice fiscale|contribuinte|BSN|burgerservicenummer|PESEL|NIP|ИНН|СНИЛС){_NO}([A-Z0-9]*\d[\dA-Z]*(?:[ \u00a0/.-]?[\dA-Z]*\d[\dA-Z]*){{0,5}})\b", re.I), 0.8),
+    (re.compile(rf"\b(?:driv(?:ing|er['’]?s?) licen[cs]e|licen[cs]e (?:no|number)|Führerschein\w*|permis de conduire|permiso de conducir|carnet de conducir|patente(?: di guida)?|carta de condução|rijbewijs|prawo jazdy|водительск\w+){_NO}([A-Z0-9]*\d[\dA-Z]*(?:[ \u00a0-]?[\dA-Z]*\d[\dA-Z]*){{0,4}})\b", re.I), 0.8),
     (re.compile(r"(?<![\w-])(\d{8}-?[A-Z])(?![\w-])"), 0.2),
     (re.compile(r"(?<![\w-])([A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w-])"), 0.45),
     (re.compile(r"(?<![\w.-])([A-Z]{6}\d{2}[A-EHLMPR-T]\d{2}[A-Z]\d{3}[A-Z])(?![\w-])"), 0.3),
@@ -100,7 +100,7 @@ GIVEN = set(
 _UP = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĢĪĶĹĻŁŃŅŇŌŐŒŔŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ]"
 _LO = r"[a-zß-öø-ÿāăąćčďđēęěğģīķĺļłńņňōőœŕřśşšťūůűźżžа-яё]"
 _N = rf"{_UP}(?:{_LO}+(?:[-'’]{_UP}?{_LO}+)*|['’]{_UP}{_LO}+)"
-_B = "[   ]"
+_B = "[ \u00a0\u202f]"
 _FAMILY = rf"(?:(?:van der|van den|van de|van|von der|von|de la|de|del|della|di|da|dos|du|zu|ter|ten){_B})?{_N}"
 _NAME = rf"(?:{_N}{_B}(?:{_N}{_B}|{_UP}\.{_B}){{0,2}}{_FAMILY}|(?:{_UP}\.{_B}?){{1,2}}{_FAMILY}|{_N},{_B}{_N})"
 STRONG_CUE = re.compile(

@@ -34,7 +34,7 @@ FUNCTION_WORDS = {
     "ru": "в на за под у и с после перед наш мой",
 }
 CODE = r"\s+[0-9A-Z]{1,3}-[0-9A-Za-z]{2,5}(?:\s+\S{1,2})?$"  # a catalogue code at the end is no language: the phrase before it had ended
-ELLIPSIS = r"[\s ]*(?:…|\.{3,})[\s ]*$"
+ELLIPSIS = r"[\s\u00a0]*(?:…|\.{3,})[\s\u00a0]*$"
 
 
 def _language(text: Column) -> Column:
@@ -95,7 +95,7 @@ def titles(pages: DataFrame, renames: DataFrame) -> DataFrame:
     every = own.unionByName(old).where("length(trim(value)) > 0")
     every = every.withColumn("stem", F.rtrim(F.regexp_replace("value", ELLIPSIS, "")))
     every = every.withColumn("phrase", F.regexp_replace(F.regexp_replace("stem", CODE, ""), r"\d+", "0"))
-    every = every.withColumn("ellipsis", F.when(F.col("value").rlike(r"…[\s ]*$"), "…").when(F.col("value").rlike(r"\.{3,}[\s ]*$"), "...").otherwise("")).where("stem <> ''")
+    every = every.withColumn("ellipsis", F.when(F.col("value").rlike(r"…[\s\u00a0]*$"), "…").when(F.col("value").rlike(r"\.{3,}[\s\u00a0]*$"), "...").otherwise("")).where("stem <> ''")
     stem = F.col("stem")
     body = _follows(F.col("line"), stem)
     other = F.coalesce(
