@@ -137,8 +137,8 @@ def code(shingle: tuple[str, ...]) -> int:
 def _chain(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> tuple[int, int, int]:
     """(matching words, first, last) of the longest chain of matching runs, in order in both texts.
 
-    Runs are chained if at most GAP words lie between them in the document and in the item
-    (position bound), so a chain never spans more than an item-sized window.
+    Runs are chained if at most GAP words lie between them, in the document as many as in the item or one more or
+    less (a changed or split word), so a chain never spans more than an item-sized window.
     """
     runs: list[list[int]] = []
     last: dict[int, list[int]] = {}
@@ -164,7 +164,7 @@ def _chain(hits: list[tuple[int, int]], doc: list[str], item: list[str]) -> tupl
             between = sum(x == y for x, y in zip(doc[cut_i:i], item[cut_j:j])) if gap_i == gap_j else 0
             # word for word, a word or two may stand between two changed ones
             near = max(gap_i, gap_j) <= (GAP + between if gap_i == gap_j <= 2 * GAP + 2 else GAP)
-            if lost >= n or a >= i or b >= j or not near:
+            if lost >= n or a >= i or b >= j or not near or abs(gap_i - gap_j) > 1:
                 continue
             if score[m][0] + n - lost + between > top[0]:
                 top = (score[m][0] + n - lost + between, score[m][1])
