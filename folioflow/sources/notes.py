@@ -80,8 +80,7 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), "/+$", "")
-    decoded = F.try_url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    rel = F.regexp_replace(F.replace(decoded, F.concat(F.lit("file:"), base), F.lit("")), "^/+", "")
+    rel = F.regexp_replace(F.replace(F.regexp_replace("path", "^file:/*", "/"), F.concat(F.regexp_replace(base, "^(?:file:)?/*", "/"), F.lit("/")), F.lit("")), "^/+", "")
     md = F.lower(basename("path")).endswith(".md")
     readable = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(md & readable, F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n"))
