@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.text import basename, col, mask, strip
+from folioflow.functions.text import basename, col, mask
 
 # What is looked for. The number is the group that is sampled.
 PASSWORD = r"(?iU)\b(?:password|passwd|pwd|passcode|pass|pin)\b[ \t]*([:=]?)[ \t]*(\S+)"
@@ -96,5 +96,3 @@ def redact(c: str | Column) -> Column:
     s = F.regexp_replace(s, EMAIL, "[email]")
     return F.regexp_replace(s, PHONE, "[phone]")
 
-
-__all__ = ["line_findings", "redact", "scan", "strip"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,5 +80,3 @@ def descendants(edges: DataFrame, child: str = "page_id", parent: str = "parent_
             return now.select("page_id", F.col("at").alias("root_id"), "depth")
     return now.select("page_id", F.col("at").alias("root_id"), F.lit(None).cast("bigint").alias("depth"))
 
-
-__all__ = ["parents", "child_numbers", "descendants", "Iterator"]

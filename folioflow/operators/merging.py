@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import basename, common_folder, dirname, extension, stem
+from folioflow.functions.text import common_folder, dirname, extension, stem
 
 
 def last_writer(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -17,9 +17,7 @@ def last_writer(rows: DataFrame, keys: list[str], order: list[str], values: list
 
 def last_writer_by_part(rows: DataFrame, keys: list[str], part: str, order: list[str], value: str, parts: dict[int, str]) -> DataFrame:
     """One row a key with a column a part: the latest value of that part (partitions of an object's revisions)."""
-    cols = [F.max_by(value, F.when(F.col(part) == p, F.struct(*order))).alias(name) for p, name in parts.items()]
     wins = [F.max(F.when(F.col(part) == p, F.struct(*order, F.col(value).alias("v"))))["v"].alias(name) for p, name in parts.items()]
-    _ = cols
     return rows.groupBy(*keys).agg(*wins)
 
 
@@ -92,5 +90,3 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     """Bag union of frames with the same columns, whatever their order."""
     return reduce(lambda a, b: a.unionByName(b), parts)
 
-
-__all__ = ["basename", "clash_suffix", "first_of_copies", "last_writer", "last_writer_by_part", "levels_of", "resolve_references", "settle_clashes", "shared_folder", "union_all", "zip_positions"]

@@ -543,6 +543,66 @@ def frontmatter_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", front_matter_text(drop_fields(F.col("n.fm"), ["notebook", "section", "level"])).alias("head"))
 
 
+# ---------------------------------------------------------------- files that an export writes
+@query(f"""SELECT page_id, '---' || chr(10) || array_to_string(list_filter([CASE WHEN coalesce(title, '') <> '' THEN 'title: ' || to_json(title) END, 'notebook: ' || to_json(notebook), 'section: ' || to_json(section), 'level: ' || level,
+  CASE WHEN coalesce(created, '') <> '' THEN 'created: ' || to_json(created) END, CASE WHEN coalesce(modified, '') <> '' THEN 'modified: ' || to_json(modified) END], lambda x: x IS NOT NULL), chr(10)) || chr(10) || '---' || chr(10) || chr(10) AS head FROM {PAGES}""")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter of every page as its file begins: JSON values, empty ones left out."""
+    from folioflow.sources.notes import page_head
+
+    p = _pages(spark, sf_dir, "title", "notebook", "section", "level", "created", "modified")
+    return p.select("page_id", page_head(*[F.col(c) for c in ("title", "notebook", "section", "level", "created", "modified")]).alias("head"))
+
+
+@query(f"""SELECT page_id, {_safe('title')} || ' - version ' || row_number() OVER (PARTITION BY version_of ORDER BY coalesce(modified, ''), page_id) || ' - ' || coalesce(nullif(replace(substring(coalesce(modified, ''), 1, 19), ':', '-'), ''), 'unknown') || '.md' AS file_name FROM {PAGES} WHERE is_version""")
+def version_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "title", "is_version", "version_of", "modified").where("is_version")
+    n = F.row_number().over(Window.partitionBy("version_of").orderBy(F.coalesce("modified", F.lit("")), "page_id"))
+    when = F.coalesce(F.nullif(F.replace(F.substring(F.coalesce("modified", F.lit("")), 1, 19), F.lit(":"), F.lit("-")), F.lit("")), F.lit("unknown"))
+    return p.select("page_id", F.concat(tx.safe_name("title"), F.lit(" - version "), n.cast("string"), F.lit(" - "), when, F.lit(".md")).alias("file_name"))
+
+
+@query(f"""SELECT page_id, regexp_replace(body, '^(?:[ \\t\\r\\x0b\\f\\x{{85}}\\p{{Z}}]*\\n)*', '') AS rest FROM {PAGES} WHERE title IS NOT NULL AND {_strip("body")} <> ''""")
+def header_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as they are exported (heading, date line, body), and the content behind their header again."""
+    from folioflow.plans.cleanup import content
+
+    p = _pages(spark, sf_dir, "title", "body").where(F.col("title").isNotNull() & (tx.strip("body") != ""))
+    whole = F.concat(F.lit("# "), "title", F.lit("\n\n*Monday, 4 June 2018 9:15*\n\n"), "body")
+    return p.withColumn("whole", whole).select("page_id", content(F.col("whole"), F.col("title"), F.lit("another")).alias("rest"))
+
+
+@query("""SELECT row_id, regexp_replace(body, '\\]\\(([^()<>\\s\\\\]+)\\)', '](moved/\\1)', 'g') AS body FROM page_out WHERE NOT regexp_matches(body, '\\]\\([^)]*[\\s(<\\\\]')""")
+def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every flat link of a page pointed elsewhere, spliced by position."""
+    p = table(spark, sf_dir, "page_out").where(~F.col("body").rlike(r"\]\([^)]*[\s(<\\]")).select("row_id", "body")
+    changes = li.links(p, "row_id", "body").select("row_id", "start", "end", F.concat(F.lit("moved/"), "dest").alias("new"))
+    return li.rewrite(p, "row_id", "body", changes)
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_extract(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)', 1), '(?m)^title: .*$', 'title: "New “title”"') AS fields FROM {DOCS} WHERE regexp_matches(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)') AND contains(text, 'title: ')""")
+def frontmatter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folioflow.sources.notes import front_matter, front_matter_text, set_field
+
+    d = _documents(spark, sf_dir).where(F.col("text").contains("title: ")).select("doc_id", front_matter("text").alias("n")).where("n.has_fm")
+    return d.select("doc_id", F.regexp_replace(front_matter_text(set_field(F.col("n.fm"), "title", F.lit("New “title”"))), r"^---\n|---\n$", "").alias("fields"))
+
+
+@query(f"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'index.md' WHEN 1 THEN '00 - ' || {_stripnum('path')} || '.md' ELSE {_name('section')} || '.md' END AS note FROM {PAGES}""")
+def folder_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ways to name a folder's own page."""
+    p = _pages(spark, sf_dir, "path", "section")
+    way = F.pmod("page_id", F.lit(3))
+    return p.select("page_id", F.when(way == 0, "index.md").when(way == 1, F.concat(F.lit("00 - "), tx.strip_number("path"), F.lit(".md"))).otherwise(F.concat(tx.basename("section"), F.lit(".md"))).alias("note"))
+
+
+@query("""SELECT asset_id, ['.png', '.jpg', '.gif', '.pdf', '.bmp', '.webp', '.bin'][asset_id % 7 + 1] AS ext FROM page_asset""")
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extensions told from first bytes, one of seven kinds for each asset."""
+    heads = F.array(*[F.lit(h) for h in ("89504E470D0A1A0A", "FFD8FFE0", "474946383961", "255044462D31", "424D0000", "52494646AA", "00")])
+    return table(spark, sf_dir, "page_asset").select("asset_id", tx.file_type(F.unhex(F.concat(F.get(heads, F.pmod("asset_id", F.lit(7)).cast("int")), F.lit("00FF")))).alias("ext"))
+
+
 # ---------------------------------------------------------------- time and bytes
 @query("SELECT event_id, to_timestamp(315532800 + (floor(epoch(ts))::bigint - 315532800))::timestamp AS t32, ts AS t64 FROM events")
 def store_times(spark: SparkSession, sf_dir: str) -> DataFrame:
