@@ -229,7 +229,7 @@ def find_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
         counts = _count(docs, targets)
         targets.keep_prefix(counts)
         found = _look_up(docs, spark.sparkContext.broadcast(targets))
-        part = found.join(F.broadcast(block.select("target", "item_id")), "target").groupBy("doc_id", "item_id").agg(
+        part = found.join(block.select("target", "item_id"), "target").groupBy("doc_id", "item_id").agg(
             F.max("n_words").alias("n_words"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
         result = part if result is None else result.unionByName(part)
     return result

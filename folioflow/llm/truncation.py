@@ -86,8 +86,8 @@ def titles(pages: DataFrame, renames: DataFrame) -> DataFrame:
     A page counts once. NULL and empty titles are no values. ``body_says`` compares with the body's first line,
     ``copy_says`` an old title with the page's title and with the new title.
     """
-    page = first_delivery(pages, "title", "origin", "path", "body")
-    page = page.select("page_id", "title", "origin", "path", F.substring_index(F.ltrim("body"), "\n", 1).alias("line"))
+    lines = pages.select("row_id", "page_id", "title", "origin", "path", F.substring_index(F.ltrim("body"), "\n", 1).alias("line"))
+    page = first_delivery(lines, "title", "origin", "path", "line")
     own = page.select(F.lit("page_out").alias("tbl"), F.col("page_id").alias("record_id"), F.col("origin").alias("channel"), F.col("title").alias("value"), "line", F.lit(None).cast("string").alias("page_title"), F.lit(None).cast("string").alias("new_title"))
     by_path = page.groupBy("path").agg(F.first("title").alias("page_title"), F.first("line").alias("line"))
     old = renames.groupBy("rename_id").agg(*[F.first(c).alias(c) for c in ("path", "old_title", "new_title", "source")])
