@@ -23,6 +23,7 @@ _AT = r"(?:@|＠|\s?\(\s?(?:at|AT|@|arroba|chiocciola)\s?\)\s?|\s?\[\s?(?:at|AT|
 _DOT = r"(?:\.|．|\s?\(\s?(?:dot|DOT|punkt|point|punto)\s?\)\s?|\s?\[\s?(?:dot|DOT|punkt|point|punto)\s?\]\s?|\s(?:DOT|dot|punkt|point|punto)\s)"
 _LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 EMAIL_RE = re.compile(rf"(?<![\w.+%/-])(?:mailto:)?[^\W_](?:[\w.+%'-]{{0,62}}[^\W_])?{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}[^\W\d_]{{2,24}}(?![\w@-])")
+DIGIT = re.compile(r"\d")
 PLAIN_AT = re.compile(r"@|＠")
 
 # Proposed telephone shapes and how sure each is by itself.
@@ -82,9 +83,20 @@ ADDRESSES = [
     (re.compile(rf"(?<!\w)(?:(?:Am|An der|An den|Auf dem|Auf der|Im|In der|Zum|Zur)[ ])?[^\W\d_][\w-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|steig|straat|laan|gracht|kade|plein|dijk|singel|steeg)[ ]{_NUM}(?![\w%]|[.,]\d){_TAIL}"), 0.65),
     (re.compile(rf"(?<!\w)(?:Am|An der|An den|Auf dem|Auf der|Zum|Zur|Unter den|Hinter der)[ ]{_C}(?:[ ](?:Straße|Weg|Platz|Allee|Gasse))?[ ]\d{{1,3}}[a-d]?(?![\w%]|[.,]\d|[ ](?:Uhr|Minuten|Prozent|cm|mm|kg|Stück)){_TAIL}"), 0.5),
 ]
-STREET = re.compile(
-    rf"(?<!\w)(?:{_BEFORE}|[Aa]ve|[Ss]t|[Rr]d|[Ll]n|Ct|Dr|Cres|Am|An d|Auf d|Zum|Zur|Unter den|Hinter der)(?!\w)|(?:[Ss]treet|[Rr]oad|[Ll]ane|[Aa]venue|[Cc]rescent|[Cc]lose|Court|[Dd]rive|Way|Place|[Ss]quare|[Tt]errace|Row|Walk|Hill|[Bb]oulevard|Gardens|Mews|Parade|Quay|Wharf|Highway)(?!\w)"
-    r"|(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|steig|straat|laan|gracht|kade|plein|dijk|singel|steeg)[ ]\d")
+# Words without which a rule of ADDRESSES, by its place, can't match.
+_KINDS = set("street st road rd lane ln avenue ave crescent cres close court ct drive dr way place pl square sq terrace row walk hill boulevard blvd gardens mews parade quay wharf highway".split())
+_FIRST = set(
+    "rue avenue av boulevard bd place impasse allée chemin quai route calle c avenida avda plaza paseo camino travesía via viale piazza corso vicolo largo rua travessa praça estrada alameda "
+    "ul ulica al aleja plac os ул улица пр проспект пер переулок наб набережная площадь".split())
+_ENDS = ("straße", "strasse", "str", "gasse", "weg", "platz", "allee", "ufer", "damm", "steig", "straat", "laan", "gracht", "kade", "plein", "dijk", "singel", "steeg")
+_LEADS = set("am an auf zum zur unter hinter".split())
+GATES = (
+    lambda w: not w.isdisjoint(_KINDS), lambda w: not w.isdisjoint(_KINDS), lambda w: not w.isdisjoint(_FIRST), lambda w: not w.isdisjoint(_FIRST),
+    lambda w: any(x.endswith(_ENDS) for x in w), lambda w: not w.isdisjoint(_LEADS),
+)
+FIVE = re.compile(r"\d(?:[^\w\n]{0,2}[A-Z]?[^\w\n]{0,2}\d){4}")  # an identity number has five digits close together
+SEVEN = re.compile(r"\d(?:[^\w\n]{0,4}\d){6}")  # a telephone number seven
+
 
 # Titles, given names of the nine languages, and words that announce or follow a person.
 TITLES = r"(?:Dr|Mr|Mrs|Ms|Miss|Mx|Prof|Professor|Sir|Dame|Herr|Frau|Herrn|M|Mme|Mlle|Monsieur|Madame|Sr|Sra|Srta|Señor|Señora|Don|Doña|Sig|Sigra|Signor|Signora|Dott|Dottssa|Senhor|Senhora|Dhr|Mevr|Mevrouw|Meneer|Pan|Pani|Г-н|Г-жа)"
@@ -158,12 +170,15 @@ def find(text: str | None) -> list[tuple[int, int, str, float]]:
     if not text:
         return []
     spans: list[tuple[int, int, str, float]] = []
-    _emails(text, spans)
-    if any(ch.isdigit() for ch in text):
-        _ids(text, spans)
-        _phones(text, spans)
-        _addresses(text, spans)
-    _names(text, spans)
+    words = {w.lower() for w in WORDS.findall(text)}
+    _emails(text, words, spans)
+    if DIGIT.search(text):
+        if FIVE.search(text):
+            _ids(text, spans)
+        if SEVEN.search(text):
+            _phones(text, spans)
+        _addresses(text, words, spans)
+    _names(text, words, spans)
     spans = sorted((s for s in spans if s[3] >= THRESHOLD), key=lambda s: (-s[3], s[0], s[0] - s[1]))
     kept: list[tuple[int, int, str, float]] = []
     taken = bytearray(len(text))
@@ -181,9 +196,11 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
     return before[before.rfind("\n") + 1 :], after.split("\n", 1)[0]
 
 
-def _emails(text: str, spans: list) -> None:
-    if "@" not in text and "＠" not in text and not re.search(r"\bat\b|\(a|\[a", text, re.I):
-        return
+def _emails(text: str, words: set[str], spans: list) -> None:
+    if not PLAIN_AT.search(text):
+        spelt = not words.isdisjoint({"at", "arroba", "chiocciola"})
+        if not spelt or not (" AT " in text or "(" in text or "[" in text or "{" in text or not words.isdisjoint({"dot", "punkt", "point", "punto"})):
+            return
     for m in EMAIL_RE.finditer(text):
         got = m.group()
         sure = 0.95 if PLAIN_AT.search(got) or re.search(r"[\[({]", got) else 0.9 if re.search(r"\sAT\s.*\sDOT\s|\sat\s.*\sdot\s", got) else 0.2
@@ -230,16 +247,15 @@ def _phones(text: str, spans: list) -> None:
             spans.append((m.start(), end + (ext.end() if ext else 0), PHONE, min(score, 0.95)))
 
 
-def _addresses(text: str, spans: list) -> None:
-    if not STREET.search(text):
-        return
-    for rule, base in ADDRESSES:
+def _addresses(text: str, words: set[str], spans: list) -> None:
+    for gate, (rule, base) in zip(GATES, ADDRESSES):
+        if not gate(words):
+            continue
         for m in rule.finditer(text):
             spans.append((m.start(), m.end(), ADDRESS, base + 0.2))
 
 
-def _names(text: str, spans: list) -> None:
-    words = {w.lower() for w in WORDS.findall(text)}
+def _names(text: str, words: set[str], spans: list) -> None:
     if words.isdisjoint(GIVEN_SMALL) and words.isdisjoint(CUE_WORDS) and not INITIAL.search(text):
         return
     for m in TITLED.finditer(text):
