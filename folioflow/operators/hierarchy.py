@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,24 +30,27 @@ def parents(pages: DataFrame, folder: str, order: str, level: str, page_id: str)
     carry = marks.where("before is not null").groupBy("f", "b").agg(F.collect_list(F.struct(F.col("before.o").alias("o"), F.col("before.id").alias("id"), "l")).alias("carry"))
     ready = whole.join(carry, ["f", "b"], "left")
 
-    def scan(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["o", "id"])
-        stack: list[tuple[int, int]] = []  # (level, id), levels rise
-        carried = block["carry"].iloc[0]
-        for c in sorted(carried if carried is not None else [], key=lambda c: (c["o"], c["id"])):
-            while stack and stack[-1][0] >= c["l"]:
-                stack.pop()
-            stack.append((c["l"], c["id"]))
-        out = []
-        for lv, i in zip(block["l"], block["id"]):
-            while stack and stack[-1][0] >= lv:
-                stack.pop()
-            out.append(stack[-1][1] if stack else None)
-            stack.append((lv, i))
-        return pd.DataFrame({"page_id": block["id"], "parent_id": pd.array(out, dtype="Int64")})
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of whole blocks, sorted; a block may reach over several batches."""
+        at, stack = None, []  # the block, and (level, id) of the open pages, levels rising
+        for batch in batches:
+            found = []
+            for f, b, lv, i, carried in zip(batch["f"], batch["b"], batch["l"], batch["id"], batch["carry"]):
+                if (f, b) != at:
+                    at, stack = (f, b), []
+                    for c in sorted(carried if carried is not None else [], key=lambda c: (c["o"], c["id"])):
+                        while stack and stack[-1][0] >= c["l"]:
+                            stack.pop()
+                        stack.append((c["l"], c["id"]))
+                while stack and stack[-1][0] >= lv:
+                    stack.pop()
+                found.append(stack[-1][1] if stack else None)
+                stack.append((lv, i))
+            yield pd.DataFrame({"page_id": batch["id"], "parent_id": pd.array(found, dtype="Int64")})
 
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("parent_id", T.LongType())])
-    found = ready.groupBy("f", "b").applyInPandas(scan, schema)
+    ordered = ready.repartition("f", "b").sortWithinPartitions("f", "b", "o", "id")
+    found = ordered.select("f", "b", "l", "id", "carry").mapInPandas(scan, schema)
     loose = rows.where("f is null or o is null or l is null").select(F.col("id").alias("page_id"), F.lit(None).cast("bigint").alias("parent_id"))
     return found.unionByName(loose)
 
