@@ -34,16 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """Give CPU-heavy Arrow functions enough tasks where a scan has fewer splits than the cluster cores.
+def spread(df: DataFrame, scan: bool = True) -> DataFrame:
+    """Give CPU-heavy Arrow functions enough tasks where there would be fewer than three a core.
 
-    A compressed split holds far more work for a Python function than for a scan. A scan that
-    already has three tasks a core (any large table) is left alone, so no shuffle is added there.
+    A compressed split, or a shuffle partition that the adaptive planner has merged, holds far more work for a Python function than for
+    a scan. A scan that has tasks enough (any large table) is left alone, so no shuffle is added there. With ``scan`` false the
+    frame holds a shuffle: its partitions cannot be counted without running it, so it is spread anyway.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism * 3
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+    spark = df.sparkSession
+    wanted = spark.sparkContext.defaultParallelism * 3
+    if scan and df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
         return df
-    return df.repartition(wanted, *columns)
+    return df.repartition(wanted if scan else max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def first_delivery(pages: DataFrame, *columns: str) -> DataFrame:
