@@ -154,7 +154,7 @@ def _values(df: DataFrame, id_column: str, column: str) -> tuple[DataFrame, Data
     """(id, h) of each record and (h, k, s) of each distinct value; empty and NULL values take no part."""
     rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("v")).where("id is not null and v <> ''")
     rows = rows.withColumn("h", F.unhex(F.sha1("v")))
-    values = spread(rows.groupBy("h").agg(F.first("v").alias("v"))).withColumn("f", look_forms("v"))
+    values = spread(rows.groupBy("h").agg(F.first("v").alias("v")), scan=False).withColumn("f", look_forms("v"))
     values = values.select("h", F.xxhash64("f.key").alias("k"), F.unhex(F.sha1("f.shape")).alias("s"))
     return rows.select("id", "h"), values
 
