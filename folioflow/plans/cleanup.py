@@ -35,6 +35,7 @@ HEADING = rf"(?U)^{BLANK}# ([^\n]*)(?:\n|$){BLANK}(?:[^\S\n]+$)?"
 DATE = rf"(?U)^\*[^*\n]*\b(?:1[89]|20)\d\d\b[^*\n]*\*[ \t]*(?:\n|$){BLANK}(?:[^\S\n]+$)?"
 DAY = r"(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,?\s+[A-Z][a-z]+\s+\d{1,2},?\s+\d{4}"
 OLD = rf"(?U)^{BLANK}[^\S\n]*([^\n]*)\n[^\S\n]*{DAY}[^\S\n]*(?:\n|$)(?:[^\S\n]*(?i:\d{{1,2}}:\d{{2}}\s*[AP]M)[^\S\n]*(?:\n|$))?{BLANK}(?:[^\S\n]+$)?"
+NUMBERED_KEYS = (r"(?s)^(.*) \(([1-9]\d*)\)()\z", r"(?s)^(.*) \(([1-9]\d*)\)(\.[^./]*)\z")  # keys that ` (n)` was put into: names without and with an extension
 LONG_PATH, NEAR_EMPTY, LIST_LIMIT, SECTION_LIMIT = 200, 20, 40, 200
 
 
@@ -149,11 +150,47 @@ def delete(state: State, doomed: DataFrame, step: str) -> None:
     state.log(doomed.withColumn("action", F.lit("delete")), step)
 
 
-def place(state: State, moves: DataFrame, step: str, action: str = "move", rounds: int = 50) -> None:
+def free_numbers(losers: DataFrame, taken: DataFrame) -> DataFrame:
+    """``n`` of each loser: the smallest numbers from 2 on that no taken name of the same head and tail bears, in order of ``orig``."""
+    parts = [F.struct(F.regexp_extract("k", p, 1).alias("kh"), F.regexp_extract("k", p, 3).alias("kt"), F.regexp_extract("k", p, 2).try_cast("bigint").alias("h")) for p in NUMBERED_KEYS]
+    held = taken.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("h > 1")
+    held = held.join(losers.select("kh", "kt").distinct(), ["kh", "kt"], "left_semi").distinct()
+    w = Window.partitionBy("kh", "kt")
+    # the j-th taken number h leaves h - 1 - j free ones below it; a loser passes all taken numbers with fewer free ones than its rank
+    skips = held.select("kh", "kt", (F.col("h") - 1 - F.row_number().over(w.orderBy("h"))).alias("at"), F.lit(1).alias("skip"))
+    asks = losers.select("orig", "head", "tail", "kh", "kt", F.row_number().over(w.orderBy("orig")).cast("bigint").alias("at"), F.lit(0).alias("skip"))
+    both = asks.unionByName(skips, allowMissingColumns=True)
+    n = F.col("at") + 1 + F.sum("skip").over(w.orderBy("at", "skip").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("n", n).where("skip = 0").drop("at", "skip")
+
+
+def settle_names(wanted: DataFrame, taken: DataFrame, rounds: int = 50) -> DataFrame:
+    """(orig, final) of (orig, head, tail): head + tail where no other name has that key (k of ``taken``), else head + ` (n)` + tail.
+
+    Names are given in order of ``orig``. All losers of a name get different free numbers at once, so two rounds do
+    however many want it; rounds go on until none is left, and names still left at the bound are an error.
+    """
+    left = wanted.select("orig", "head", "tail", path_key("head").alias("kh"), path_key("tail").alias("kt"), F.lit(1).cast("bigint").alias("n"))
+    settled = None
+    for _ in range(rounds):
+        made = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
+        tried = left.withColumn("final", F.concat("head", made, "tail")).withColumn("k", F.concat("kh", made, "kt")).join(taken.withColumn("t", F.lit(True)), "k", "left")
+        tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
+        good = tried.where("t is null and r = 1")
+        settled = good.select("orig", "final") if settled is None else settled.unionByName(good.select("orig", "final"))
+        bad = tried.where("t is not null or r > 1")
+        if not bad.limit(1).count():
+            return settled
+        taken = cut(taken.union(good.select("k")))
+        left = free_numbers(bad, taken)
+    raise RuntimeError(f"{bad.count()} names still clash after {rounds} rounds")
+
+
+def place(state: State, moves: DataFrame, step: str, action: str = "move") -> None:
     """Move (orig, target): identical attachments of one target merge, other clashes get ` (2)`, ` (3)` ...; all is logged.
 
     Names are taken in order of the first paths. What stays where it is keeps its name; folders of live items are
-    names too. One round settles all movers but those whose made name is taken as well; rounds go on until none is left.
+    names too. All movers of one target are numbered at once.
     """
     moves = moves.select("orig", "target")
     live = alive(state.items)
@@ -172,21 +209,11 @@ def place(state: State, moves: DataFrame, step: str, action: str = "move", round
     first = F.min("orig").over(Window.partitionBy("k", "digest", "is_note"))
     movers = movers.withColumn("to_orig", F.when(~F.col("is_note"), F.coalesce("to_orig", F.when(first != F.col("orig"), first))))
     merged = cut(movers.where("to_orig is not null").select("orig", "to_orig"))
-    left = cut(movers.where("to_orig is null").select("orig", "path", "target").withColumn("n", F.lit(1)).withColumn("final", F.col("target")))
+    left = cut(movers.where("to_orig is null").select("orig", "path", "target"))
     taken = cut(held.select("k").union(folders).distinct())
-    settled = None
-    for _ in range(rounds):
-        tried = left.withColumn("k", path_key("final")).join(taken.withColumn("t", F.lit(True)), "k", "left")
-        tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
-        good = tried.where("t is null and r = 1").select("orig", "path", "final", "k")
-        settled = good if settled is None else settled.unionByName(good)
-        bad = tried.where("t is not null or r > 1")
-        if not bad.limit(1).count():
-            break
-        taken = cut(taken.union(good.select("k")))
-        folder = F.when(dirname("target") != "", F.concat(dirname("target"), F.lit("/"))).otherwise(F.lit(""))
-        left = bad.select("orig", "path", "target", (F.col("n") + 1).alias("n")).withColumn("final", F.concat(folder, stem("target"), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), extension("target")))
-    done = cut(settled.select("orig", "final", F.col("path").alias("before")))
+    folder = F.when(dirname("target") != "", F.concat(dirname("target"), F.lit("/"))).otherwise(F.lit(""))
+    settled = settle_names(left.select("orig", F.concat(folder, stem("target")).alias("head"), extension("target").alias("tail")), taken)
+    done = cut(settled.join(left.select("orig", F.col("path").alias("before")), "orig"))
     items = state.items.join(done, "orig", "left").join(merged, "orig", "left")
     items = items.withColumn("path", F.coalesce("final", "path")).withColumn("deleted", F.col("deleted") | F.col("to_orig").isNotNull()).withColumn("merged_into", F.coalesce("to_orig", "merged_into"))
     state.items = cut(items.drop("final", "before", "to_orig"))
@@ -197,20 +224,8 @@ def place(state: State, moves: DataFrame, step: str, action: str = "move", round
 def unique_folders(state: State, wanted: DataFrame) -> DataFrame:
     """``final`` folder names (orig, folder) that no live file or folder bears yet, nor another of them."""
     live = alive(state.items)
-    taken = live.select("path").union(live.select(F.explode(levels_of("path")))).distinct().select(path_key("path").alias("k"))
-    left = wanted.select("orig", "folder", F.col("folder").alias("final"), F.lit(1).alias("n"))
-    out = None
-    for _ in range(50):
-        tried = left.withColumn("k", path_key("final")).join(taken.withColumn("t", F.lit(True)), "k", "left")
-        tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
-        good = tried.where("t is null and r = 1").select("orig", "final", "k")
-        out = good if out is None else out.unionByName(good)
-        bad = tried.where("t is not null or r > 1")
-        if not bad.limit(1).count():
-            break
-        taken = cut(taken.union(good.select("k")))
-        left = bad.select("orig", "folder", (F.col("n") + 1).alias("n")).withColumn("final", F.concat("folder", F.lit(" ("), F.col("n").cast("string"), F.lit(")")))
-    return out.select("orig", "final")
+    taken = cut(live.select("path").union(live.select(F.explode(levels_of("path")))).distinct().select(path_key("path").alias("k")).distinct())
+    return settle_names(wanted.select("orig", F.col("folder").alias("head"), F.lit("").alias("tail")), taken)
 
 
 # ---------------------------------------------------------------- steps

@@ -113,3 +113,31 @@ def test_vault_reading(spark, tmp_path):
     (tmp_path / "bad.md").write_bytes(b"\xff\xfe")
     got = {r["path"]: r for r in read_vault(spark, str(tmp_path)).collect()}
     assert got["x y/a+b %.md"]["text"].startswith('---\ntitle: "T"\nlist:') and got["bad.md"]["unreadable"] and not got["bad.md"]["is_note"]
+
+
+def test_200_movers_to_one_target_all_settle(spark):
+    rows = [(f"d{i:03}/assets/p.png", False, f"d{i}", None) for i in range(200)]
+    rows += [("p (3).png", False, "s1", None), ("P (7).PNG", False, "s2", None), ("p (8).5 (2).png", False, "s3", None)]
+    rows += [("a/01 - X.md", True, "n1", "".join(f"![](../d{i:03}/assets/p.png)\n" for i in range(200))), ("01 - Y.md", True, "n2", "".join(f"![](d{i:03}/assets/p.png)\n" for i in range(200)))]
+    files = spark.createDataFrame(rows, "path string, is_note boolean, digest string, text string")
+    got = cl.run(files, cl.Options(only=frozenset({"attachments"})))
+    paths = {r["orig"]: r["path"] for r in got["items"].collect()}
+    free = ["p.png", *[f"p ({n}).png" for n in range(2, 203) if n not in (3, 7)]]
+    assert [paths[f"d{i:03}/assets/p.png"] for i in range(200)] == free[:200]
+    assert got["actions"].where("action = 'move'").count() == 200 and paths["P (7).PNG"] == "P (7).PNG" and len(set(paths.values())) == len(rows)
+
+
+def test_200_holders_of_one_name_get_a_folder_each(spark):
+    rows = [(f"N/{i:03} - {'Kid' if i % 2 else 'Same'}.md", True, f"h{i}", page("Kid" if i % 2 else "Same", f"Text {i}.\n", 1 + i % 2)) for i in range(400)]
+    files = spark.createDataFrame(rows, "path string, is_note boolean, digest string, text string")
+    got = cl.run(files, cl.Options(only=frozenset({"nest"})))
+    paths = {r["orig"]: r["path"] for r in got["items"].collect()}
+    folders = ["Same", *[f"Same ({n})" for n in range(2, 201)]]
+    assert [paths[f"N/{i:03} - Same.md"] for i in range(0, 400, 2)] == [f"N/{f}/{f}.md" for f in folders]
+    assert [paths[f"N/{i:03} - Kid.md"] for i in range(1, 400, 2)] == [f"N/{f}/01 - Kid.md" for f in folders]
+
+
+def test_names_that_stay_free_of_clashes_raise_at_the_bound(spark):
+    wanted = spark.createDataFrame([("x", "a", ".png"), ("y", "a", ".png")], "orig string, head string, tail string")
+    with pytest.raises(RuntimeError, match="1 names"):
+        cl.settle_names(wanted, spark.createDataFrame([], "k string"), rounds=1)
