@@ -116,11 +116,12 @@ class State:
 
 
 def load(files: DataFrame) -> DataFrame:
-    """Items of a vault (path, is_note, text, digest). The hierarchy is taken before anything is deleted."""
+    """Items of a vault (path, is_note, text, digest, attached if there is such a column). The hierarchy is taken before anything is deleted."""
     n = front_matter("text")
-    items = files.select("path", "is_note", "digest", F.when(F.col("is_note"), n).alias("n"))
+    attached = F.col("attached") if "attached" in files.columns else F.lit(None).cast("string")
+    items = files.select("path", "is_note", "digest", attached.alias("attached"), F.when(F.col("is_note"), n).alias("n"))
     items = items.select(
-        F.col("path").alias("orig"), "path", "is_note", "digest", F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("merged_into"),
+        F.col("path").alias("orig"), "path", "is_note", "digest", "attached", F.lit(False).alias("deleted"), F.lit(None).cast("string").alias("merged_into"),
         F.coalesce("n.has_fm", F.lit(False)).alias("has_fm"), F.col("n.fm").alias("fm"), F.col("n.body").alias("body"), F.lit(False).alias("folder_only"))
     items = items.withColumn("title", F.when(F.col("is_note"), page_title(get_field(F.col("fm"), "title"), "path"))).withColumn("first_title", F.col("title"))
     items = cut(items.withColumn("level", level(F.coalesce(get_field(F.col("fm"), "level"), F.lit("1")))))
@@ -439,7 +440,9 @@ def run(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame
     unknown = (set(o.skip) | set(o.only)) - {name for name, _ in STEPS}
     if unknown:
         raise ValueError(f"no such step: {', '.join(sorted(unknown))}")
-    state = State(load(files))
+    loaded = load(files)
+    attached = loaded.where("attached is not null").select("orig", "attached")
+    state = State(loaded.drop("attached"))
     for name, step in STEPS:
         if name in o.skip or (o.only and name not in o.only):
             continue
@@ -464,7 +467,7 @@ def run(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame
         attention = attention.union(files.where("unreadable").select(F.lit("unreadable").alias("kind"), "path"))
     if state.unlinked is not None:
         attention = attention.union(state.unlinked.select(F.lit("unlinked").alias("kind"), "path"))
-    return {"items": items, "actions": actions, "renames": state.renames, "broken": broken, "attention": attention, "findings": scan(items.select("path", F.coalesce("text", F.lit("")).alias("text")))}
+    return {"items": items, "actions": actions, "renames": state.renames, "broken": broken, "attention": attention, "findings": scan(items.join(attached, "orig", "left").select("path", F.coalesce("text", "attached", F.lit("")).alias("text")))}
 
 
 def report(result: dict[str, DataFrame]) -> str:

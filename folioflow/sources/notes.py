@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import basename, col, strip
+from folioflow.functions.scan import TEXT_FILES, TEXT_LIMIT
+from folioflow.functions.text import basename, col, extension, strip
 
 KEY = r"^([A-Za-z_][\w-]*):(?:[ \t]+(.*))?$"
 ENTRY = "struct<k:string,v:string,raw:array<string>>"
@@ -73,10 +74,11 @@ def page_head(title: Column, notebook: Column, section: Column, level: Column, c
 
 
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
-    """One row a file: path, length, is_note, unreadable, text (notes), content digest.
+    """One row a file: path, length, is_note, unreadable, text (notes), attached (text attachments), content digest.
 
     Files are listed and read in parallel; notes that are no UTF-8 are assets and marked unreadable. Line ends
-    are folded. The text of other files is not decoded, their bytes only hashed.
+    are folded. ``attached`` is the text of other files with an extension of TEXT_FILES and at most TEXT_LIMIT bytes, bad bytes
+    replaced; of all else the bytes are only hashed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), "/+$", "")
@@ -84,7 +86,9 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     md = F.lower(basename("path")).endswith(".md")
     readable = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.when(md & readable, F.regexp_replace(F.col("content").cast("string"), r"\r\n?", "\n"))
-    return files.select(rel.alias("path"), "length", (md & readable).alias("is_note"), (md & ~readable).alias("unreadable"), text.alias("text"), F.sha1("content").alias("digest"))
+    texts = F.lower(extension("path")).isin(*TEXT_FILES) & (F.col("length") <= TEXT_LIMIT)
+    attached = F.when(~(md & readable) & texts, F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n"))
+    return files.select(rel.alias("path"), "length", (md & readable).alias("is_note"), (md & ~readable).alias("unreadable"), text.alias("text"), attached.alias("attached"), F.sha1("content").alias("digest"))
 
 
 def read_renames(spark: SparkSession, path: str) -> DataFrame:
