@@ -117,13 +117,14 @@ def resolve(found: DataFrame, note_path: str, items: DataFrame, item_path: str,
 def rewrite(notes: DataFrame, key: str, body: str, changes: DataFrame) -> DataFrame:
     """``body`` with each span of ``changes`` (key, start, end, new) replaced; notes without changes stay as they are.
 
-    The spans of one note are gathered and spliced from their positions in order; a note's own text bounds them.
+    The spans of one note are gathered and spliced from their positions in order; a note's own text bounds them. A span
+    that starts inside an earlier one goes with it.
     """
     gathered = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("__c"))
     joined = notes.join(gathered, key, "left")
     spliced = F.aggregate(
         F.col("__c"), F.struct(F.lit("").alias("out"), F.lit(0).alias("pos")),
-        lambda acc, c: F.struct(F.concat(acc["out"], F.substring(F.col(body), acc["pos"] + 1, c["start"] - acc["pos"]), c["new"]).alias("out"), c["end"].alias("pos")),
+        lambda acc, c: F.when(c["start"] < acc["pos"], acc).otherwise(F.struct(F.concat(acc["out"], F.substring(F.col(body), acc["pos"] + 1, c["start"] - acc["pos"]), c["new"]).alias("out"), c["end"].alias("pos"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col(body), acc["pos"] + 1, F.length(body))))
     return joined.withColumn(body, F.when(F.col("__c").isNotNull(), spliced).otherwise(F.col(body))).drop("__c")
 

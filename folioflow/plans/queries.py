@@ -428,6 +428,12 @@ def smart_cased(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "page_out").where(F.col("title").rlike("^[ -~]+$")).select("row_id", tx.smart_case("title").alias("cased"))
 
 
+@query()
+def smart_cased_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title case of all titles, whatever their script."""
+    return table(spark, sf_dir, "page_out").where("title is not null").select("row_id", tx.smart_case("title").alias("cased"))
+
+
 @query(f"SELECT row_id, CASE WHEN length({_strip('title')}) <= 4 THEN repeat('•', length({_strip('title')})) ELSE substring({_strip('title')}, 1, 2) || '…(' || length({_strip('title')}) || ' chars)' END AS sample FROM page_out WHERE title IS NOT NULL")
 def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "page_out").where("title is not null").select("row_id", tx.mask("title").alias("sample"))
@@ -505,6 +511,12 @@ def link_destinations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.links(p, "row_id", "body").select("row_id", "dest")
 
 
+@query()
+def link_destinations_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Link destinations of all pages: nested, spaced, angled and escaped ones too."""
+    return li.links(table(spark, sf_dir, "page_out"), "row_id", "body").select("row_id", "dest")
+
+
 @query()
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link with its target inside the export and whether a page or asset of that key exists."""
@@ -580,6 +592,16 @@ def rewritten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.rewrite(p, "row_id", "body", changes)
 
 
+@query()
+def rewritten_links_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every link of every page pointed elsewhere; angled destinations stay angled, pages without body stay as they are."""
+    p = table(spark, sf_dir, "page_out").select("row_id", "body")
+    new = F.concat(F.lit("moved/"), "dest")
+    angled = F.col("end") - F.col("start") > F.length("dest")
+    changes = li.links(p, "row_id", "body").select("row_id", "start", "end", F.when(angled, F.concat(F.lit("<"), new, F.lit(">"))).otherwise(new).alias("new"))
+    return li.rewrite(p, "row_id", "body", changes)
+
+
 @query(f"""SELECT doc_id, regexp_replace(regexp_extract(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)', 1), '(?m)^title: .*$', 'title: "New “title”"') AS fields FROM {DOCS} WHERE regexp_matches(text, '^---\\n((?:[^\\n]*\\n)*?)---[ \\t]*(?:\\n|$)') AND contains(text, 'title: ')""")
 def frontmatter_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folioflow.sources.notes import front_matter, front_matter_text, set_field
