@@ -1,9 +1,9 @@
 """Text cut off by field limits or mid-transfer: cut records, and how often each source cuts (problem 2).
 
 Method: a backward character n-gram model. For every context (the last 4 to 20 characters before a position) it
-counts, over all distinct values, how often a value ends there and how often it goes on. For each value
+counts, over all pages' titles, how often a value ends there and how often it goes on. For each value
 the final context's end and continuation likelihoods, backed off from long to short contexts and
-with the value's own count left out, give log-odds of having been cut. A prior per channel, length and ellipsis
+with one occurrence of the value left out, give log-odds of having been cut. A prior per channel, length and ellipsis
 (limits pile up cut values at one length) and an exact look at what the body or another
 copy of the title says next are added; the sum is held against a threshold per language and column.
 
