@@ -25,6 +25,7 @@ _LABEL = r"[^\W_](?:[\w-]{0,61}[^\W_])?"
 EMAIL_RE = re.compile(rf"(?<![\w.+%/-])(?:mailto:)?[^\W_](?:[\w.+%'-]{{0,62}}[^\W_])?{_AT}{_LABEL}(?:{_DOT}{_LABEL}){{0,4}}{_DOT}[^\W\d_]{{2,24}}(?![\w@-])")
 DIGIT = re.compile(r"\d")
 PLAIN_AT = re.compile(r"@|＠")
+CAPITALS = re.compile(r"[A-Z]{2,}")
 
 # Proposed telephone shapes and how sure each is by itself.
 _S = r"[ \u00a0\u202f\u2009.\-‐‑–/]"
@@ -94,7 +95,7 @@ GATES = (
     lambda w: not w.isdisjoint(_KINDS), lambda w: not w.isdisjoint(_KINDS), lambda w: not w.isdisjoint(_FIRST), lambda w: not w.isdisjoint(_FIRST),
     lambda w: any(x.endswith(_ENDS) for x in w), lambda w: not w.isdisjoint(_LEADS),
 )
-FIVE = re.compile(r"\d(?:[^\w\n]{0,2}[A-Z]?[^\w\n]{0,2}\d){4}")  # an identity number has five digits close together
+FIVE = re.compile(r"\d(?:\D*\d){4}")  # an identity number has five digits, with letters or signs between them
 SEVEN = re.compile(r"\d(?:[^\w\n]{0,4}\d){6}")  # a telephone number seven
 
 
@@ -199,7 +200,7 @@ def _around(text: str, start: int, end: int) -> tuple[str, str]:
 def _emails(text: str, words: set[str], spans: list) -> None:
     if not PLAIN_AT.search(text):
         spelt = not words.isdisjoint({"at", "arroba", "chiocciola"})
-        if not spelt or not (" AT " in text or "(" in text or "[" in text or "{" in text or not words.isdisjoint({"dot", "punkt", "point", "punto"})):
+        if not spelt or not (CAPITALS.search(text) or "(" in text or "[" in text or "{" in text or not words.isdisjoint({"dot", "punkt", "point", "punto"})):
             return
     for m in EMAIL_RE.finditer(text):
         got = m.group()

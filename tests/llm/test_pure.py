@@ -158,3 +158,18 @@ def test_sentences():
     text = '---\ntitle: "Das ist ein Titel hier"\n---\n\n# Another heading of words\n\nThe pump was moved today. “Wir haben sie nicht gesehen.”\n> A broken\n> line goes on here.\n12 34 56'
     got = langid.sentences(text)
     assert [(p.strip(" “”>\n"), w) for _, _, p, w in got] == [("The pump was moved today.", True), ("Wir haben sie nicht gesehen.", True), ("A broken   line goes on here.", True)]
+
+
+GATED = ["Führerschein B072RRE2I55", "codice fiscale rssmra85t10a562s", "permis de conduire 12abcd34ef5", "passport no ab 1 2 3 4 5", "IBAN GB82 WEST 1234 5698 7654 32", "ni ab 12 34 56 c", "SSN 1  2 - 3 4 5 6 78901", "no 1, 2 and 3"]
+
+
+def test_number_gate_hides_nothing(monkeypatch):
+    gated = [pii.find(t) for t in GATED]
+    monkeypatch.setattr(pii, "FIVE", pii.re.compile(""))
+    assert gated == [pii.find(t) for t in GATED]
+    assert [s[2] for s in gated[0]] == [s[2] for s in gated[1]] == [pii.ID]
+
+
+def test_email_gate_hides_nothing():
+    assert [s[2] for s in pii.find("write to JB at NORTH.example today")] == [pii.EMAIL]
+    assert pii.EMAIL not in [s[2] for s in pii.find("we met at north.example today")]
