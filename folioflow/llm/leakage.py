@@ -28,7 +28,7 @@ LEAST = 12  # words in order that give an item away
 SHINGLE = 3
 OVERLAP = LEAST - SHINGLE + 1 - 2 * SHINGLE  # shingles that two changed words among LEAST leave at least
 GAP = 2  # changed, added or missing words between two matching runs
-BLOCK_WORDS = 2_000_000  # words of evaluation text in one broadcast
+BLOCK_WORDS = 200_000  # words of evaluation text in one broadcast: about 60 MB as an index in a worker
 
 WORD = re.compile(r"[^\W_]+")
 MARKS = re.compile("[\u0300-\u036f]+")
@@ -43,43 +43,45 @@ def words(text: str) -> list[str]:
 
 
 class Targets:
-    """Evaluation texts of one block, ready for look-ups: words, bigrams, and the shingles that are looked up."""
+    """Evaluation texts of one block, ready for look-ups: words, bigrams, and the prefix index.
+
+    Only the prefix shingles are an index from shingle to places. The other shingles of a text are looked at
+    when a prefix has made it a candidate.
+    """
 
     def __init__(self, texts: dict[int, list[str]]) -> None:
         self.texts = texts
         self.vocabulary = {w for ws in texts.values() for w in ws}
         self.bigrams = {p for ws in texts.values() for p in zip(ws, ws[1:])}
-        self.places: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
-        for t, ws in texts.items():
-            for j in range(len(ws) - SHINGLE + 1):
-                self.places[tuple(ws[j : j + SHINGLE])].append((t, j))
-        self.prefix: dict[tuple[str, ...], list[tuple[int, int]]] = dict(self.places)
+        self.shingles = {s for ws in texts.values() for s in _shingles(ws)}
+        self.prefix: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self.own: dict[int, dict[tuple[str, ...], list[int]]] = {}
 
     def keep_prefix(self, counts: dict[int, int]) -> None:
-        """Leave, of every window of LEAST words, the rarest shingles that one of OVERLAP must be among."""
-        need: dict[int, set[int]] = defaultdict(set)
+        """Index, of every window of LEAST words, the rarest shingles that one of OVERLAP must be among."""
         width = LEAST - SHINGLE + 1
+        prefix: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for t, ws in self.texts.items():
-            order = [(counts.get(code(tuple(ws[j : j + SHINGLE])), 0), j) for j in range(len(ws) - SHINGLE + 1)]
+            order = [(counts.get(code(s), 0), j) for j, s in enumerate(_shingles(ws))]
+            need: set[int] = set()
             for start in range(max(1, len(order) - width + 1)):
                 window = sorted(order[start : start + width])
-                need[t].update(j for _, j in window[: max(1, len(window) - OVERLAP + 1)])
-        self.prefix = {}
-        for s, places in self.places.items():
-            kept = [(t, j) for t, j in places if j in need[t]]
-            if kept:
-                self.prefix[s] = kept
+                need.update(j for _, j in window[: max(1, len(window) - OVERLAP + 1)])
+            for j in sorted(need):
+                prefix[tuple(ws[j : j + SHINGLE])].append((t, j))
+        self.prefix = dict(prefix)
 
     def read(self, text: str) -> list[str]:
         """Words of a document; a word of the evaluation texts that a blank has split is joined again."""
         ws = words(text)
-        if self.places.keys().isdisjoint(zip(*[ws[k:] for k in range(SHINGLE)])):
-            return []  # without one whole shingle nothing can be joined to a leak
+        vocabulary, bigrams = self.vocabulary, self.bigrams
+        halves = {i for i, pair in enumerate(zip(ws, ws[1:])) if pair[0] + pair[1] in vocabulary and pair not in bigrams}
+        if not halves:
+            return ws
         out: list[str] = []
         i = 0
-        vocabulary, bigrams = self.vocabulary, self.bigrams
         while i < len(ws):
-            if i + 1 < len(ws) and ws[i] + ws[i + 1] in vocabulary and (ws[i], ws[i + 1]) not in bigrams:
+            if i in halves:
                 out.append(ws[i] + ws[i + 1])
                 i += 2
             else:
@@ -87,41 +89,69 @@ class Targets:
                 i += 1
         return out
 
-    def hits(self, ws: list[str]) -> Iterator[tuple[str, ...]]:
-        places = self.places
-        for s in zip(*[ws[k:] for k in range(SHINGLE)]):
-            if s in places:
-                yield s
+    def hits(self, ws: list[str]) -> set[tuple[str, ...]]:
+        return self.shingles.intersection(_shingles(ws))
+
+    def places(self, target: int) -> dict[tuple[str, ...], list[int]]:
+        """Shingles of one candidate with their places in it."""
+        if target not in self.own:
+            found: dict[tuple[str, ...], list[int]] = defaultdict(list)
+            for j, s in enumerate(_shingles(self.texts[target])):
+                found[s].append(j)
+            self.own[target] = dict(found)
+        return self.own[target]
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(target, words in order, first word, last word) of each target that the document gives away."""
         ws = self.read(text)
         if len(ws) < LEAST:  # length bound
             return []
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        prefixes: set[int] = set()
-        places, prefix = self.places, self.prefix
-        for i, s in enumerate(zip(*[ws[k:] for k in range(SHINGLE)])):
-            if s in places:
-                for t, j in places[s]:
-                    found[t].append((i, j))
-                for t, _ in prefix.get(s, ()):
-                    prefixes.add(t)
+        runs = list(_shingles(ws))
+        if self.prefix.keys().isdisjoint(runs):
+            return []
+        candidates: dict[int, list[int]] = defaultdict(list)
+        for i, s in enumerate(runs):
+            for t, _ in self.prefix.get(s, ()):
+                candidates[t].append(i)
         out = []
-        for t in sorted(prefixes):
-            if len(found[t]) < OVERLAP:  # overlap bound
+        exact: set[int] = set()
+        for t in sorted(candidates):
+            item, places = self.texts[t], self.places(t)
+            reach = 2 * len(item) + LEAST  # position bound: a leak lies within so many words of a prefix hit
+            hits: list[tuple[int, int]] = []
+            at = 0
+            for i in candidates[t]:
+                for k in range(max(at, i - reach), min(len(runs), i + reach + 1)):
+                    hits += [(k, j) for j in places.get(runs[k], ())]
+                at = max(at, i + reach + 1)
+            if len(hits) < OVERLAP:  # overlap bound
                 continue
-            best = _chain(found[t], ws, self.texts[t])
+            best = _chain(hits, ws, item)
             if best[0] >= LEAST:
                 out.append((t, *best))
-        return [x for x in out if not any(_explains(y, x) for y in out)]
+                if _longest_run(hits) >= LEAST:
+                    exact.add(t)
+        return [x for x in out if x[0] in exact or not any(_explains(y, x) for y in out)]
+
+
+def _shingles(ws: list[str]) -> Iterator[tuple[str, ...]]:
+    return zip(*[ws[k:] for k in range(SHINGLE)])
+
+
+def _longest_run(hits: list[tuple[int, int]]) -> int:
+    """Words of the longest run that is word for word the same in both texts."""
+    ends: dict[tuple[int, int], int] = {}
+    for i, j in sorted(hits):
+        ends[i, j] = ends.get((i - 1, j - 1), SHINGLE - 1) + 1
+    return max(ends.values(), default=0)
 
 
 def _explains(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool:
-    """Whether leak a, which has more words in order, covers most of the words of leak b.
+    """Whether leak a, which has more words in order, covers most of the words of leak b, which changed words hold together.
 
-    Items share turns of phrase; where a document gives one item away, a part of the same words also
-    fits another item. The words belong to the item that explains more of them.
+    Items share turns of phrase; where a document gives one item away, a part of the same words, bridged over
+    changed ones, also fits another item. Such words belong to the item that explains more of them. A run
+    of LEAST words that is the same word for word gives its item away whatever else the words fit.
     """
     common = min(a[3], b[3]) - max(a[2], b[2]) + 1
     return a[1] > b[1] and common >= 0.6 * (b[3] - b[2] + 1)
@@ -244,7 +274,7 @@ def _count(docs: DataFrame, targets: Targets) -> dict[int, int]:
         for batch in batches:
             n: Counter = Counter()
             for text in batch["text"]:
-                n.update(set(t.hits(t.read(text))))
+                n.update(t.hits(t.read(text)))
             yield pd.DataFrame({"code": pd.Series([code(s) for s in n], dtype="int64"), "n": pd.Series(list(n.values()), dtype="int64")})
 
     rows = docs.select("text").mapInPandas(count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))

@@ -173,3 +173,30 @@ def test_number_gate_hides_nothing(monkeypatch):
 def test_email_gate_hides_nothing():
     assert [s[2] for s in pii.find("write to JB at NORTH.example today")] == [pii.EMAIL]
     assert pii.EMAIL not in [s[2] for s in pii.find("we met at north.example today")]
+
+
+def test_leaks_in_split_words_and_inside_other_leaks():
+    item = [f"word{i}" for i in range(15)]
+    t = leakage.Targets({1: item})
+    t.keep_prefix({})
+    split = " ".join(w[:3] + " " + w[3:] if i % 3 == 2 else w for i, w in enumerate(item))
+    assert t.leaks(split)  # no three words stand whole together
+    long = [f"long{i}" for i in range(10)] + [f"short{i}" for i in range(20)] + [f"end{i}" for i in range(10)]
+    both = leakage.Targets({1: long, 2: [f"short{i}" for i in range(20)]})
+    both.keep_prefix({})
+    assert {x[0] for x in both.leaks("before " + " ".join(long) + " after")} == {1, 2}
+    near = leakage.Targets({1: item, 2: [w if i % 4 else f"other{i}" for i, w in enumerate(item)]})
+    near.keep_prefix({})
+    assert {x[0] for x in near.leaks(" ".join(item))} == {1}
+
+
+def test_prefix_finds_what_the_full_index_finds():
+    rnd = random.Random(5)
+    texts = {t: [f"w{rnd.randint(0, 60)}" for _ in range(rnd.randint(12, 30))] for t in range(12)}
+    docs = [sum((texts[rnd.randrange(12)][rnd.randint(0, 8) :][: rnd.randint(5, 25)] + [f"n{rnd.randint(0, 9)}"] for _ in range(3)), []) for _ in range(200)]
+    small, full = leakage.Targets(texts), leakage.Targets(texts)
+    small.keep_prefix({leakage.code(s): n for n, s in enumerate(sorted(small.shingles))})
+    full.prefix = {s: [(t, 0) for t in texts if s in full.places(t)] for s in full.shingles}
+    assert sum(map(len, small.prefix.values())) < sum(len(full.places(t)) for t in texts)
+    for doc in docs:
+        assert small.leaks(" ".join(doc)) == full.leaks(" ".join(doc))
