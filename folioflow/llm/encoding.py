@@ -6,7 +6,9 @@ references. Visited states are hashed; a character-plausibility cost plus the co
 orders the queue, and the cheapest reachable text wins if it beats the input by a margin.
 
 The search runs per word of a field (words without a suspicious character are never searched),
-so a passage inside an intact text is found, and the distinct words are memoised per task.
+so a passage inside an intact text is found, and the distinct words are memoised per task. It has no bound
+on states or depth: every operation but the first single-byte one shortens the text, edges cost, and a
+path that has paid as much as the best text is left, so it ends by itself.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SINGLE_READ = (("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252")
                ("cp1252", "cp1250"), ("cp1252", "mac_roman"), ("cp1252", "cp850"), ("cp1252", "cp866"))
 # Letters beyond ASCII of the nine languages en de fr es pt it nl pl ru, and usual signs.
 LETTERS = set("äöüßàâæçèéêëîïôœùûÿáíñóúãõìòąćęłńśźżÄÖÜÀÂÆÇÈÉÊËÎÏÔŒÙÛŸÁÍÑÓÚÃÕÌÒĄĆĘŁŃŚŹŻåÅøØ")
+# Small letters of other European languages: plausible by themselves, as capitals only where a capital stands.
+FOREIGN = {chr(c) for c in [0xF0, 0xFD, 0xFE, *range(0x100, 0x180), 0x219, 0x21B] if chr(c).islower()} - {"ŉ", "ſ"}
 SIGNS = set("–—‘’“”„…•€«»°№£§·±×²³¹½¼¾º¿¡−≈≥≤→µ©®™†\u00a0\u2009\u202f\u3000\u2007")
 BOXES = re.compile("[\u2500-\u259f]")
 WIDE = re.compile("[\u3400-\u9fff]")
@@ -38,8 +42,8 @@ WORD = re.compile(r"[^ \t\n\r]+")
 GATE = 0.9  # cheaper words are plausible as they stand
 MARGIN = 0.3  # a restored word must be cheaper by this much, edges included
 EDGE, EDGE_SINGLE, EDGE_WIDE = 0.4, 1.7, 0.8  # UTF-8 checks itself, single-byte pages decode anything
-MAX_DEPTH = 3
-MAX_STATES = 200
+REFERENCE = re.compile(r"&(?:amp;)*(?!(?:amp|lt|gt|quot|apos|nbsp);)(?:[A-Za-z][A-Za-z0-9]{1,30}|#\d{3,7}|#[xX][0-9A-Fa-f]{2,6});")
+BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 def _encode(text: str, page: str) -> bytes | None:
@@ -72,6 +76,14 @@ def _script(ch: str) -> str:
     return "X"
 
 
+def _capital(text: str, i: int) -> bool:
+    """Whether a capital stands where one may: at the start of a word in small letters, or among capitals."""
+    before, after = text[i - 1 : i], text[i + 1 : i + 2]
+    if not before.isalpha():
+        return after.isascii() and after.isalpha()
+    return before.isascii() and before.isupper() and (not after.isalpha() or after.isupper())
+
+
 def cost(text: str) -> float:
     """How implausible a piece of text is: 0 for plain words, more for signs that decoding errors leave."""
     total, prev, run = 0.0, "", 0
@@ -94,7 +106,7 @@ def cost(text: str) -> float:
             s = _script(ch)
             seen.add(s)
             if s == "L":
-                total += 0.35 if ch in LETTERS else 1.8
+                total += 0.35 if ch in LETTERS or ch in FOREIGN or ch.lower() in FOREIGN and _capital(text, i) else 1.8
                 run += 1
                 if run > 1:
                     total += 0.2 if run == 2 else 1.5
@@ -113,7 +125,7 @@ def cost(text: str) -> float:
             else:
                 total += 0.2 if o >= 0xFF00 else 3.0
         elif unicodedata.combining(ch):
-            total += 0.5 if o < 0x370 else 3.0
+            total += 0.5 if o < 0x370 and prev.isalpha() else 3.0
         elif ch == "’" and prev.isalpha() and i + 1 < n and text[i + 1].isalpha():
             total += 0.1
         elif ch in SIGNS:
@@ -159,7 +171,7 @@ def _next(text: str, first: bool) -> Iterator[tuple[str, float, bool]]:
                 out = raw.decode(wrote)
             except UnicodeDecodeError:
                 continue
-            if out != text and len(out) == len(text) and not BOXES.search(out):
+            if out != text and len(out) == len(text) and not BOXES.search(out) and len({_script(c) for c in out if c.isalpha() and c not in "µªº"}) < 2:
                 # single-byte pages decode anything, so the evidence must be stronger
                 yield out, EDGE_SINGLE, True
     if first and WIDE.search(text):
@@ -175,46 +187,76 @@ def _next(text: str, first: bool) -> Iterator[tuple[str, float, bool]]:
             yield out, EDGE + 0.5, False
 
 
-@lru_cache(maxsize=200_000)
-def restore_word(word: str) -> tuple[str, bool, bool]:
-    """(text, was garbled, restored) of one word; a lossy word is garbled and left as it is."""
-    start = cost(word)
-    if "\ufffd" in word:
-        return word, True, False
-    if start < GATE:
-        return word, False, False
+def _search(word: str, start: float) -> tuple[str, float] | None:
+    """The cheapest text that decoding anew reaches, and its cost with its edges; None if none is cheaper than the start."""
     queue = [(start, 0.0, 0, word, False)]
     seen = {word}  # compared by value too: Python hashes a UTF-16 string and its bytes alike
-    best, best_cost, best_depth = word, start, 0
-    while queue and len(seen) < MAX_STATES:
+    best, best_cost = None, start
+    while queue:
         _, paid, depth, text, anew = heapq.heappop(queue)
-        if depth >= MAX_DEPTH:
-            continue
         for out, edge, decodes in _next(text, depth == 0):
-            if out in seen:
+            if out in seen or paid + edge >= best_cost:
                 continue
             seen.add(out)
             full = paid + edge + cost(out)
             if full < best_cost and (anew or decodes):
-                best, best_cost, best_depth = out, full, depth + 1
+                best, best_cost = out, full
             heapq.heappush(queue, (full, paid + edge, depth + 1, out, anew or decodes))
-    if best_depth and start - best_cost >= MARGIN:
-        return best, True, True
-    return word, False, False
+    return (best, best_cost) if best is not None else None
+
+
+def _restore_word(word: str) -> tuple[str, bool, bool]:
+    """(text, was garbled, restored) of one word; a lossy word is garbled and left as it is.
+
+    Where the whole word can't be decoded anew, each run beyond ASCII in it is tried by itself.
+    """
+    if "\ufffd" in word:
+        return word, True, False
+    seen = html.unescape(word) if "&" in word and REFERENCE.search(word) else word
+    start = max(cost(word), cost(seen))  # escaped garble looks innocent until it is resolved
+    if start < GATE:
+        return word, False, False
+    found = _search(word, start)
+    if found and start - found[1] >= MARGIN:
+        return found[0], True, True
+    if word.isascii() or BEYOND.fullmatch(word):
+        return word, False, False
+    runs = []
+
+    def run(m: re.Match) -> str:
+        piece = m.group()
+        if len(piece) < 2 or (here := cost(piece)) < GATE:
+            return piece
+        got = _search(piece, here)
+        if got and len(got[0]) < len(piece) and here - got[1] >= 2 * MARGIN:
+            runs.append(piece)
+            return got[0]
+        return piece
+
+    text = BEYOND.sub(run, word)
+    return (text, True, True) if runs else (word, False, False)
+
+
+_remembered = lru_cache(maxsize=200_000)(_restore_word)
+
+
+def restore_word(word: str) -> tuple[str, bool, bool]:
+    """As :func:`_restore_word`; short words are remembered, for they come again."""
+    return _remembered(word) if len(word) <= 100 else _restore_word(word)
 
 
 def restore(text: str | None) -> tuple[str | None, bool, bool]:
     """(restored text, holds a garbled passage, every garbled passage restored)."""
-    if not text or not SUSPECT.search(text):
+    if not text or not (SUSPECT.search(text) or REFERENCE.search(text)):
         return text, False, False
     bad = lost = False
     parts: list[str] = []
     at = 0
     for m in WORD.finditer(text):
         w = m.group()
-        if w.isascii():
+        if w.isascii() and not ("&" in w and REFERENCE.search(w)):
             continue
-        out, garbled, ok = restore_word(w) if len(w) <= 400 else restore_long(w)
+        out, garbled, ok = restore_word(w)
         if garbled:
             bad = True
             lost |= not ok
@@ -225,18 +267,6 @@ def restore(text: str | None) -> tuple[str | None, bool, bool]:
     return "".join([*parts, text[at:]]), True, not lost
 
 
-def restore_long(word: str) -> tuple[str, bool, bool]:
-    """A run without blanks is searched in pieces, so a text without any blank costs linear time."""
-    bad = lost = False
-    out = []
-    for i in range(0, len(word), 200):
-        t, g, ok = restore_word(word[i : i + 200])
-        out.append(t)
-        bad |= g
-        lost |= g and not ok
-    return "".join(out), bad, bad and not lost
-
-
 REPAIR = T.StructType([T.StructField("text", T.StringType()), T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.BooleanType())])
 
 
@@ -248,8 +278,8 @@ def restore_text(texts: pd.Series) -> pd.DataFrame:
 
 
 def suspicious(column: str) -> Column:
-    """JVM-side filter: only values with a character beyond ASCII can be garbled."""
-    return F.col(column).rlike(r"[^\x00-\x7F]")
+    """JVM-side filter: only values with a character beyond ASCII, written out or as a character reference, can be garbled."""
+    return F.col(column).rlike(r"[^\x00-\x7F]") | F.col(column).rlike(REFERENCE.pattern)
 
 
 def repair_encoding(df: DataFrame, *columns: str) -> DataFrame:

@@ -200,3 +200,24 @@ def test_prefix_finds_what_the_full_index_finds():
     assert sum(map(len, small.prefix.values())) < sum(len(full.places(t)) for t in texts)
     for doc in docs:
         assert small.leaks(" ".join(doc)) == full.leaks(" ".join(doc))
+
+
+@pytest.mark.parametrize("text", ["Íslenska þýðing ðð", "Ðað er Þór", "ÞÝÐING", "Škoda čtyři řeka", "İstanbul ağaç", "știință țară", "Łódź", "õhtu sööma"])
+def test_letters_of_other_languages_stay(text):
+    assert encoding.restore(text) == (text, False, False)
+
+
+@pytest.mark.parametrize("text", ["é" * 300, "a" * 199 + "é" * 150, "ab" * 700 + "ñ"])
+def test_long_words_are_restored_whole(text):
+    assert encoding.restore(text.encode().decode("cp1252")) == (text, True, True)
+
+
+def test_escaped_garble_is_found():
+    assert encoding.restore("M&Atilde;&frac14;ller") == ("Müller", True, True)
+    assert encoding.restore("&#195;&#169;t&#195;&#169;")[1:] == (True, True)
+    for right in ("M&uuml;ller", "a &amp; b", "&alpha; &eacute;t&eacute;", "&nbsp;x"):
+        assert encoding.restore(right) == (right, False, False)
+
+
+def test_garble_in_a_word_with_right_signs():
+    assert encoding.restore("«cafÃ©s»")[0] == "«cafés»"
