@@ -89,6 +89,7 @@ def cost(text: str) -> float:
     total, prev, run = 0.0, "", 0
     seen: set[str] = set()
     n = len(text)
+    loud = n > 3 and text.isalpha() and text.isupper() and any(c.isascii() for c in text)  # a word in capitals may hold any
     for i, ch in enumerate(text):
         o = ord(ch)
         if o < 128:
@@ -106,10 +107,10 @@ def cost(text: str) -> float:
             s = _script(ch)
             seen.add(s)
             if s == "L":
-                total += 0.35 if ch in LETTERS or ch in FOREIGN or ch.lower() in FOREIGN and _capital(text, i) else 1.8
+                total += 0.35 if ch in LETTERS or ch in FOREIGN or ch.lower() in FOREIGN and (loud or _capital(text, i)) else 1.8
                 run += 1
                 if run > 1:
-                    total += 0.2 if run == 2 else 1.5
+                    total += 0.2 if run == 2 or loud else 1.5
                 # a capital after a small letter, or an accented capital amid small ones
                 if ch.isupper() and prev.islower():
                     total += 3.0
