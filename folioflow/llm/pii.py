@@ -35,6 +35,7 @@ PHONES = [
     (re.compile(rf"(?<![\w+./-])(?:1{_S})?[2-9]\d{{2}}({_S})[2-9]\d{{2}}\1\d{{4}}(?:\s?(?:ext\.?|x)\s?\d{{1,5}})?(?![\w-]|[.,/]\d)"), 0.6),
     (re.compile(r"(?<![\w+./-])0[1-9](?:[ \u00a0.]\d{2}){4}(?![\w-]|[.,/]\d)"), 0.6),
     (re.compile(r"(?<![\w+./-])\(?0\d{2,5}\)?(?:[ \u00a0/]|[ ]?/[ ]?)\d{3,5}(?:[ \u00a0-]\d{2,5}){0,3}(?![\w-]|[.,/]\d)"), 0.55),
+    (re.compile(r"(?<![\w+./-])\(?0\d{2,5}\)?[ \u00a0/\-‐‑–]\d{5,8}(?![\w-]|[.,/]\d)"), 0.35),
     (re.compile(r"(?<![\w+./-])0\d{9,10}(?![\w-]|[.,/]\d)"), 0.35),
     (re.compile(r"(?<![\w+./-])[5-9]\d{2}[ \u00a0-]\d{3}[ \u00a0-]\d{3}(?![\w-]|[.,/]\d)"), 0.35),
     (re.compile(r"(?<![\w+./-])8[ -]\(?\d{3}\)?[ -]\d{3}[ -]\d{2}[ -]\d{2}(?![\w-])"), 0.6),
@@ -65,7 +66,7 @@ IDS = [
     (re.compile(r"(?<![\w.+/-])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])"), 0.1),
     (re.compile(r"(?<![\w.+/-])((?:\d[ -]?){12,18}\d)(?![\w-]|[.,/]\d)"), 0.0),
 ]
-ID_WORDS = re.compile(r"\b(?:permit|form asks|on file|booked under|from the card|copy for|renew|valid|identity|ausweis|passport|licen[cs]e|tax|social|SSN|IBAN|account|konto|card|karte)\b", re.I)
+ID_WORDS = re.compile(r"\b(?:permit|form|file|booked|copy|renew|valid|identity|ausweis|passport|licen[cs]e|tax|social|SSN|IBAN|account|konto|card|karte)\b", re.I)
 
 # Kinds of streets, before and after the name.
 _AFTER = r"(?:Street|St\.?|Road|Rd\.?|Lane|Ln\.?|Avenue|Ave\.?|Crescent|Cres\.?|Close|Court|Ct\.?|Drive|Dr\.?|Way|Place|Pl\.?|Square|Sq\.?|Terrace|Row|Walk|Hill|Boulevard|Blvd\.?|Gardens|Mews|Parade|Quay|Wharf|Highway)"
@@ -116,22 +117,51 @@ _N = rf"{_UP}(?:{_LO}+(?:[-'’]{_UP}?{_LO}+)*|['’]{_UP}{_LO}+)"
 _B = "[ \u00a0\u202f]"
 _FAMILY = rf"(?:(?:van der|van den|van de|van|von der|von|de la|de|del|della|di|da|dos|du|zu|ter|ten){_B})?{_N}"
 _NAME = rf"(?:{_N}{_B}(?:{_N}{_B}|{_UP}\.{_B}){{0,2}}{_FAMILY}|(?:{_UP}\.{_B}?){{1,2}}{_FAMILY}|{_N},{_B}{_N})"
-STRONG_CUE = re.compile(
-    r"(?:spoke (?:with|to)|thanks to|birthday of|borrowed by|lent to|returned by|signed(?: by)?:?|letter to|letter from|meeting with|met with|call(?: from)?|note from|mail from|message from"
-    r"|over to|attn:?|dear|written by|reported by|rückgabe an|danke an|gespräch mit|geburtstag von|ausgeliehen von|gez\.|merci à|rendez-vous avec|gracias a|reunión con|grazie a|incontro con|obrigado a|reunião com|dank aan|afspraak met|spotkanie z|спасибо|встреча с|owner:|author:|contact:)\s+$", re.I)
-AFTER_CUE = re.compile(r"^\s(?:wants?\b|is on the\b|called\b|asked\b|said\b|wrote\b|says\b|signed\b|left\b|will\b|möchte\b|hat\b|sagt\b|until\b|re\b|–\s)")
+# Phrases right before a person, and words right after one; a bar parts the phrases.
+BEFORE_PERSON = (
+    "spoke with|spoke to|thanks to|birthday of|borrowed by|lent to|returned by|signed by|signed|letter to|letter from|meeting with|met with|call from|call|note from|mail from|message from"
+    "|over to|attn|dear|written by|reported by|rückgabe an|danke an|gespräch mit|geburtstag von|ausgeliehen von|gez.|merci à|rendez-vous avec|gracias a|reunión con|grazie a|incontro con"
+    "|obrigado a|reunião com|dank aan|afspraak met|spotkanie z|спасибо|встреча с|owner:|author:|contact:"
+)
+ASKED = (
+    "ask|asked|tell|told|phone|phoned|ring|rang|email|emailed|contact|thank|thanked|visit|visited|invite|invited|remind|frag|frage|fragt|sag|ruf|demander à|demandez à|appeler|pregunta a|llama a|chiedi a|chiama"
+    "|pergunte a|liga a|vraag|bel|zapytaj|спроси|позвони"
+)
+AFTER_PERSON = "wants?|is on the|called|asked|said|wrote|says|signed|left|will|möchte|hat|sagt|until|re|–"
+ACTED = (
+    "called|asked|said|says|wrote|told|phoned|rang|brought|borrowed|returned|promised|agreed|offered|lent|thinks|thought|explained|suggested|complained|apologised|apologized|reminded|invited|arrived|answered|replied"
+    "|sagte|sagt|fragte|brachte|rief|schrieb|meinte|a dit|a demandé|a appelé|a apporté|dijo|preguntó|llamó|trajo|ha detto|ha chiesto|ha chiamato|ha portato|disse|perguntou|ligou|trouxe|zei|vroeg|belde|bracht"
+    "|powiedział|powiedziała|zapytał|zapytała|zadzwonił|zadzwoniła|сказал|сказала|спросил|спросила|позвонил|позвонила|принёс|принесла"
+)
+
+
+def _phrases(listed: str) -> str:
+    return "|".join(re.escape(p).replace(r"\ ", " ").replace("s\\?", "s?") for p in listed.split("|"))
+
+
+STRONG_CUE = re.compile(rf"(?<!\w)(?:{_phrases(BEFORE_PERSON)}):?\s+$", re.I)
+ASK_CUE = re.compile(rf"(?<!\w)(?:{_phrases(ASKED)})\s+$", re.I)
+AFTER_CUE = re.compile(rf"^\s(?:{_phrases(AFTER_PERSON)})(?!\w)")
+ACT_CUE = re.compile(rf"^\s(?:{_phrases(ACTED)})(?!\w)")
 TITLED = re.compile(rf"(?<![\w.]){TITLES}\.?{_B}(?:{_NAME}|(?:{_UP}\.{_B}?)?{_FAMILY})(?!\w)")
-FULL = re.compile(rf"(?<![\w@.-])(?!(?:Call|Signed|Thanks|Dear|Letter|Note|Mail|Meeting|Ask|Contact|Tel|Mobile|Attn)\b){_NAME}(?![\w@-])")
+FULL = re.compile(rf"(?<![\w@.-])(?!(?:Call|Signed|Thanks|Dear|Letter|Note|Mail|Meeting|Ask|Tell|Contact|Tel|Phone|Ring|Email|Thank|Visit|Invite|Remind|Mobile|Attn|Frag|Frage)\b){_NAME}(?![\w@-])")
 LONE = re.compile(rf"(?<![\w@.-]){_FAMILY}(?![\w@-])")
 WORDS = re.compile(r"[^\W\d_]+")
 INITIAL = re.compile(rf"(?<!\w){_UP}\.{_B}?{_UP}")
-# Words of the cues and titles; a text with none of them, no given name and no initial names nobody.
-CUE_WORDS = set(
-    "spoke thanks birthday borrowed lent returned signed letter meeting met call note mail message over attn attention dear written reported rückgabe danke gespräch geburtstag gez "
-    "merci rendez gracias reunión grazie incontro obrigado reunião dank afspraak spotkanie спасибо встреча owner author contact".split()
-) | {w.lower() for w in TITLES[3:-1].split("|")}
+DASH = re.compile(r"\s–\s")
+
+
+def _first_words(listed: str) -> set[str]:
+    """The first word, as WORDS reads it, of each phrase: a text without any of them holds none of the phrases."""
+    return {WORDS.search(p).group().lower() for p in listed.split("|") if WORDS.search(p)}
+
+
+CUE_WORDS = _first_words(BEFORE_PERSON) | _first_words(ASKED) | _first_words(TITLES[3:-1])
+ACT_WORDS = _first_words(AFTER_PERSON.replace("s?", "")) | _first_words(AFTER_PERSON.replace("s?", "s")) | _first_words(ACTED)
 GIVEN_SMALL = {g.lower() for g in GIVEN}
-PLACE = re.compile(r"^(?:Street|Road|Lane|Crescent|Rd|St|Avenue|Square|Row|Bed|Plane|Pruning|Gold|House|Hall|Office|Garden|Bridge|River|Lake|Museum|School|Club|Room|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|Juni|Juli|Oktober|Dezember|Grid|Road|Mail|Note|Notes|Page|Box|Flat|Unit)$")
+# Articles and the like, by which a capitalised phrase is no name.
+ARTICLES = set("the a an our my your his her their this that der die das den dem ein eine le la les un une el los las il lo gli o os as het een de".split())
+PLACE = re.compile(r"^(?:Street|Road|Lane|Crescent|Rd|St|Avenue|Square|Row|House|Hall|Office|Garden|Bridge|River|Lake|Museum|School|Club|Room|Monday|Tuesday|Wednesday|Thursday|Friday|Saturday|Sunday|January|February|March|April|May|June|July|August|September|October|November|December|Montag|Dienstag|Mittwoch|Donnerstag|Freitag|Samstag|Sonntag|Januar|Februar|März|Juni|Juli|Oktober|Dezember|Grid|Road|Mail|Note|Notes|Page|Box|Flat|Unit)$")
 
 
 def luhn(digits: str) -> bool:
@@ -257,23 +287,25 @@ def _addresses(text: str, words: set[str], spans: list) -> None:
 
 
 def _names(text: str, words: set[str], spans: list) -> None:
-    if words.isdisjoint(GIVEN_SMALL) and words.isdisjoint(CUE_WORDS) and not INITIAL.search(text):
-        return
-    for m in TITLED.finditer(text):
-        if not PLACE.match(m.group().split()[-1]):
-            spans.append((m.start(), m.end(), NAME, 0.9))
-    for m in FULL.finditer(text):
-        got = m.group()
-        parts = re.split(r"[,\s]+", got)
-        before, after = _around(text, m.start(), m.end())
-        score = 0.15
-        score += 0.35 if (parts[-1] if "," in got else parts[0]) in GIVEN else 0.0
-        score += 0.45 if STRONG_CUE.search(before) else 0.0
-        score += 0.25 if AFTER_CUE.match(after) else 0.0
-        score += 0.2 if got[1] == "." else 0.0
-        score -= 0.6 if any(PLACE.match(w) for w in parts) else 0.0
-        spans.append((m.start(), m.end(), NAME, min(score, 0.93)))
-    if not words.isdisjoint(CUE_WORDS):
+    cued, acted = not words.isdisjoint(CUE_WORDS), not words.isdisjoint(ACT_WORDS) or bool(DASH.search(text))
+    given = not words.isdisjoint(GIVEN_SMALL)
+    if cued:
+        for m in TITLED.finditer(text):
+            if not PLACE.match(m.group().split()[-1]):
+                spans.append((m.start(), m.end(), NAME, 0.9))
+    if cued or given or acted:  # nothing else lifts a name over the threshold
+        for m in FULL.finditer(text):
+            got = m.group()
+            parts = re.split(r"[,\s]+", got)
+            before, after = _around(text, m.start(), m.end())
+            score = 0.15
+            score += 0.35 if (parts[-1] if "," in got else parts[0]) in GIVEN else 0.0
+            score += 0.45 if STRONG_CUE.search(before) else 0.38 if ASK_CUE.search(before) else 0.0
+            score += 0.38 if ACT_CUE.match(after) else 0.25 if AFTER_CUE.match(after) else 0.0
+            score += 0.2 if got[1] == "." else 0.0
+            score -= 0.6 if any(PLACE.match(w) for w in parts) or parts[0].lower() in ARTICLES else 0.0
+            spans.append((m.start(), m.end(), NAME, min(score, 0.93)))
+    if cued and (acted or given):
         for m in LONE.finditer(text):  # a family name alone needs a cue on both sides
             before, after = _around(text, m.start(), m.end())
             if len(m.group()) > 3 and STRONG_CUE.search(before) and AFTER_CUE.match(after) and not PLACE.match(m.group().split()[-1]):
