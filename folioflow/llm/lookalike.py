@@ -6,8 +6,9 @@ with a Latin shape are mapped first. Two forms come out:
 
 * ``clean``: the consistent text to keep. Nothing visible changes: case, accents, raised digits,
   dashes and quotation marks stay.
-* ``key``: the comparison key of the method (compatibility-normalised, case-folded). It is wider than
-  "looks the same", so pairs found by key are checked exactly on ``clean``.
+* ``key``: the comparison key of the method: full compatibility normalisation and case folding. It is wider
+  than "looks the same" (case, raised digits and more fold away), so values are candidates by key
+  and are then checked exactly on ``shape``, which keeps every visible difference.
 """
 
 from __future__ import annotations
@@ -45,10 +46,23 @@ FIXED_GREEK = regex.compile(f"[\\p{{Greek}}--[{''.join(GREEK)}µΩμ]]", regex.V
 FIXED_LATIN = regex.compile(f"[\\p{{Latin}}--[{''.join(set(CYRILLIC.values()) | set(GREEK.values()))}]]", regex.V1)
 
 
+# Kinds of compatibility mapping that change width or form only, not what is seen; in ALIKE only letters and digits do so.
+PLAIN_TAGS = ("<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+ALIKE_TAG = "<compat>"
+
+
 def _table() -> dict[int, int | str | None]:
-    """One pass over a text: invisibles go, blanks become the blank, full and half width and ligatures their plain form."""
-    plain = [*range(0xFF01, 0xFFA0), *range(0xFFA1, 0xFFF0), *range(0xFB00, 0xFB07), 0x132, 0x133, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2160, 0x2180)]
-    out: dict[int, int | str | None] = {c: unicodedata.normalize("NFKC", chr(c)) for c in plain}
+    """One pass over a text: invisibles go, blanks become the blank, and every compatibility character whose mapping keeps the look becomes its plain form."""
+    out: dict[int, int | str | None] = {}
+    for c in range(0x80, 0x10000):
+        mapped = unicodedata.decomposition(chr(c))
+        if not mapped.startswith("<"):
+            continue
+        tag, plain = mapped.split(" ", 1)[0], unicodedata.normalize("NFKC", chr(c))
+        one, drawn = len(plain) == 1, chr(c).isalnum()
+        # ligatures and numerals look like their letters, radicals like their signs; the old forms of Latin and Greek letters do not
+        if tag in PLAIN_TAGS or tag == ALIKE_TAG and plain.isalnum() and (one and c >= 0x400 or not one and drawn):
+            out[c] = plain
     out |= {c: " " for c in BLANKS} | {c: None for first, last in IGNORABLE for c in range(first, last + 1)}
     return out | {ord(k): v for k, v in SAME.items()}
 
@@ -102,14 +116,14 @@ def shape(text: str) -> str:
 
 
 def key(text: str) -> str:
-    """The method's key: NFKC, full case folding, mapped white space, no default-ignorables, NFKC again."""
-    return _key(shape(text))
-
+    """The method's key: look-alike letters mapped, then compatibility-composed, fully case-folded, white space mapped, default-ignorables gone.
 
-def _key(seen: str) -> str:
-    if seen.isascii():
-        return seen.lower().strip()
-    return SPACES.sub(" ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", seen).casefold()).translate(SHAPE)).strip()
+    Composition comes before the look-alikes (an accented letter is one letter), and once more after the folding.
+    """
+    if text.isascii():
+        return SPACES.sub(" ", text.replace("\t", " ")).lower().strip()
+    folded = unicodedata.normalize("NFKC", text.translate(SHAPE)).translate(MAP).casefold()
+    return SPACES.sub(" ", unicodedata.normalize("NFKC", folded).translate(SHAPE)).strip()
 
 
 CLEAN = T.StructType([T.StructField("clean", T.StringType()), T.StructField("key", T.StringType())])
@@ -130,11 +144,7 @@ def clean_forms(values: pd.Series) -> pd.DataFrame:
 
 @F.pandas_udf(LOOK)
 def look_forms(values: pd.Series) -> pd.DataFrame:
-    def one(v: str) -> tuple[str, str]:
-        seen = shape(v)
-        return seen, _key(seen)
-
-    return _each(values, one, ["shape", "key"])
+    return _each(values, lambda v: (shape(v), key(v)), ["shape", "key"])
 
 
 def consistent(df: DataFrame, *columns: str) -> DataFrame:
@@ -150,42 +160,66 @@ def consistent(df: DataFrame, *columns: str) -> DataFrame:
 SALTS = 16
 
 
-def _values(df: DataFrame, id_column: str, column: str) -> tuple[DataFrame, DataFrame]:
-    """(id, h) of each record and (h, k, s) of each distinct value; empty and NULL values take no part."""
+def _values(df: DataFrame, id_column: str, column: str) -> DataFrame:
+    """(id, h, k, s) of each record: hashes of its value, of the key and of the shape; empty and NULL values take no part.
+
+    The forms are taken in the scan's own Arrow pass, each distinct value of a batch once, so texts are not shuffled
+    to meet their copies; only hashes leave the task.
+    """
     rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("v")).where("id is not null and v <> ''")
-    rows = rows.withColumn("h", F.unhex(F.sha1("v")))
-    values = spread(rows.groupBy("h").agg(F.first("v").alias("v")), scan=False).withColumn("f", look_forms("v"))
-    values = values.select("h", F.xxhash64("f.key").alias("k"), F.unhex(F.sha1("f.shape")).alias("s"))
-    return rows.select("id", "h"), values
+    rows = spread(rows).withColumn("f", look_forms("v"))
+    return cut(rows.select("id", F.unhex(F.sha1("v")).alias("h"), F.xxhash64("f.key").alias("k"), F.unhex(F.sha1("f.shape")).alias("s")))
+
+
+def _alike(values: DataFrame) -> DataFrame:
+    """(h, s, n_looks) of distinct values that share key and shape with a value of other code points.
+
+    Values are candidates by key; a candidate stays if its shape, which holds all that is visible, occurs with several
+    code-point sequences under that key. Most values have no such partner, so what is left is small beside the table.
+    """
+    distinct = values.select("k", "s", "h").distinct()
+    candidates = distinct.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    met = distinct.join(candidates, "k", "left_semi")
+    looks = met.groupBy("k", "s").agg(F.count("*").alias("n_looks")).where("n_looks > 1")
+    return met.join(looks, ["k", "s"]).select("k", "h", "s", "n_looks")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _with_salt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
 
 
 def look_classes(df: DataFrame, id_column: str, column: str) -> DataFrame:
     """One row per record: id, class_id (equal for values that look the same) and n_looks, the number
     of different code-point sequences in the class. Records without a value have no row.
+
+    A record knows its class by its own shape; only the classes of several looks are joined, salted by id.
     """
-    rows, values = _values(df, id_column, column)
-    sizes = values.groupBy("k", "s").agg(F.count("*").alias("n_looks"))
-    named = values.join(sizes, ["k", "s"]).select("h", F.hex("s").alias("class_id"), "n_looks")
-    return rows.join(named, "h").select("id", "class_id", "n_looks")
+    rows = _values(df, id_column, column)
+    several = _salted(_alike(rows).select(F.col("s").alias("s2"), "n_looks").distinct())
+    joined = _with_salt(rows).join(several.withColumnRenamed("salt", "salt2"), (F.col("s") == F.col("s2")) & (F.col("salt") == F.col("salt2")), "left")
+    return joined.select("id", F.hex("s").alias("class_id"), F.coalesce("n_looks", F.lit(1)).cast("bigint").alias("n_looks"))
 
 
 def same_look(df: DataFrame, id_column: str, column: str) -> DataFrame:
     """Pairs ``id_a < id_b`` whose values look the same but differ in code points.
 
     The work is on distinct values: equal texts are one row however many records hold them, so a
-    title borne by a third of all pages is normalised and compared once. Values meet by the hash of their
+    title borne by a third of all pages is compared once. Values meet by the hash of their
     key, are checked by shape (visible differences such as case part them), and only
     then meet the records, salted by id so that a hot title is spread over tasks. Exact copies of a
     text are no pair and are never joined with each other. NULL and empty values pair with nothing.
     """
-    rows, values = _values(df, id_column, column)
-    values = cut(values)
-    a, b = values.select("k", "s", F.col("h").alias("h_a")), values.select("k", "s", F.col("h").alias("h_b"))
-    pairs = a.join(b, ["k", "s"]).where("h_a < h_b").select("h_a", "h_b")
-    pairs = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    held = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    rows = _values(df, id_column, column)
+    alike = cut(_alike(rows).select("k", "s", "h"))
+    a, b = alike.select("k", F.col("s").alias("s_a"), F.col("h").alias("h_a")), alike.select("k", F.col("s").alias("s_b"), F.col("h").alias("h_b"))
+    pairs = _salted(a.join(b, "k").where("s_a = s_b and h_a < h_b").select("h_a", "h_b"))
+    held = _with_salt(rows.select("id", "h").distinct())
     left = held.select(F.col("id").alias("x"), F.col("h").alias("h_a"), "salt")
     right = held.select(F.col("id").alias("y"), F.col("h").alias("h_b"), "salt")
-    met = left.join(pairs, ["h_a", "salt"]).select("x", "h_b")
-    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).join(right, ["h_b", "salt"])
+    met = _salted(left.join(pairs, ["h_a", "salt"]).select("x", "h_b")).join(right, ["h_b", "salt"])
     return met.where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
