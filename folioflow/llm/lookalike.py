@@ -30,7 +30,7 @@ GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳοϲνρ", "ABEZHIKMNOPTYXCjoc
 OTHER = dict(zip("ɑɡıⅼꞌˈʼʹ", "agil''''"))
 # Characters of other kinds that render alike.
 SAME = {"‐": "-", "‑": "-", "ʼ": "’", "⁄": "/", "∕": "/", "∶": ":", ";": ";", "·": "·",
-        "Ω": "Ω", "K": "K", "Å": "Å", "µ": "μ"}
+        "Ω": "Ω", "K": "K", "Å": "Å", "µ": "μ", "Ϲ": "C", "ϲ": "c"}
 # First and last code points of the default-ignorable ranges, and the kinds of space.
 IGNORABLE = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x200B, 0x200F), (0x202A, 0x202E),
              (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF))

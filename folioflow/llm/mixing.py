@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,39 +33,57 @@ BUCKETS = 4096
 BUCKET_TEXTS = 5000
 ITERATIONS = 60
 TOLERANCE = 1e-4
+SHORT = 0.01  # a share that falls short by more than this part of itself is missed
+PART = 100_000  # characters that the encoder is given at once, at least
 WORD = re.compile(r"[^\W\d_]+")
+LONG_BLANK = re.compile(r"\s{10000,}")
+BLANK_BEGINS = re.compile(r"\S(?=\s)")
 # Fixed value: the split pattern of the byte-level vocabulary, as published with it.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def token_counter(path: str = TOKENIZER):
-    """A pandas UDF that counts tokens; NULL and empty texts have none. The vocabulary is read once a worker."""
+def token_counter(vocabulary: Broadcast):
+    """A pandas UDF that counts tokens; NULL and empty texts have none. The vocabulary file's bytes travel as a broadcast (one file of fixed size) and are read once a worker."""
 
     @F.pandas_udf("bigint")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = encoder(vocabulary.value)
         for texts in batches:
-            yield texts.map(lambda t: _length(enc, t) if isinstance(t, str) and t else 0).astype("int64")
+            yield texts.map(lambda t: count_tokens(enc, t) if isinstance(t, str) and t else 0).astype("int64")
 
     return count
 
 
-def _length(enc, text: str) -> int:
-    """Tokens of a text; a very long one is encoded in parts that end at line ends, so time stays linear."""
-    if len(text) < 200_000:
-        return len(enc.encode_ordinary(text))
+def encoder(raw: bytes):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
+    return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def count_tokens(enc, text: str) -> int:
+    """Tokens of a text, the same at every length.
+
+    No token reaches over a place where blanks begin, so parts that end there count by themselves. A long
+    run of blanks, which the pattern's matcher can't take, is one piece but for its last blank.
+    """
     n, at = 0, 0
-    while at < len(text):
-        end = min(at + 100_000, len(text))
-        nl = text.rfind("\n", at, end)
-        end = nl + 1 if nl > at and end < len(text) else end
-        n += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return n
+    for m in LONG_BLANK.finditer(text):
+        n += _parts(enc, text[at : m.start()])
+        at = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(enc._core_bpe.encode_single_piece(text[m.start() : at].encode("utf-8", "replace")))
+    return n + _parts(enc, text[at:])
+
+
+def _parts(enc, text: str) -> int:
+    n, at = 0, 0
+    while len(text) - at > PART:
+        cut_at = BLANK_BEGINS.search(text, at + PART)
+        if not cut_at:
+            break
+        n += len(enc.encode_ordinary(text[at : cut_at.start() + 1]))
+        at = cut_at.start() + 1
+    return n + len(enc.encode_ordinary(text[at:])) if at < len(text) else n
 
 
 @dataclass
@@ -122,7 +141,12 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     ``targets`` has source, target_weight and max_repeats, one row a source (a small table: its rows are
     collected, at most 10,000). NULL or nonpositive weights count as 0, NULL repeats as 1. Equal texts
     count as one text, at home in the source of their smallest doc_id, so no text is used
-    more often than max_repeats whatever ids it has; NULL and empty texts have no size and are not used.
+    more often than max_repeats whatever ids it has; a text without a source is copied into the source it most likely
+    belongs to, within that source's bound. NULL and empty texts have no size and are not used. ``tokenizer`` is a path on the driver.
+
+    A source is out of reach if the fitted rates leave its expected tokens short of its target and even all rates at
+    their bounds (its capacity, soft members included) would. The mix is then smaller than asked: the report has a
+    row's shortfall and the mix's size.
     """
     wanted = targets.groupBy("source").agg(F.max("target_weight").alias("w"), F.max("max_repeats").alias("r")).where("source is not null").limit(10_001).collect()
     if len(wanted) > 10_000:
@@ -134,10 +158,14 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
     spark = documents.sparkSession
 
     docs = documents.select("doc_id", "text", "source").where("length(text) > 0").withColumn("h", F.unhex(F.sha1("text")))
-    texts = docs.groupBy("h").agg(F.min(F.struct("doc_id", "source")).alias("m"), F.count("*").alias("rows"), F.first("text").alias("text"))
-    texts = spread(texts, scan=False).select(F.col("m.doc_id").alias("doc_id"), F.col("m.source").alias("source"), "rows", "text", token_counter(tokenizer)("text").alias("tokens"))
+    with open(tokenizer, "rb") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())
+    # tokens are counted in the scan's own pass, so only texts without a source are shuffled to meet their copies
+    counted = spread(docs).select("h", "doc_id", "source", token_counter(vocabulary)("text").alias("tokens"), F.when(F.col("source").isNull(), F.col("text")).alias("text"))
+    first = F.min_by(F.struct("source", "text"), "doc_id")
+    texts = counted.groupBy("h").agg(F.min("doc_id").alias("doc_id"), first.alias("m"), F.count("*").alias("rows"), F.first("tokens").alias("tokens"))
     known = F.col("source").isin(names) if names else F.lit(False)
-    sized = cut(texts.select("doc_id", "source", "rows", "tokens", F.when(F.col("source").isNull(), F.col("text")).alias("text")))
+    sized = cut(texts.select("doc_id", F.col("m.source").alias("source"), "rows", "tokens", F.col("m.text").alias("text")))
     total = float(sized.agg(F.sum(F.col("tokens") * F.col("rows"))).first()[0] or 0)
     goal = total * weight / weight.sum() if weight.sum() > 0 else np.zeros(len(names))
 
@@ -160,10 +188,10 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) ->
         rate = step
         if moved < TOLERANCE:
             break
-    shared = (names, repeats, history)
-    rates = dict(zip(names, rate.tolist()))
-    capacity = own * repeats
-    return _result(spark, sized, known, table, shared, rates, goal, total, capacity, weight, repeats)
+    mass = own * rate + _mass(table, history, len(names))
+    capacity = own * repeats + _capacity(table, len(names))
+    missed = (mass < goal * (1 - SHORT)) & (capacity < goal)
+    return _result(spark, sized, known, table, names, history, rate, goal, total, mass, capacity, missed, weight, repeats)
 
 
 def _soft(loose: DataFrame, model: Classifier, repeats: np.ndarray) -> DataFrame:
@@ -174,7 +202,7 @@ def _soft(loose: DataFrame, model: Classifier, repeats: np.ndarray) -> DataFrame
         m, r = shared.value
         for b in batches:
             p = m.posterior(list(b["text"]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": b["tokens"], "p": list(p), "cap": np.floor(p @ r + 1e-9)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": b["tokens"], "p": list(p), "cap": r[p.argmax(axis=1)] if len(r) else 0.0})
 
     return cut(loose.select("doc_id", "tokens", "text").mapInPandas(soft, "doc_id bigint, tokens bigint, p array<double>, cap double"))
 
@@ -206,35 +234,48 @@ def _mass(table: DataFrame, history: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _result(spark, sized, known, table, shared, rates, goal, total, capacity, weight, repeats) -> Mix:
-    names, _, history = shared
+def _capacity(table: DataFrame, n: int) -> np.ndarray:
+    """Expected tokens of each source from the soft members if all stand at their bounds."""
+
+    def most(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(n)
+        for b in batches:
+            if len(b):
+                out += (b["tokens"].to_numpy() * b["cap"].to_numpy()) @ np.stack(list(b["p"]))
+        yield pd.DataFrame({"s": np.arange(n), "x": out})
+
+    out = np.zeros(n)
+    for r in table.mapInPandas(most, "s int, x double").groupBy("s").agg(F.sum("x").alias("x")).collect():
+        out[r["s"]] = r["x"]
+    return out
+
 
+def _result(spark, sized, known, table, names, history, fitted, goal, total, mass, capacity, missed, weight, repeats) -> Mix:
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 p = np.stack(list(b["p"]))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "source": [names[i] for i in p.argmax(axis=1)], "tokens": b["tokens"], "rate": _rates(p, b["cap"].to_numpy(), history)})
 
-    plan = "source string, rate_of double, target double, capacity double, share double, max_repeats int, order int"
-    fixed = spark.createDataFrame([(s, rates[s], float(goal[i]), float(capacity[i]), float(weight[i] / weight.sum()) if weight.sum() else 0.0, int(repeats[i]), i) for i, s in enumerate(names)], plan)
+    plan = "source string, rate_of double, target double, expected double, capacity double, share double, max_repeats int, out_of_reach boolean"
+    fixed = spark.createDataFrame(
+        [(s, float(fitted[i]), float(goal[i]), float(mass[i]), float(capacity[i]), float(weight[i] / weight.sum()) if weight.sum() else 0.0, int(repeats[i]), bool(missed[i])) for i, s in enumerate(names)], plan)
     hard = sized.where(known & (F.col("tokens") > 0)).join(F.broadcast(fixed.select("source", F.col("rate_of").alias("rate"))), "source").select("doc_id", "source", "tokens", "rate")
     rated = hard.unionByName(table.mapInPandas(rate, "doc_id bigint, source string, tokens bigint, rate double")) if names else hard
     # systematic rounding in order of size, in buckets of about BUCKET_TEXTS texts, so each source's tokens follow its rates closely
-    n = sized.groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET_TEXTS)).alias("buckets"))
-    rated = rated.join(F.broadcast(n.where(known)), "source", "left").withColumn("bucket", F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.coalesce("buckets", F.lit(1))))
+    n = sized.where(known).groupBy("source").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BUCKET_TEXTS)).alias("buckets"))  # a row a target, at most 10,000
+    rated = rated.join(F.broadcast(n), "source", "left").withColumn("bucket", F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.coalesce("buckets", F.lit(1))))
     walk = Window.partitionBy("source", "bucket").orderBy("tokens", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = F.col("rate") - F.floor("rate")
     rated = rated.withColumn("upto", F.sum(rest).over(walk) + 0.5)
     copies = rated.withColumn("copies", (F.floor("rate") + F.floor("upto") - F.floor(F.col("upto") - rest)).cast("int")).where("copies > 0")
     reached = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("texts"), F.max("copies").alias("most_copies"))
     # at most 10,000 rows, one a source
-    reached = reached.withColumn("mix_tokens", F.sum("tokens").over(Window.partitionBy()))
-    report = (
-        fixed.join(reached, "source", "left")
-        .select("source", F.round("share", 6).alias("target_share"), F.round(F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("actual_share"),
-                F.coalesce("tokens", F.lit(0)).alias("tokens"), F.round("target", 0).cast("bigint").alias("target_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"),
-                F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "max_repeats", F.round("rate_of", 6).alias("rate"),
-                # all rates at the bound, and the exact check that even so the share is out of reach
-                ((F.col("rate_of") >= F.col("max_repeats") - 1e-6) & (F.col("capacity") < F.col("target"))).alias("out_of_reach"))
-    )
+    report = fixed.join(reached, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    report = report.withColumn("mix_tokens", F.sum("tokens").over(Window.partitionBy()))
+    report = report.select(
+        "source", F.round("share", 6).alias("target_share"), F.round(F.when(F.col("mix_tokens") > 0, F.col("tokens") / F.col("mix_tokens")).otherwise(0.0), 6).alias("actual_share"),
+        "tokens", F.round("target", 0).cast("bigint").alias("target_tokens"), F.greatest(F.lit(0), F.round("target", 0).cast("bigint") - F.col("tokens")).alias("shortfall_tokens"),
+        "mix_tokens", F.lit(int(total)).cast("bigint").alias("wanted_mix_tokens"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
+        "max_repeats", F.round("rate_of", 6).alias("rate"), F.round("expected", 0).cast("bigint").alias("expected_tokens"), "out_of_reach")
     return Mix(report, copies.select("doc_id", "source", "tokens", "copies"))

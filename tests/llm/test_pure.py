@@ -253,3 +253,26 @@ class _Open(set):
 
     def isdisjoint(self, other):
         return False
+
+
+def test_tokens_of_parts_are_those_of_the_whole():
+    import os
+
+    from folioflow.llm import mixing
+
+    if not os.path.exists(mixing.TOKENIZER):
+        pytest.skip("no vocabulary here")
+    with open(mixing.TOKENIZER, "rb") as f:
+        enc = mixing.encoder(f.read())
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(["word", " ", "  ", "\n", "\n\n", "é", "12", "'s", ",", "\t ", "Ж"]) for _ in range(4000))
+    whole = len(enc.encode_ordinary(text))
+    part, blank = mixing.PART, mixing.LONG_BLANK
+    try:
+        for size in (1, 7, 100, 5000):
+            mixing.PART, mixing.LONG_BLANK = size, mixing.re.compile(r"\s{2,}")
+            assert mixing.count_tokens(enc, text) == whole
+            assert mixing.count_tokens(enc, text + "   ") == len(enc.encode_ordinary(text + "   "))
+    finally:
+        mixing.PART, mixing.LONG_BLANK = part, blank
+    assert mixing.count_tokens(enc, " " * 1_000_000 + "x") > 0

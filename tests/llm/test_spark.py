@@ -125,3 +125,17 @@ def test_found_queries_on_test_data(spark, name):
     rows = df.collect()
     assert rows and len(rows) == len(set(rows))
     assert df.select([F.count_if(F.col(c).isNull()) for c in df.columns]).first()[:] == (0,) * len(df.columns)
+
+
+def test_soft_texts_keep_the_bound_of_their_source(spark):
+    rows = [(i, f"The big kettle number {i} stands by the harbour wall.", "a") for i in range(20)] + [(50 + i, f"Die kleine Quelle {i} hat wenig Text.", "b") for i in range(20)]
+    rows += [(100 + i, f"The big kettle by the harbour, no source {i}.", None) for i in range(8)] + [(200 + i, f"Die kleine Quelle ohne Herkunft {i}.", None) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 1.0, 1), ("b", 3.0, 10)], "source string, target_weight double, max_repeats int")
+    got = mixing.mix(docs, targets)
+    copies = got.copies.collect()
+    assert {r["source"] for r in copies if r["doc_id"] >= 100} == {"a", "b"}
+    assert max(r["copies"] for r in copies if r["source"] == "a") == 1
+    report = {r["source"]: r for r in got.report.collect()}
+    assert not any(r["out_of_reach"] for r in report.values()) and report["a"]["wanted_mix_tokens"] > 0
+    assert all(r["shortfall_tokens"] == max(0, r["target_tokens"] - r["tokens"]) for r in report.values())
