@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -35,10 +36,11 @@ SPELLING = {w: code for code, words in LABELS.items() for w in words.split()}
 SAMPLE = 300  # labelled documents a language, at most, that the machines are trained on
 BITS = 16
 ORDERS = (1, 2, 3, 4, 5)
-EPOCHS = 4
+EPOCHS = 6
 CHUNK = 50_000  # characters that are scored at once
 SCALE = 5.0  # steepness of the logistic that turns margins into confidence
 SENTENCES = 5  # of each sampled document, for training
+LONGEST = 2000  # characters of a sentence that is trained on, at most
 LEAST_WORDS, LEAST_LETTERS = 3, 12  # a shorter piece is no whole sentence
 OTHER, OTHER_SHORT, SHORT = 0.8, 0.93, 40  # a sentence in another language than the document's needs this confidence; one of fewer characters more
 
@@ -124,56 +126,84 @@ def fold(text: str) -> str:
 
 @dataclass
 class Machines:
-    """One weight column a pair; ``pairs`` names what a positive and a negative margin speak for."""
+    """Weight columns by level: ``family`` has one a pair of families, ``within`` one a pair of languages of each family."""
 
-    weights: np.ndarray
-    pairs: list[tuple[str, str]]
+    family: np.ndarray
+    within: dict[str, np.ndarray]
 
-    def margins(self, texts: list[str]) -> np.ndarray:
-        """One row of margins a text: the mean weight of its n-grams."""
-        out = np.zeros((len(texts), self.weights.shape[1]))
+    def posteriors(self, texts: list[str]) -> np.ndarray:
+        """Confidence of each language (columns as LANGUAGES).
+
+        The families are told first; of each text only the machines of its likeliest family are run. The languages
+        of the other families share their family's confidence equally.
+        """
+        out = np.zeros((len(texts), len(LANGUAGES)))
         start = 0
         while start < len(texts):  # chunks bound the memory, whatever the number of texts
             end, size = start + 1, len(texts[start])
             while end < len(texts) and size + len(texts[end]) <= CHUNK:
                 size += len(texts[end])
                 end += 1
-            n = np.zeros(end - start)
-            for idx, own in features(texts[start:end]):
-                edges = np.searchsorted(own, np.arange(end - start + 1))
-                counts = np.diff(edges)
-                n += counts
-                some = counts > 0
-                if some.any():
-                    out[start:end][some] += np.add.reduceat(self.weights[idx], edges[:-1][some], axis=0)
-            out[start:end] /= np.maximum(n, 1)[:, None]
+            out[start:end] = self._chunk(texts[start:end])
             start = end
         return out
 
-    def posteriors(self, texts: list[str]) -> np.ndarray:
-        """Confidence of each language (columns as LANGUAGES): that of its family times that within the family."""
-        m = self.margins(texts)
-        column = {p: m[:, i] for i, p in enumerate(self.pairs)}
-        fam = _couple(list(FAMILIES), column)
+    def _chunk(self, texts: list[str]) -> np.ndarray:
+        found = features(texts)
+        n = np.maximum(sum(np.bincount(own, minlength=len(texts)) for _, own in found) if found else np.ones(len(texts)), 1)[:, None]
+        fam = _couple(list(FAMILIES), _sums(self.family, found, len(texts)) / n, PAIRS_OF_FAMILIES)
+        best = fam.argmax(axis=1)
         parts = []
-        for i, langs in enumerate(FAMILIES.values()):
-            parts.append(fam[:, i : i + 1] * _couple(list(langs), column))
+        for i, (name, langs) in enumerate(FAMILIES.items()):
+            share = np.repeat(fam[:, i : i + 1] / len(langs), len(langs), axis=1)
+            mine = best == i
+            if mine.any():
+                at = np.cumsum(mine) - 1
+                kept = [(idx[mine[own]], at[own[mine[own]]]) for idx, own in found]
+                share[mine] = fam[mine, i : i + 1] * _couple(list(langs), _sums(self.within[name], kept, int(mine.sum())) / n[mine], list(combinations(langs, 2)))
+            parts.append(share)
         return np.concatenate(parts, axis=1)
 
 
-def _couple(names: list[str], margins: dict[tuple[str, str], np.ndarray]) -> np.ndarray:
-    """Pairwise margins as probabilities: soft votes of the logistic of each margin, normalised."""
-    rows = len(next(iter(margins.values())))
-    score = np.zeros((rows, len(names)))
-    for (i, a), (j, b) in combinations(list(enumerate(names)), 2):
-        z = np.clip(SCALE * margins[a, b], -30, 30)
-        score[:, i] -= np.logaddexp(0, -z)
-        score[:, j] -= np.logaddexp(0, z)
+def _sums(weights: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Summed weights of the n-grams of each text."""
+    out = np.zeros((n, weights.shape[1]))
+    for idx, own in found:
+        edges = np.searchsorted(own, np.arange(n + 1))
+        some = np.diff(edges) > 0
+        if some.any():
+            out[some] += np.add.reduceat(weights[idx], edges[:-1][some], axis=0)
+    return out
+
+
+def _couple(names: list[str], margins: np.ndarray, pairs: list[tuple[str, str]]) -> np.ndarray:
+    """Pairwise margins (a column a pair) as probabilities: soft votes of the logistic of each margin, normalised."""
+    score = np.zeros((len(margins), len(names)))
+    for k, (a, b) in enumerate(pairs):
+        z = np.clip(SCALE * margins[:, k], -30, 30)
+        score[:, names.index(a)] -= np.logaddexp(0, -z)
+        score[:, names.index(b)] -= np.logaddexp(0, z)
     e = np.exp(score - score.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
 
 
-PAIRS = [*combinations(FAMILIES, 2), *[p for v in FAMILIES.values() for p in combinations(v, 2)]]
+PAIRS_OF_FAMILIES = list(combinations(FAMILIES, 2))
+PAIRS = [*PAIRS_OF_FAMILIES, *[p for v in FAMILIES.values() for p in combinations(v, 2)]]
+
+
+def _weighted(samples: list[tuple[str, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
+    """(buckets, their shares, language) of each text that has n-grams; many texts are hashed at once."""
+    for start in range(0, len(samples), 500):
+        part = samples[start : start + 500]
+        found = features([t for t, _ in part])
+        if not found:
+            continue
+        keys, n = np.unique(np.concatenate([own.astype(np.int64) << BITS | idx for idx, own in found]), return_counts=True)
+        edges = np.searchsorted(keys, np.arange(len(part) + 1, dtype=np.int64) << BITS)
+        for i, (_, lang) in enumerate(part):
+            here = slice(edges[i], edges[i + 1])
+            if here.stop > here.start:
+                yield (keys[here] & ((1 << BITS) - 1)).astype(np.int32), (n[here] / n[here].sum()).astype(np.float32), lang
 
 
 def fit(samples: list[tuple[str, str]], seed: int = 7) -> Machines:
@@ -182,38 +212,37 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Machines:
     After half of the epochs, texts whose own label all machines reject are left out: labels
     are wrong in places. Deterministic for the same samples in the same order.
     """
-    data = []
-    for text, lang in samples:
-        for t in dict.fromkeys((text, fold(text))):
-            found = features([t])
-            if found:
-                data.append((np.concatenate([i for i, _ in found]), lang))
-    w = np.zeros((len(PAIRS), 1 << BITS), dtype=np.float32)
-    signs = {}
-    for x in LANGUAGES:
-        pick = [(i, 1.0 if name == pair[0] else -1.0) for i, pair in enumerate(PAIRS) for name in (x, FAMILY_OF[x]) if name in pair]
-        signs[x] = (np.array([i for i, _ in pick]), np.array([y for _, y in pick], dtype=np.float32))
+    data = list(_weighted([(t, lang) for text, lang in samples for t in dict.fromkeys((text, fold(text)))]))
+    w = np.zeros((1 << BITS, len(PAIRS)), dtype=np.float32)
+    sign = {x: np.array([1.0 if p[0] in (x, FAMILY_OF[x]) else -1.0 if p[1] in (x, FAMILY_OF[x]) else 0.0 for p in PAIRS], dtype=np.float32) for x in LANGUAGES}
     rng = np.random.default_rng(seed)
     kept = np.arange(len(data))
     for epoch in range(EPOCHS):
-        rate = 40.0 / (1 + epoch)
+        rate = np.float32(40.0 / (1 + epoch))
         if epoch == EPOCHS // 2:
-            good = [i for i in kept if (signs[data[i][1]][1] * w[np.ix_(signs[data[i][1]][0], data[i][0])].sum(axis=1) > 0).mean() > 0.5]
-            kept = np.array(good, dtype=int)
+            kept = np.array([i for i in kept if ((sign[data[i][2]] * (data[i][1] @ w[data[i][0]]))[sign[data[i][2]] != 0] > 0).mean() > 0.5], dtype=int)
         for i in rng.permutation(kept):
-            idx, lang = data[i]
-            cols, ys = signs[lang]
-            m = ys * (w[np.ix_(cols, idx)].sum(axis=1) / len(idx))
-            for c, y in zip(cols[m < 1.0], ys[m < 1.0]):
-                np.add.at(w[c], idx, np.float32(rate / len(idx) * y))
-    return Machines(np.ascontiguousarray(w.T), PAIRS)
+            idx, x, lang = data[i]
+            y = sign[lang]
+            rows = w[idx]
+            step = rate * y * (y * (x @ rows) < 1.0)
+            if step.any():
+                rows += x[:, None] * step
+                w[idx] = rows
+    first = len(PAIRS_OF_FAMILIES)
+    within, at = {}, first
+    for name, langs in FAMILIES.items():
+        width = len(langs) * (len(langs) - 1) // 2
+        within[name] = np.ascontiguousarray(w[:, at : at + width])
+        at += width
+    return Machines(np.ascontiguousarray(w[:, :first]), within)
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> Machines:
     """Machines of at most ``sample`` labelled documents a language, chosen by a hash of the id.
 
-    The bound is the only thing that does not grow with the data: 9 * ``sample`` texts, of each at most
-    ``SENTENCES`` sentences, reach the driver. Documents whose label names no language are never drawn.
+    The bound is the only thing that does not grow with the data: of 9 * ``sample`` texts at most ``SENTENCES``
+    sentences of at most ``LONGEST`` characters each reach the driver. Documents whose label names no language are never drawn.
     """
     known = F.create_map(*[x for k, v in SPELLING.items() for x in (F.lit(k), F.lit(v))])
     low = F.lower(F.trim("lang"))
@@ -222,12 +251,14 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Machines:
     w = Window.partitionBy("code").orderBy(F.xxhash64("doc_id"), "doc_id")
     drawn = rows.select("doc_id", "code").withColumn("n", F.row_number().over(w)).where(F.col("n") <= sample).select("doc_id")
     # the few drawn ids (a bound, not a share) pick their texts from a second, filtered scan
-    texts = rows.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").select("doc_id", "text", "code").collect()
-    samples = []
-    for r in sorted(texts, key=lambda r: (r["code"], r["doc_id"])):
-        for _, _, s, _ in sentences(r["text"])[:SENTENCES]:
-            samples.append((s, r["code"]))
-    return fit(samples)
+    texts = rows.join(F.broadcast(drawn.distinct()), "doc_id", "left_semi").select("doc_id", "code", first_sentences("text").alias("s")).collect()
+    return fit([(s, r["code"]) for r in sorted(texts, key=lambda r: (r["code"], r["doc_id"], r["s"])) for s in r["s"]])
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def first_sentences(texts: pd.Series) -> pd.Series:
+    """The first SENTENCES sentences of a text that are no longer than LONGEST."""
+    return texts.map(lambda t: [s for _, _, s, _ in sentences(t) if len(s) <= LONGEST][:SENTENCES] if isinstance(t, str) else [])
 
 
 def label_documents(rows: list[tuple[str | None, str | None]], machines: Machines) -> list[tuple]:
