@@ -5,23 +5,29 @@ counts, over all pages' titles, how often a value ends there and how often it go
 the final context's end and continuation likelihoods, backed off from long to short contexts and
 with one occurrence of the value left out, give log-odds of having been cut. A prior per channel, length and ellipsis
 (limits pile up cut values at one length) and an exact look at what the body or another
-copy of the title says next are added; the sum is held against a threshold per language and column.
+copy of the title says next are added; the sum is held against a threshold per language and column, fitted where the
+errors of log-odds and prior are fewest on values whose end another text shows.
 
 Everything is built-in functions: the counts are one aggregate with map-side combine over hashed contexts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.session import cut, first_delivery
+from folioflow.session import cut, first_delivery, spread
 
 ORDERS = (4, 6, 9, 13, 20)
 PRIOR_END = 0.9  # chance that a value of unseen contexts is whole
 STRENGTH = 2.0  # weight of a shorter context against the counts of a longer one
 MOST_BASE = 0.15  # at lengths of which nothing is known, the channel's share of cut values counts up to this
 CONFIDENT = 3.0
+DEFAULT = 0.5  # the threshold that ties and empty cells fall back on
+STEPS = 4  # thresholds tried per unit of log-odds, from -LIMIT to LIMIT
+LIMIT = 3
+MISS = 10  # whole titles called cut that weigh as much as one cut title missed
+SHRINK = 40.0  # known values that the column as a whole counts for in each language
 EVIDENCE = 4.0
 START = "\u0002"
 
@@ -58,6 +64,7 @@ def train(values: DataFrame) -> DataFrame:
     all pages costs as much as any other. Old titles repeat page titles and are left out.
     """
     stems = values.where("tbl = 'page_out'").groupBy("phrase").agg(F.count("*").alias("n"))
+    stems = spread(stems, scan=False)  # one title gives hundreds of contexts, so merged partitions would be too few
     places = stems.select("phrase", "n", F.explode(F.sequence(F.lit(2), F.length("phrase") + 1)).alias("at"), (F.length("phrase") + 1).alias("last"))
     seen = places.select("n", F.explode(_contexts(F.col("phrase"), F.col("at"))).alias("context"), F.when(F.col("at") == F.col("last"), F.col("n")).otherwise(0).alias("end"))
     return seen.where("context is not null").groupBy("context").agg(F.sum("end").alias("n_end"), F.sum("n").alias("n_all"))
@@ -119,25 +126,42 @@ def detect(values: DataFrame) -> DataFrame:
     whole = (F.col("log_odds") <= -0.5) & ~F.coalesce(F.col("body_says").isin("cut", "inside"), F.lit(False)) | F.coalesce(F.col("body_says") == "whole", F.lit(False))
     cell = ["tbl", "channel", "ellipsis"]
     counted = rows.groupBy(*cell, "band", "length").agg(F.sum(sure.cast("long")).alias("c"), F.sum(whole.cast("long")).alias("w"))
-    band = counted.groupBy(*cell, "band").agg(F.sum("c").alias("cb"), F.sum("w").alias("wb"))
-    channel = counted.groupBy(*cell).agg(F.sum("c").alias("cc"), F.sum("w").alias("wc"))
+    by_cell, by_band = Window.partitionBy(*cell), Window.partitionBy(*cell, "band")
+    counted = counted.withColumn("cc", F.sum("c").over(by_cell)).withColumn("wc", F.sum("w").over(by_cell)).withColumn("cb", F.sum("c").over(by_band)).withColumn("wb", F.sum("w").over(by_band))
     base = F.least(F.lit(MOST_BASE), (F.col("cc") + 0.5) / (F.col("cc") + F.col("wc") + 12))
-    channel = channel.select(F.col("tbl").alias("t3"), F.col("channel").alias("ch3"), F.col("ellipsis").alias("e3"), base.alias("base"))
-    band = band.join(channel, (F.col("tbl") == F.col("t3")) & F.col("channel").eqNullSafe(F.col("ch3")) & (F.col("ellipsis") == F.col("e3"))).drop("t3", "ch3", "e3")
-    near = counted.withColumnsRenamed({"tbl": "t2", "channel": "ch2", "ellipsis": "e2", "band": "b2"})
-    joined = near.join(band, (F.col("t2") == F.col("tbl")) & F.col("ch2").eqNullSafe(F.col("channel")) & (F.col("e2") == F.col("ellipsis")) & (F.col("b2") == F.col("band")))
-    rough = (F.col("cb") + F.col("base")) / (F.col("cb") + F.col("wb") + 1)
+    rough = (F.col("cb") + base) / (F.col("cb") + F.col("wb") + 1)
     prior = F.least(F.lit(0.97), F.greatest(F.lit(0.003), (F.col("c") + 2 * rough) / (F.col("c") + F.col("w") + 2)))
-    priors = joined.select("t2", "ch2", "e2", F.col("length").alias("l2"), F.log(prior / (1 - prior)).alias("prior"))
+    # written, so that its size is known and the planner broadcasts it only if that is small
+    priors = cut(counted.select(F.col("tbl").alias("t2"), F.col("channel").alias("ch2"), F.col("ellipsis").alias("e2"), F.col("length").alias("l2"), F.log(prior / (1 - prior)).alias("prior")))
     rows = rows.join(priors, (F.col("tbl") == F.col("t2")) & F.col("channel").eqNullSafe(F.col("ch2")) & (F.col("ellipsis") == F.col("e2")) & (F.col("length") == F.col("l2"))).drop("t2", "ch2", "e2", "l2")
     said = F.when(F.col("copy_says") == "cut", 2 * EVIDENCE).otherwise(0.0) + F.when(F.col("body_says") == "inside", 1.5 * EVIDENCE).when(F.col("body_says") == "cut", 0.4 * EVIDENCE).when(F.col("body_says") == "whole", -2 * EVIDENCE).otherwise(0.0)
-    rows = rows.withColumn("total", F.col("log_odds") + F.col("prior") + said)
-    limits = rows.where("body_says = 'whole'").groupBy("tbl", "lang").agg(F.percentile_approx(F.col("log_odds") + F.col("prior"), 0.99).alias("top"), F.count("*").alias("n"))
-    limits = limits.select("tbl", "lang", F.when(F.col("n") >= 50, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("top")))).otherwise(F.lit(0.5)).alias("threshold"))
-    rows = rows.join(F.broadcast(limits), ["tbl", "lang"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.5)))
+    rows = rows.withColumn("model", F.col("log_odds") + F.col("prior")).withColumn("total", F.col("model") + said)
+    rows = rows.join(F.broadcast(thresholds(rows)), ["tbl", "lang"], "left").withColumn("threshold", F.coalesce("threshold", F.lit(DEFAULT)))
     return rows.withColumn("is_cut", F.col("total") > F.col("threshold"))
 
 
+def thresholds(rows: DataFrame) -> DataFrame:
+    """(tbl, lang, threshold): where log-odds and prior part whole from cut values at the least cost, a miss costing MISS false alarms.
+
+    Counted on values whose end another text shows: a longer copy or the body's word goes on (cut), or the body's sentence ends there (whole).
+    A language's errors are added to those of its column, which counts as SHRINK known values, so a language with
+    few known values leans on its column. At most one row a column and language: two columns, ten languages.
+    """
+    known = F.when(F.col("body_says") == "whole", 0).when((F.col("copy_says") == "cut") | (F.col("body_says") == "inside"), 1)
+    step = F.least(F.lit(LIMIT * STEPS), F.greatest(F.lit(-LIMIT * STEPS - 1), F.floor(F.col("model") * STEPS))).cast("int")
+    counts = rows.select("tbl", "lang", known.alias("y"), step.alias("b")).where("y is not null").groupBy("tbl", "lang", "b").agg(F.sum("y").alias("cut"), F.sum(1 - F.col("y")).alias("whole"))
+    entry = F.collect_list(F.struct("b", "cut", "whole"))
+    cells = counts.groupBy("tbl", "lang").agg(entry.alias("own"))
+    column = counts.groupBy("tbl").agg(entry.alias("all"), F.sum(F.col("cut") + F.col("whole")).alias("n"))
+
+    def errors(bins: str, at: Column) -> Column:
+        return F.aggregate(bins, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(x["b"] < at, MISS * x["cut"]).otherwise(x["whole"]))
+
+    tried = F.transform(F.sequence(F.lit(-LIMIT * STEPS), F.lit(LIMIT * STEPS)), lambda at: F.struct(
+        (errors("own", at) + SHRINK * errors("all", at) / F.col("n")).alias("errors"), F.abs(at / STEPS - DEFAULT).alias("far"), (at / STEPS).alias("threshold")))
+    return cells.join(column, "tbl").select("tbl", "lang", F.array_min(tried)["threshold"].alias("threshold"))
+
+
 def shares(found: DataFrame) -> DataFrame:
     """Per column and source: n_values, n_cut and share."""
     return found.groupBy("tbl", F.col("channel").alias("source")).agg(
