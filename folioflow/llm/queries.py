@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import encoding, langid, leakage, lookalike, markup, mixing, pii, truncation
+from folioflow.llm import differencing, encoding, langid, leakage, lookalike, markup, mixing, pii, truncation
 from folioflow.session import spread, table
 
 
@@ -31,6 +31,11 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_markup(pages).select("row_id", F.col("body_clean").alias("text"), F.col("body_families").alias("families"), F.size("body_blocks").alias("n_blocks"))
 
 
+def p1_differenced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies without the lines that the page nearest by path in its notebook shares (the method named; see README)."""
+    return differencing.difference(table(spark, sf_dir, "page_out"), "row_id", "notebook", "path", "body")
+
+
 def _truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.detect(truncation.titles(table(spark, sf_dir, "page_out"), table(spark, sf_dir, "renames")))
 
@@ -128,7 +133,7 @@ def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_clean, p2_found, p2_shares, p3_found, p3_restored, p4_found, p4_redacted, p5_found, p5_classes,
+        p1_found, p1_clean, p1_differenced, p2_found, p2_shares, p3_found, p3_restored, p4_found, p4_redacted, p5_found, p5_classes,
         p6_found, p6_items, p7_found, p7_shares, p7_copies, p8_found, p8_segments)}
 
 

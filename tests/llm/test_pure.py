@@ -276,3 +276,20 @@ def test_tokens_of_parts_are_those_of_the_whole():
     finally:
         mixing.PART, mixing.LONG_BLANK = part, blank
     assert mixing.count_tokens(enc, " " * 1_000_000 + "x") > 0
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    from folioflow.llm import differencing as d
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcde") for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = d.shared_lines(a, b)
+        assert len(got) == best[len(a)][len(b)]
+        rest = iter(b)
+        assert all(a[i] in rest for i in sorted(got))
+    assert d.residue("x\n\nfoot", "y\n\nfoot") == ("x\n", 3, 1) and d.residue(None, "a") == (None, 0, 0) and d.residue("a", None) == ("a", 1, 0)

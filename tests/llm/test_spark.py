@@ -139,3 +139,29 @@ def test_soft_texts_keep_the_bound_of_their_source(spark):
     report = {r["source"]: r for r in got.report.collect()}
     assert not any(r["out_of_reach"] for r in report.values()) and report["a"]["wanted_mix_tokens"] > 0
     assert all(r["shortfall_tokens"] == max(0, r["target_tokens"] - r["tokens"]) for r in report.values())
+
+
+def test_differencing_pairs_by_path(spark):
+    from folioflow.llm import differencing as d
+
+    rows = [(i, "h" if i % 3 else None, f"p/{i // 10}/{i:03d}.md", f"own {i}\nfooter" if i % 7 else None) for i in range(60)] + [(99, "alone", "x/1.md", "a\nb")]
+    pages = spark.createDataFrame(rows, "row_id bigint, notebook string, path string, body string").repartition(5)
+    got = {r["row_id"]: r for r in d.difference(pages, "row_id", "notebook", "path", "body").collect()}
+    assert len(got) == 61 and got[99]["text"] == "a\nb" and got[0]["text"] is None
+    ordered = sorted((r for r in rows), key=lambda r: (r[1] or "", r[2], r[0]))
+    want = {}
+    for i, r in enumerate(ordered):
+        def common(o):
+            if o is None or (o[1] or "") != (r[1] or ""):
+                return -1
+            n = 0
+            while n < min(len(o[2]), len(r[2])) and o[2][n] == r[2][n]:
+                n += 1
+            return n
+        before, after = ordered[i - 1] if i else None, ordered[i + 1] if i + 1 < len(ordered) else None
+        a, b = common(before), common(after)
+        if max(a, b) >= 0:
+            want[r[0]] = before[0] if a >= 0 and a >= b else after[0]
+    assert {r["row_id"]: r["mate"] for r in d.mates(pages, "row_id", "notebook", "path").collect()} == want
+    assert got[1]["text"] == "own 1" and got[1]["n_shared"] == 1
+    assert d.difference(pages.limit(0), "row_id", "notebook", "path", "body").count() == 0
