@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioflow.functions.text import basename, col, mask
 
@@ -72,19 +68,17 @@ def scan(texts: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     return outside.unionByName(inside).select("path", "line", F.col("f.kind").alias("kind"), F.col("f.sample").alias("sample"))
 
 
-_PASSWORD = re.compile(PASSWORD.replace("(?iU)", "(?i)"))
-
-
-@F.pandas_udf(T.StringType())
-def _hide_passwords(texts: pd.Series) -> pd.Series:
-    """Every copy of a password's value inside its match is hidden (a conditional replacement no built-in has)."""
+def _hide_passwords(text: Column) -> Column:
+    """The text with each copy of a password's value inside its match hidden: what stands between the matches, and the matches, woven together again."""
+    between = F.split(text, PASSWORD)
+    matches = F.arrays_zip(F.regexp_extract_all(text, F.lit(PASSWORD), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(PASSWORD), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(PASSWORD), F.lit(2)).alias("v"))
 
-    def one(m: re.Match) -> str:
-        value = m.group(2).strip(".,;")
-        counts = value and (m.group(1) or re.search(r"[\d\W_]", value))
-        return m.group().replace(value, "[redacted]") if counts else m.group()
+    def hidden(p: Column) -> Column:
+        value = F.regexp_replace(p["v"], r"^[.,;]+|[.,;]+$", "")
+        return F.when((value != "") & ((p["s"] != "") | value.rlike(r"(?U)[\d\W_]")), F.replace(p["m"], value, F.lit("[redacted]"))).otherwise(p["m"])
 
-    return texts.map(lambda t: _PASSWORD.sub(one, t) if isinstance(t, str) else None)
+    woven = F.transform(F.arrays_zip(between.alias("b"), F.transform(matches, hidden).alias("m")), lambda x: F.concat(x["b"], F.coalesce(x["m"], F.lit(""))))
+    return F.array_join(woven, "")
 
 
 def redact(c: str | Column) -> Column:

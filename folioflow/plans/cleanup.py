@@ -291,7 +291,7 @@ def retitle(state: State, o: Options) -> None:
         rows = rows.withColumn("reason", ti.title_problem("title", F.coalesce("plain", F.lit("")))).where("reason is not null")
         images = _image_names(state, rows.where("plain is null").select("orig"))
         rows = rows.join(images, "orig", "left")
-        ruled = rows.withColumn("new_title", F.coalesce(ti.heuristic_title("title", "raw", "plain"), F.when(F.col("plain").isNull(), ti.heuristic_title("title", "image", "image"))))
+        ruled = rows.withColumn("new_title", ti.heuristic_title("title", "raw", "plain", "image"))
         if o.namer is not None:
             named = o.namer(rows.select("orig", "title", "raw", "plain")).select("orig", F.col("new_title").alias("named"), "by")
             ruled = ruled.join(named, "orig", "left").withColumn("source", F.when(F.col("named").isNotNull(), F.col("by")).when(F.col("new_title").isNotNull(), "rules").otherwise("kept")).withColumn("new_title", F.coalesce("named", "new_title"))

@@ -41,8 +41,28 @@ def test_title_problem(spark, title, first, want):
     ("x...", "**Harbour plan** for May", "Harbour plan"), ("x...", "https://github.com/a/some-new-tool.html", "GitHub - Some New Tool"), ("x...", "https://youtu.be/", "YouTube Video"),
     ("x...", "Garden login: abc pass 1", "Garden Login"), ("x...", "Subject: The pump. More.", "The pump"), ("x...", "We moved the kiln and the", "We moved the kiln"), ("x...", "ab", None), ("Same title", "Same title", None),
 ])
-def test_proposed_titles(title, line, want):
-    assert titles.propose(title, line, line.replace("**", "")) == want
+def test_proposed_titles(spark, title, line, want):
+    row = spark.createDataFrame([(title, line, line.replace("**", ""))], "t string, r string, p string")
+    assert row.select(titles.heuristic_title("t", "r", "p").alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize(("title", "raw", "plain", "image", "want"), [
+    ("Roadmap Monday, June 04, 2007 9:15 AM What ships...", "Roadmap", "Roadmap", None, "Roadmap"), ("x...", "Took twice as long. Caching is off", "Took twice as long. Caching is off", None, "Took twice as long"),
+    ("Name: J...", "Name: Jo Sample", "Name: Jo Sample", None, "Jo Sample"), ("?Simple is best.?", "?Simple is best.?", "?Simple is best.?", None, "Simple is best"), ("x", None, None, "Product Demo", "Product Demo"), ("x", None, None, None, None),
+    (None, None, "", None, None), ("x...", "a", " ".join(["word"] * 30) + ".", None, "Word " + " ".join(["word"] * 11)), ("x...", "a", "One two three four five, " + "word " * 20, None, "One two three four five"),
+    ("x...", "a", "Pump: rope lamp kettle tray and more", None, "Pump - rope lamp kettle tray"), ("see www.a.example", "a", "www.my-site.example/2019/some_LONG-path-of_words-here-and-more.php?x=1", None, "My-site - Some Long Path of Words Here"),
+    ("x...", "a", "http://user@sub.deep.example:80/watch", None, "Sub.deep.example Link"), ("x...", "a", "secret", None, "Login Details"), ("x...", "a", "the and of", None, None), ("x...", "a", "x" * 70, None, None),
+])
+def test_titles_of_many_kinds(spark, title, raw, plain, image, want):
+    row = spark.createDataFrame([(title, raw, plain, image)], "t string, r string, p string, i string")
+    assert row.select(titles.heuristic_title("t", "r", "p", "i").alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize(("text_", "want"), [
+    ("pin 1234 and pin 1234", "pin [redacted] and pin [redacted]"), ("password: a.", "p[redacted]ssword: [redacted]."), ("pass the salt", "pass the salt"), ("pwd=x1 x1", "pwd=[redacted] x1"), ("", ""), (None, None), ("PIN: 0000\npasswd: ;;", "PIN: [redacted]\npasswd: ;;"),
+])
+def test_hidden_passwords(spark, text_, want):
+    assert one(spark, text_, scan._hide_passwords) == want
 
 
 @pytest.mark.parametrize(("name", "want"), [("image-1.jpg", True), ("IMG_123.PNG.png", True), ("0123456789abcdef.png", True), ("42.pdf", True), ("plan.pdf", False), ("screen shot 3.png", True)])
