@@ -197,10 +197,15 @@ def keep_leading_spaces(c: str | Column) -> Column:
     return F.concat(F.replace(F.replace(lead, F.lit("\t"), F.lit("    ")), F.lit(" "), F.lit("\u00a0")), F.substring(col(c), F.length(lead) + 1, F.length(col(c))))
 
 
-def common_folder(folders: str | Column) -> Column:
-    """The longest common folder of an array of folders; the smallest and the largest in order decide it. '' for none."""
-    a, z = F.split(F.array_min(col(folders)), "/"), F.split(F.array_max(col(folders)), "/")
+def common_parts(a: Column, z: Column) -> Column:
+    """The folder that two lists of path parts share from the top; '' for none."""
     same = F.transform(F.arrays_zip(a.alias("a"), z.alias("z")), lambda p: p["a"].eqNullSafe(p["z"]))
     first_off = F.array_position(same, F.lit(False))
     n = F.when(first_off == 0, F.size(same)).otherwise(first_off - 1).cast("int")
-    return F.when(F.size(col(folders)) > 0, F.coalesce(F.array_join(F.slice(a, F.lit(1), n), "/"), F.lit(""))).otherwise(F.lit(""))
+    return F.coalesce(F.array_join(F.slice(a, F.lit(1), n), "/"), F.lit(""))
+
+
+def common_folder(folders: str | Column) -> Column:
+    """The longest common folder of an array of folders, '' for none. As lists of parts, the smallest and the largest in order decide it."""
+    lists = F.transform(col(folders), lambda f: F.split(f, "/"))
+    return F.when(F.size(col(folders)) > 0, common_parts(F.array_min(lists), F.array_max(lists))).otherwise(F.lit(""))

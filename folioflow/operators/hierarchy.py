@@ -9,24 +9,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK = 20_000  # rows of a folder that one task scans
 
 
-def parents(pages: DataFrame, folder: str, order: str, level: str, page_id: str) -> DataFrame:
+def parents(pages: DataFrame, folder: str, order: str, level: str, page_id: str, blocks: int | None = None) -> DataFrame:
     """(page_id, parent_id): the nearest earlier page of the folder with a lower level; NULL at the top.
 
-    A folder that holds a third of all rows is cut into blocks of BLOCK rows in page order. For each block the
+    All rows are cut into ranges of about equal size in page order, so a folder that holds a third of all rows is many
+    blocks (a block is the part of a folder in one range), whatever its order values are. For each block the
     last page of every level before it is carried in (one small row a block and level), so each
-    block is scanned alone, in linear time, whatever the size of its folder. Ties in the order are broken by
+    block is scanned alone, in linear time. Ties in the order are broken by
     page_id. Rows without folder, order or level are their own tops.
     """
+    from folioflow.session import cut
+
     rows = pages.select(F.col(folder).alias("f"), F.col(order).cast("bigint").alias("o"), F.col(level).cast("int").alias("l"), F.col(page_id).cast("bigint").alias("id"))
-    whole = rows.where("f is not null and o is not null and l is not null").withColumn("b", F.expr(f"o div {BLOCK}"))
+    # written, for a range is drawn from a sample and would not fall the same way twice
+    whole = cut(rows.where("f is not null and o is not null and l is not null").repartitionByRange(*([blocks] if blocks else []), "f", "o", "id").withColumn("b", F.spark_partition_id()))
     last = whole.groupBy("f", "b", "l").agg(F.max(F.struct("o", "id")).alias("last"))
     earlier = Window.partitionBy("f", "l").orderBy("b").rangeBetween(Window.unboundedPreceding, -1)
-    blocks = whole.select("f", "b").distinct()
-    # per block and level, the last page before the block: levels are few, blocks are rows / BLOCK
-    marks = blocks.join(last.select("f", "l").distinct(), "f").join(last, ["f", "b", "l"], "left").withColumn("before", F.max("last").over(earlier))
+    # per block and level, the last page before the block: levels are few, blocks are folders and ranges
+    marks = whole.select("f", "b").distinct().join(last.select("f", "l").distinct(), "f").join(last, ["f", "b", "l"], "left").withColumn("before", F.max("last").over(earlier))
     carry = marks.where("before is not null").groupBy("f", "b").agg(F.collect_list(F.struct(F.col("before.o").alias("o"), F.col("before.id").alias("id"), "l")).alias("carry"))
     ready = whole.join(carry, ["f", "b"], "left")
 
@@ -62,26 +64,27 @@ def child_numbers(children: DataFrame, parent: str, order: list[str]) -> DataFra
     return numbered.withColumn("label", F.expr("lpad(cast(n as string), width, '0')"))
 
 
-def descendants(edges: DataFrame, child: str = "page_id", parent: str = "parent_id", rounds: int = 40) -> DataFrame:
+def descendants(edges: DataFrame, child: str = "page_id", parent: str = "parent_id") -> DataFrame:
     """(page_id, root_id, depth): the top of each page's chain, by pointer doubling.
 
-    Chains halve with every join, so 40 rounds reach any depth below 2**40; it stops when no pointer
-    moves. A page whose pointer leads nowhere is its own root; a cycle ends at the rounds' limit with depth NULL.
+    Chains halve with every join. A page whose pointer leads nowhere is its own root. Depths have no gaps, so once a round
+    brings no page to its top, those left stand in a cycle or lead into one: they have neither root nor depth. A page with
+    several parents follows the smallest.
     """
     from folioflow.session import cut
 
-    now = cut(edges.groupBy(F.col(child).alias("page_id")).agg(F.min(F.col(parent)).alias("up")).withColumn("depth", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint")))
-    known = now.select(F.col("page_id").alias("k"))
-    now = cut(now.join(known, F.col("up") == F.col("k"), "left").select("page_id", F.col("k").alias("up"), F.when(F.col("k").isNull(), F.lit(0)).otherwise(F.col("depth")).cast("bigint").alias("depth")))
-    now = now.withColumn("at", F.coalesce("up", "page_id"))
-    for _ in range(rounds):
-        far = now.select(F.col("page_id").alias("p2"), F.col("at").alias("at2"), F.col("depth").alias("d2"))
-        step = now.join(far, F.col("at") == F.col("p2"), "left").select(
-            "page_id", F.coalesce("at2", "at").alias("at_new"), (F.col("depth") + F.when(F.col("at") != F.col("page_id"), F.coalesce("d2", F.lit(0))).otherwise(0)).alias("depth"), (F.coalesce("at2", "at") != F.col("at")).alias("moved"))
-        step = cut(step)
-        moved = step.where("moved").limit(1).count()
-        now = step.select("page_id", F.col("at_new").alias("at"), "depth")
-        if not moved:
-            return now.select("page_id", F.col("at").alias("root_id"), "depth")
-    return now.select("page_id", F.col("at").alias("root_id"), F.lit(None).cast("bigint").alias("depth"))
-
+    first = edges.where(F.col(child).isNotNull()).groupBy(F.col(child).alias("page_id")).agg(F.min(F.col(parent)).alias("up"))
+    known = first.select(F.col("page_id").alias("k"))
+    now = cut(first.join(known, F.col("up") == F.col("k"), "left").select(
+        "page_id", F.coalesce("k", "page_id").alias("at"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.col("k").isNull().alias("top")))
+    settled, open_ = now.where("top"), now.where("not top")
+    while not open_.isEmpty():
+        far = settled.unionByName(open_).select(F.col("page_id").alias("p2"), F.col("at").alias("at2"), F.col("depth").alias("d2"), F.col("top").alias("t2"))
+        step = cut(open_.join(far, F.col("at") == F.col("p2")).select("page_id", F.col("at2").alias("at"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("t2").alias("top")))
+        done, open_ = step.where("top"), step.where("not top")
+        if done.isEmpty():
+            break
+        settled = settled.unionByName(done)
+    none = F.lit(None)
+    return settled.select("page_id", F.col("at").alias("root_id"), "depth").unionByName(
+        open_.select("page_id", none.cast(edges.schema[child].dataType).alias("root_id"), none.cast("bigint").alias("depth")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import common_folder, dirname, extension, stem
+from folioflow.functions.text import common_parts, dirname, extension, stem
 
 
 def last_writer(rows: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -49,35 +49,73 @@ def clash_suffix(rows: DataFrame, path: str, key: Column, order: list[str]) -> D
     return rows.withColumn("rank", n).withColumn("final", F.when(n == 1, F.col(path)).otherwise(made))
 
 
-def settle_clashes(rows: DataFrame, path: str, key, order: list[str], rounds: int = 20) -> DataFrame:
-    """``final`` without any clash: clash_suffix, repeated on what it made until all keys differ.
+# Keys that ` (n)` was put into: of names without and with an extension.
+NUMBERED_KEYS = (r"(?s)^(.*) \(([1-9]\d*)\)()\z", r"(?s)^(.*) \(([1-9]\d*)\)(\.[^./]*)\z")
 
-    ``key`` maps a Column to its comparison key. Each round is one shuffle on the key; a round that changes nothing
-    ends it. First holders keep their names, so rounds touch ever fewer rows.
+
+def free_numbers(losers: DataFrame, taken: DataFrame) -> DataFrame:
+    """``n`` of each loser: the smallest numbers from 2 on that no taken name of the same head and tail bears, in order of ``orig``."""
+    parts = [F.struct(F.regexp_extract("k", p, 1).alias("kh"), F.regexp_extract("k", p, 3).alias("kt"), F.regexp_extract("k", p, 2).try_cast("bigint").alias("h")) for p in NUMBERED_KEYS]
+    held = taken.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("h > 1")
+    held = held.join(losers.select("kh", "kt").distinct(), ["kh", "kt"], "left_semi").distinct()
+    w = Window.partitionBy("kh", "kt")
+    # the j-th taken number h leaves h - 1 - j free ones below it; a loser passes all taken numbers with fewer free ones than its rank
+    skips = held.select("kh", "kt", (F.col("h") - 1 - F.row_number().over(w.orderBy("h"))).alias("at"), F.lit(1).alias("skip"))
+    asks = losers.select("orig", "head", "tail", "kh", "kt", F.row_number().over(w.orderBy("orig")).cast("bigint").alias("at"), F.lit(0).alias("skip"))
+    both = asks.unionByName(skips, allowMissingColumns=True)
+    n = F.col("at") + 1 + F.sum("skip").over(w.orderBy("at", "skip").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("n", n).where("skip = 0").drop("at", "skip")
+
+
+def settle_names(wanted: DataFrame, taken: DataFrame, key) -> DataFrame:
+    """(orig, final) of (orig, head, tail): head + tail where no other name has that key (k of ``taken``), else head + ` (n)` + tail.
+
+    ``key`` maps a Column to its comparison key. Names are given in order of ``orig``. All losers of a name get
+    different free numbers at once, so two rounds do however many want it. It goes on until none is left: every round
+    settles the first holder of each key, so it ends.
+    """
+    from folioflow.session import cut
+
+    left = wanted.select("orig", "head", "tail", key(F.col("head")).alias("kh"), key(F.col("tail")).alias("kt"), F.lit(1).cast("bigint").alias("n"))
+    settled = None
+    while True:
+        made = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
+        tried = left.withColumn("final", F.concat("head", made, "tail")).withColumn("k", F.concat("kh", made, "kt")).join(taken.withColumn("t", F.lit(True)), "k", "left")
+        tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
+        good = tried.where("t is null and r = 1")
+        settled = good.select("orig", "final") if settled is None else settled.unionByName(good.select("orig", "final"))
+        bad = tried.where("t is not null or r > 1")
+        if bad.isEmpty():
+            return settled
+        taken = cut(taken.union(good.select("k")))
+        left = free_numbers(bad, taken)
+
+
+def settle_clashes(rows: DataFrame, path: str, key, order: list[str]) -> DataFrame:
+    """``final`` without any clash: the first holder of a key keeps its path, the others get the smallest free ` (n)`.
+
+    ``order`` tells the rows apart. No given path is taken by a made one, and it goes on until all keys differ. Rows without a path have none.
     """
     from folioflow.session import cut
 
-    now = rows.withColumn("final", F.col(path)).withColumn("fixed", F.lit(0))
-    for i in range(1, rounds + 1):
-        w = Window.partitionBy(key(F.col("final"))).orderBy("fixed", *order)
-        n = F.row_number().over(w)
-        folder, base, ext = dirname("final"), F.regexp_replace(stem("final"), r" \(\d+\)$", "") if i > 1 else stem("final"), extension("final")
-        made = F.concat(F.when(folder == "", F.lit("")).otherwise(F.concat(folder, F.lit("/"))), base, F.lit(" ("), (n + i - 1).cast("string"), F.lit(")"), ext)
-        step = cut(now.withColumn("n", n).withColumn("next", F.when(F.col("n") == 1, F.col("final")).otherwise(made)))
-        clashing = step.where("n > 1").limit(1).count()
-        now = step.withColumn("fixed", F.when(F.col("n") == 1, F.col("fixed")).otherwise(F.lit(i))).withColumn("final", F.col("next")).drop("n", "next")
-        if not clashing:
-            break
-    return now.drop("fixed")
+    ranked = cut(rows.where(F.col(path).isNotNull()).select(F.struct(*order).alias("orig"), F.col(path).alias("p"), key(F.col(path)).alias("k")))
+    firsts = ranked.groupBy("k").agg(F.min_by(F.struct("orig", "p"), "orig").alias("x")).select("k", "x.orig", "x.p")
+    others = ranked.join(firsts.select("orig"), "orig", "left_anti")
+    folder = F.when(dirname("p") != "", F.concat(dirname("p"), F.lit("/"))).otherwise(F.lit(""))
+    made = settle_names(others.select("orig", F.concat(folder, stem("p")).alias("head"), extension("p").alias("tail")), firsts.select("k"), key)
+    final = firsts.select("orig", F.col("p").alias("final")).unionByName(made)
+    return rows.withColumn("__o", F.struct(*order)).join(final.withColumnRenamed("orig", "__o"), "__o", "left").drop("__o")
 
 
 def shared_folder(users: DataFrame, item: str, folder: str) -> DataFrame:
     """(item, folder, n_users): the longest folder that all users of an item share.
 
-    The common prefix of all is that of the smallest and the largest, so a hot item needs two values a task, never its list.
+    Folders are compared part by part: what the smallest and the largest list of parts share, all share. So a hot item needs
+    two values a task, never its list. NULL folders are no users.
     """
-    agg = users.where(F.col(folder).isNotNull()).groupBy(item).agg(F.min(folder).alias("lo"), F.max(folder).alias("hi"), F.count("*").alias("n_users"))
-    return agg.select(item, common_folder(F.array("lo", "hi")).alias("folder"), "n_users")
+    parts = F.split(F.col(folder), "/")
+    agg = users.where(F.col(folder).isNotNull()).groupBy(item).agg(F.min(parts).alias("lo"), F.max(parts).alias("hi"), F.count("*").alias("n_users"))
+    return agg.select(item, common_parts(F.col("lo"), F.col("hi")).alias("folder"), "n_users")
 
 
 def levels_of(path: str | Column) -> Column:

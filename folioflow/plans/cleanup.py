@@ -4,7 +4,7 @@ An item is one file: ``orig`` (its first path), ``path`` (its present one), ``is
 ``merged_into`` (the orig of its double), ``title``, ``body``, ``fm``, ``has_fm``, ``parent`` (orig of the parent page),
 ``folder_only`` and ``number``. A step takes and gives the items and adds to the log. Only the steps, and the few levels
 of nesting, are loops of the driver; every step is a plan over all items. After steps that move items the
-lineage is cut by a checkpoint.
+lineage is cut by a written table.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import titles as ti
 from folioflow.functions.text import RESERVED, basename, col, dirname, extension, level, number, page_title, path_key, safe_name, stem, strip, strip_number
 from folioflow.operators import links as li
-from folioflow.operators.hierarchy import child_numbers, parents
-from folioflow.operators.merging import levels_of, shared_folder
+from folioflow.operators.hierarchy import child_numbers, descendants, parents
+from folioflow.operators.merging import levels_of, settle_names, shared_folder
 from folioflow.session import cut
 from folioflow.sources.notes import drop_fields, front_matter, front_matter_text, get_field, set_field
 
@@ -35,7 +35,6 @@ HEADING = rf"(?U)^{BLANK}# ([^\n]*)(?:\n|$){BLANK}(?:[^\S\n]+$)?"
 DATE = rf"(?U)^\*[^*\n]*\b(?:1[89]|20)\d\d\b[^*\n]*\*[ \t]*(?:\n|$){BLANK}(?:[^\S\n]+$)?"
 DAY = r"(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day,?\s+[A-Z][a-z]+\s+\d{1,2},?\s+\d{4}"
 OLD = rf"(?U)^{BLANK}[^\S\n]*([^\n]*)\n[^\S\n]*{DAY}[^\S\n]*(?:\n|$)(?:[^\S\n]*(?i:\d{{1,2}}:\d{{2}}\s*[AP]M)[^\S\n]*(?:\n|$))?{BLANK}(?:[^\S\n]+$)?"
-NUMBERED_KEYS = (r"(?s)^(.*) \(([1-9]\d*)\)()\z", r"(?s)^(.*) \(([1-9]\d*)\)(\.[^./]*)\z")  # keys that ` (n)` was put into: names without and with an extension
 LONG_PATH, NEAR_EMPTY, LIST_LIMIT, SECTION_LIMIT = 200, 20, 40, 200
 
 
@@ -151,42 +150,6 @@ def delete(state: State, doomed: DataFrame, step: str) -> None:
     state.log(doomed.withColumn("action", F.lit("delete")), step)
 
 
-def free_numbers(losers: DataFrame, taken: DataFrame) -> DataFrame:
-    """``n`` of each loser: the smallest numbers from 2 on that no taken name of the same head and tail bears, in order of ``orig``."""
-    parts = [F.struct(F.regexp_extract("k", p, 1).alias("kh"), F.regexp_extract("k", p, 3).alias("kt"), F.regexp_extract("k", p, 2).try_cast("bigint").alias("h")) for p in NUMBERED_KEYS]
-    held = taken.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("h > 1")
-    held = held.join(losers.select("kh", "kt").distinct(), ["kh", "kt"], "left_semi").distinct()
-    w = Window.partitionBy("kh", "kt")
-    # the j-th taken number h leaves h - 1 - j free ones below it; a loser passes all taken numbers with fewer free ones than its rank
-    skips = held.select("kh", "kt", (F.col("h") - 1 - F.row_number().over(w.orderBy("h"))).alias("at"), F.lit(1).alias("skip"))
-    asks = losers.select("orig", "head", "tail", "kh", "kt", F.row_number().over(w.orderBy("orig")).cast("bigint").alias("at"), F.lit(0).alias("skip"))
-    both = asks.unionByName(skips, allowMissingColumns=True)
-    n = F.col("at") + 1 + F.sum("skip").over(w.orderBy("at", "skip").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return both.withColumn("n", n).where("skip = 0").drop("at", "skip")
-
-
-def settle_names(wanted: DataFrame, taken: DataFrame, rounds: int = 50) -> DataFrame:
-    """(orig, final) of (orig, head, tail): head + tail where no other name has that key (k of ``taken``), else head + ` (n)` + tail.
-
-    Names are given in order of ``orig``. All losers of a name get different free numbers at once, so two rounds do
-    however many want it; rounds go on until none is left, and names still left at the bound are an error.
-    """
-    left = wanted.select("orig", "head", "tail", path_key("head").alias("kh"), path_key("tail").alias("kt"), F.lit(1).cast("bigint").alias("n"))
-    settled = None
-    for _ in range(rounds):
-        made = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
-        tried = left.withColumn("final", F.concat("head", made, "tail")).withColumn("k", F.concat("kh", made, "kt")).join(taken.withColumn("t", F.lit(True)), "k", "left")
-        tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
-        good = tried.where("t is null and r = 1")
-        settled = good.select("orig", "final") if settled is None else settled.unionByName(good.select("orig", "final"))
-        bad = tried.where("t is not null or r > 1")
-        if not bad.limit(1).count():
-            return settled
-        taken = cut(taken.union(good.select("k")))
-        left = free_numbers(bad, taken)
-    raise RuntimeError(f"{bad.count()} names still clash after {rounds} rounds")
-
-
 def place(state: State, moves: DataFrame, step: str, action: str = "move") -> None:
     """Move (orig, target): identical attachments of one target merge, other clashes get ` (2)`, ` (3)` ...; all is logged.
 
@@ -213,7 +176,7 @@ def place(state: State, moves: DataFrame, step: str, action: str = "move") -> No
     left = cut(movers.where("to_orig is null").select("orig", "path", "target"))
     taken = cut(held.select("k").union(folders).distinct())
     folder = F.when(dirname("target") != "", F.concat(dirname("target"), F.lit("/"))).otherwise(F.lit(""))
-    settled = settle_names(left.select("orig", F.concat(folder, stem("target")).alias("head"), extension("target").alias("tail")), taken)
+    settled = settle_names(left.select("orig", F.concat(folder, stem("target")).alias("head"), extension("target").alias("tail")), taken, path_key)
     done = cut(settled.join(left.select("orig", F.col("path").alias("before")), "orig"))
     items = state.items.join(done, "orig", "left").join(merged, "orig", "left")
     items = items.withColumn("path", F.coalesce("final", "path")).withColumn("deleted", F.col("deleted") | F.col("to_orig").isNotNull()).withColumn("merged_into", F.coalesce("to_orig", "merged_into"))
@@ -226,7 +189,7 @@ def unique_folders(state: State, wanted: DataFrame) -> DataFrame:
     """``final`` folder names (orig, folder) that no live file or folder bears yet, nor another of them."""
     live = alive(state.items)
     taken = cut(live.select("path").union(live.select(F.explode(levels_of("path")))).distinct().select(path_key("path").alias("k")).distinct())
-    return settle_names(wanted.select("orig", F.col("folder").alias("head"), F.lit("").alias("tail")), taken)
+    return settle_names(wanted.select("orig", F.col("folder").alias("head"), F.lit("").alias("tail")), taken, path_key)
 
 
 # ---------------------------------------------------------------- steps
@@ -338,9 +301,9 @@ def nest(state: State, o: Options) -> None:
     live = alive(state.items)
     kids = live.where("parent is not null").select("orig", "parent")
     front = live.where(F.col("is_note") & F.col("parent").isNull() & number("path").isNotNull()).select("orig")
-    for _ in range(40):
+    while True:  # one round a level of the hierarchy, which has no cycle
         holders = cut(front.join(kids.select(F.col("parent").alias("orig")).distinct(), "orig", "left_semi"))
-        if not holders.limit(1).count():
+        if holders.isEmpty():
             break
         now = alive(state.items).join(holders, "orig").select("orig", "path", "folder_only")
         label = F.when(F.lit(o.folder_numbers) & number("path").isNotNull(), F.concat(number("path"), F.lit(" - "), strip_number("path"))).otherwise(strip_number("path"))
@@ -363,10 +326,10 @@ def resolved_links(state: State, notes: DataFrame) -> DataFrame:
     Links are read from a note's first folder, for its text was written there; merged items stand for their doubles.
     """
     found = li.links(notes.where("is_note"), "orig", "body")
-    doubles = state.items.where("merged_into is not null").select(F.col("orig").alias("a"), F.col("merged_into").alias("b"))
-    goals = state.items.select(F.col("orig").alias("goal"), F.coalesce("merged_into", "orig").alias("item"))
-    for _ in range(3):  # doubles of doubles
-        goals = goals.join(doubles, F.col("item") == F.col("a"), "left").select("goal", F.coalesce("b", "item").alias("item"))
+    # doubles of doubles: each chain of merges ends at the item that stayed
+    merged = descendants(state.items.where("merged_into is not null").select("orig", "merged_into"), "orig", "merged_into")
+    last = merged.join(state.items.where("merged_into is not null").select(F.col("orig").alias("root_id"), "merged_into"), "root_id").select(F.col("page_id").alias("goal"), F.col("merged_into").alias("stays"))
+    goals = state.items.select(F.col("orig").alias("goal")).join(last, "goal", "left").select("goal", F.coalesce("stays", "goal").alias("item"))
     ends = state.items.select(F.col("orig").alias("item"), F.col("path").alias("item_path"), F.col("is_note").alias("item_note"), F.col("deleted").alias("item_deleted"))
     aimed = li.resolve(found, "orig", goals, "goal", path_key)
     return aimed.join(ends, "item", "left").withColumnRenamed("orig", "note")

@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session, a temporary one only where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir of the session.
+
+    Where it is unset, a session within one machine (tests) gets a temporary folder; a cluster's is an error, for a folder of the
+    driver's machine is none of the executors'.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -26,11 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written table in the shared folder.
 
-    It is computed once (a checkpoint computes its rows twice), is columnar, and survives the loss of executors.
+    It is computed once (a checkpoint computes its rows twice), is columnar, has a size the planner knows, and survives the
+    loss of executors. It is deleted when the session's driver ends, for the frame may be read until then.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,9 +60,14 @@ def spread(df: DataFrame, scan: bool = True) -> DataFrame:
 def first_delivery(pages: DataFrame, *columns: str) -> DataFrame:
     """One row per page_id, whatever number of times it was delivered; the smallest row_id wins.
 
-    The aggregate is partial before its shuffle, so a page delivered a million times is one row
-    per task. Rows without a page_id are kept as the single page NULL.
+    Only ids are grouped: the later deliveries are found on two narrow columns and written, so the planner knows their
+    size, and are then taken out. Texts are not shuffled to drop a few copies unless the copies are many. Rows
+    without a page_id are one page. Rows that repeat a row_id too are told apart by nothing, so one of them is kept.
     """
-    return pages.groupBy("page_id").agg(
-        *[F.min_by(c, "row_id").alias(c) for c in columns]
-    )
+    ids = pages.select("page_id", "row_id")
+    several = ids.groupBy(F.col("page_id").alias("p")).agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = cut(ids.join(several, F.col("page_id").eqNullSafe(F.col("p"))).select("page_id", "row_id", "first"))
+    untold = later.groupBy("page_id").agg(F.count_if(F.col("row_id").isNull()).alias("bare"), F.count_if(F.col("row_id") == F.col("first")).alias("same")).where("bare > 0 or same > 1")
+    if untold.isEmpty():
+        return pages.join(later.where("row_id <> first").select("row_id"), "row_id", "left_anti").select("page_id", *columns)
+    return pages.groupBy("page_id").agg(*[F.min_by(c, F.coalesce("row_id", F.lit(2**63 - 1))).alias(c) for c in columns])

@@ -242,7 +242,12 @@ def _objects(content: bytes, group: str | None, parts: list[Entry], below: dict[
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """Rows of ROWS for a frame of (path, content). A file that cannot be decoded gives one row of kind `error` with the reason in ``a``."""
+    """Rows of ROWS for a frame of (path, content). A file that cannot be decoded gives one row of kind `error` with the reason in ``a``.
+
+    They are decoded once and written, for everything after reads them several times.
+    """
+    from folioflow.session import cut
+
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -256,7 +261,7 @@ def facts(files: DataFrame) -> DataFrame:
                     part["n"] = part["n"].astype("Int64")
                     yield part.assign(file=path)[["file", *Row._fields]]
 
-    return files.select("path", "content").mapInPandas(run, ROWS)
+    return cut(files.select("path", "content").mapInPandas(run, ROWS))
 
 
 def read_sections(spark: SparkSession, root: str) -> DataFrame:
@@ -264,10 +269,11 @@ def read_sections(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[oO][nN][eE]").load(root)
 
 
-def revision_groups(found: DataFrame, rounds: int = 1000) -> DataFrame:
+def revision_groups(found: DataFrame) -> DataFrame:
     """(file, cell, revision, depth, element): the manifests of each cell's current revision and of its bases, newest first.
 
-    The bases are followed for all cells of all files at once, one join a step; a revision already met ends its chain.
+    The bases of all cells of all files are followed at once, by doubling: after round k a cell has met 2**k revisions of its chain
+    and every revision knows the one 2**k steps below it. A chain ends where no base is, or where a revision comes again.
     """
     from folioflow.session import cut
 
@@ -276,17 +282,19 @@ def revision_groups(found: DataFrame, rounds: int = 1000) -> DataFrame:
     mapping = _latest(found.where("kind = 'revision_map'")).select("file", F.col("key").alias("revision"), F.col("a").alias("element"))
     manifest = _latest(found.where("kind = 'revision'")).select("file", F.col("key").alias("element"), F.col("b").alias("base"))
     steps = cut(mapping.join(manifest, ["file", "element"]))
-    front = cut(cells.join(current, ["file", "element"]).select("file", "cell", "revision", F.array("revision").alias("seen"), F.lit(0).alias("depth")))
-    result = None
-    for _ in range(rounds):
-        met = cut(front.join(steps, ["file", "revision"]))
-        got = met.select("file", "cell", "revision", "depth", "element")
-        result = got if result is None else result.unionByName(got)
-        front = met.where("base is not null and not array_contains(seen, base)").select(
-            "file", "cell", F.col("base").alias("revision"), F.array_append("seen", F.col("base")).alias("seen"), (F.col("depth") + 1).alias("depth"))
-        if not front.limit(1).count():
+    met = cut(cells.join(current, ["file", "element"]).select("file", "cell", "revision").join(steps.select("file", "revision"), ["file", "revision"], "left_semi").select("file", "cell", "revision", F.lit(0).cast("bigint").alias("depth")))
+    jump = steps.where("base is not null").select("file", "revision", F.col("base").alias("below")).join(steps.select("file", F.col("revision").alias("below")), ["file", "below"], "left_semi")
+    size = 1
+    while True:
+        far = met.join(jump, ["file", "revision"]).select("file", "cell", F.col("below").alias("revision"), (F.col("depth") + size).alias("depth"))
+        # a revision that a cell has met before is no further one (a chain that runs in a circle ends)
+        both = cut(met.withColumn("new", F.lit(False)).unionByName(far.withColumn("new", F.lit(True))).groupBy("file", "cell", "revision").agg(F.min("depth").alias("depth"), F.min("new").alias("new")))
+        met = both.select("file", "cell", "revision", "depth")
+        if both.where("new").isEmpty():
             break
-    return result
+        size *= 2
+        jump = cut(jump.join(jump.select("file", F.col("revision").alias("below"), F.col("below").alias("lower")), ["file", "below"]).select("file", "revision", F.col("lower").alias("below")))
+    return met.join(steps.select("file", "revision", "element"), ["file", "revision"])
 
 
 def _latest(rows: DataFrame) -> DataFrame:

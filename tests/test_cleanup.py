@@ -137,11 +137,6 @@ def test_200_holders_of_one_name_get_a_folder_each(spark):
     assert [paths[f"N/{i:03} - Kid.md"] for i in range(1, 400, 2)] == [f"N/{f}/01 - Kid.md" for f in folders]
 
 
-def test_names_that_stay_free_of_clashes_raise_at_the_bound(spark):
-    wanted = spark.createDataFrame([("x", "a", ".png"), ("y", "a", ".png")], "orig string, head string, tail string")
-    with pytest.raises(RuntimeError, match="1 names"):
-        cl.settle_names(wanted, spark.createDataFrame([], "k string"), rounds=1)
-
 
 def test_text_attachments_are_scanned(spark, tmp_path):
     (tmp_path / "a").mkdir()

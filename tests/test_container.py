@@ -86,6 +86,15 @@ def test_newer_revision_wins(spark):
     assert [r["title"] for r in re_.render_pages(co.facts(files)).collect()] == ["new"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 20])
+def test_chains_of_revisions(spark, n):
+    rows = [("f", "cell", 0, "c", "e", None), ("f", "current", 1, "e", "r0", None)]
+    rows += [("f", "revision_map", 2 + i, f"r{i}", f"m{i}", None) for i in range(n)] + [("f", "revision", 50 + i, f"m{i}", f"r{i}", f"r{i + 1}" if i < n - 1 else "r0" if n == 7 else None) for i in range(n)]
+    found = spark.createDataFrame(rows, "file string, kind string, ord bigint, key string, a string, b string")
+    got = sorted((r["depth"], r["revision"], r["element"]) for r in co.revision_groups(found).collect())
+    assert got == [(i, f"r{i}", f"m{i}") for i in range(n)]
+
+
 def test_data_source(spark, tmp_path):
     (tmp_path / "n").mkdir()
     (tmp_path / "n" / "x.ONE").write_bytes(sample())

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import hierarchy, merging, numbering
@@ -16,12 +17,12 @@ def stack_parents(rows):
     return out
 
 
-def test_parents_match_a_stack_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(hierarchy, "BLOCK", 7)
+@pytest.mark.parametrize("blocks", [None, 1, 30])
+def test_parents_match_a_stack_across_blocks(spark, blocks):
     rnd = random.Random(1)
     rows = [(rnd.choice(["hot", "hot", "a", "b"]), rnd.randint(1, 60), rnd.randint(1, 4), i) for i in range(200)]
     df = spark.createDataFrame(rows, "f string, o int, l int, id bigint")
-    got = {r["page_id"]: r["parent_id"] for r in hierarchy.parents(df, "f", "o", "l", "id").collect()}
+    got = {r["page_id"]: r["parent_id"] for r in hierarchy.parents(df, "f", "o", "l", "id", blocks).collect()}
     assert got == stack_parents(rows)
 
 
@@ -37,6 +38,15 @@ def test_descendants(spark):
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: (1, 4), 6: (6, 0), 7: (6, 1)}
 
 
+def test_cycles_have_no_root(spark):
+    rows = [(1, None), (2, 1), (3, 2), (10, 12), (11, 10), (12, 11), (13, 10), (20, 21), (21, 20), (30, 30), (31, 30), (None, 1), (3, 2)]
+    got = {r["page_id"]: (r["root_id"], r["depth"]) for r in hierarchy.descendants(spark.createDataFrame(rows, "page_id bigint, parent_id bigint")).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), **{i: (None, None) for i in (10, 11, 12, 13, 20, 21, 30, 31)}}
+    long = spark.createDataFrame([(i, i - 1 if i else None) for i in range(300)], "page_id bigint, parent_id bigint")
+    assert sorted((r["depth"], r["root_id"]) for r in hierarchy.descendants(long).collect()) == [(i, 0) for i in range(300)]
+    assert hierarchy.descendants(long.limit(0)).count() == 0
+
+
 def test_child_numbers(spark):
     df = spark.createDataFrame([(i, 1) for i in range(101)], "page_id bigint, parent_id bigint")
     rows = hierarchy.child_numbers(df, "parent_id", ["page_id"]).orderBy("page_id").collect()
@@ -59,6 +69,28 @@ def test_clashes_settle(spark):
     assert len({v.lower() for v in final.values()}) == 6 and final[1] == "d/a.md" and final[3] == "d/a (2).md"
 
 
+def test_many_clashes_settle(spark):
+    rows = [(i, "d/a.png") for i in range(200)] + [(500 + i, f"d/A ({i}).PNG") for i in range(0, 60, 3)] + [(900, None)]
+    df = spark.createDataFrame(rows, "id int, path string")
+    final = {r["id"]: r["final"] for r in merging.settle_clashes(df, "path", F.lower, ["id"]).collect()}
+    assert len(final) == 221 and final[900] is None and len({v.lower() for v in final.values() if v}) == 220
+    assert final[0] == "d/a.png" and final[1] == "d/a (2).png" and final[2] == "d/a (4).png" and all(final[500 + i] == f"d/A ({i}).PNG" for i in range(0, 60, 3))
+
+
+def test_shared_folder_by_parts(spark):
+    df = spark.createDataFrame([(1, "X/Shelf A"), (1, "X/Shelf A 2"), (1, "X/Shelf A/Ideas"), (2, "a-b/c"), (2, "a/c"), (3, ""), (3, "a")], "i int, f string")
+    assert {r["i"]: r["folder"] for r in merging.shared_folder(df, "i", "f").collect()} == {1: "X", 2: "", 3: ""}
+
+
+def test_first_delivery(spark):
+    from folioflow.session import first_delivery
+
+    rows = [(1, 1, "a", 0), (2, 1, "late", 0), (3, 2, None, 0), (4, None, "n", 0), (5, None, "m", 0)]
+    df = spark.createDataFrame(rows, "row_id bigint, page_id bigint, v string, extra int")
+    assert sorted(map(tuple, first_delivery(df, "v").collect()), key=str) == sorted([(1, "a"), (2, None), (None, "n")], key=str)
+    assert first_delivery(df.union(df), "v").count() == 3 and first_delivery(df.limit(0), "v").count() == 0
+
+
 def test_shared_folder(spark):
     df = spark.createDataFrame([(1, "a/b"), (1, "a/bc"), (2, "a/b"), (3, "a"), (3, "b"), (4, None), (5, "a/b"), (5, "a/b/c")], "i int, f string")
     assert {r["i"]: r["folder"] for r in merging.shared_folder(df, "i", "f").collect()} == {1: "a", 2: "a/b", 3: "", 5: "a/b"}
