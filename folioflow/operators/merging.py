@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,26 +50,28 @@ def clash_suffix(rows: DataFrame, path: str, key: Column, order: list[str]) -> D
     return rows.withColumn("rank", n).withColumn("final", F.when(n == 1, F.col(path)).otherwise(made))
 
 
-# Keys that ` (n)` was put into: of names without and with an extension.
-NUMBERED_KEYS = (r"(?s)^(.*) \(([1-9]\d*)\)()\z", r"(?s)^(.*) \(([1-9]\d*)\)(\.[^./]*)\z")
+COUNTED, DASHED = (" (", ")", 2), ("-", "", 1)  # what stands around a number that sets names apart, and the first number
 
 
-def free_numbers(losers: DataFrame, taken: DataFrame) -> DataFrame:
-    """``n`` of each loser: the smallest numbers from 2 on that no taken name of the same head and tail bears, in order of ``orig``."""
-    parts = [F.struct(F.regexp_extract("k", p, 1).alias("kh"), F.regexp_extract("k", p, 3).alias("kt"), F.regexp_extract("k", p, 2).try_cast("bigint").alias("h")) for p in NUMBERED_KEYS]
-    held = taken.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("h > 1")
+def free_numbers(losers: DataFrame, taken: DataFrame, form: tuple[str, str, int] = COUNTED) -> DataFrame:
+    """``n`` of each loser: the smallest numbers from the form's first on that no taken name of the same head and tail bears, in order of ``orig``."""
+    before, behind, first = (re.escape(form[0]), re.escape(form[1]), form[2])
+    # keys that a number was put into: of names without and with an extension
+    keys = [rf"(?s)^(.*){before}([1-9]\d*){behind}{tail}\z" for tail in ("()", r"(\.[^./]*)")]
+    parts = [F.struct(F.regexp_extract("k", p, 1).alias("kh"), F.regexp_extract("k", p, 3).alias("kt"), F.regexp_extract("k", p, 2).try_cast("bigint").alias("h")) for p in keys]
+    held = taken.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where(F.col("h") >= first)
     held = held.join(losers.select("kh", "kt").distinct(), ["kh", "kt"], "left_semi").distinct()
     w = Window.partitionBy("kh", "kt")
-    # the j-th taken number h leaves h - 1 - j free ones below it; a loser passes all taken numbers with fewer free ones than its rank
-    skips = held.select("kh", "kt", (F.col("h") - 1 - F.row_number().over(w.orderBy("h"))).alias("at"), F.lit(1).alias("skip"))
+    # the j-th taken number h leaves h - first + 1 - j free ones below it; a loser passes all taken numbers with fewer free ones than its rank
+    skips = held.select("kh", "kt", (F.col("h") - first + 1 - F.row_number().over(w.orderBy("h"))).alias("at"), F.lit(1).alias("skip"))
     asks = losers.select("orig", "head", "tail", "kh", "kt", F.row_number().over(w.orderBy("orig")).cast("bigint").alias("at"), F.lit(0).alias("skip"))
     both = asks.unionByName(skips, allowMissingColumns=True)
-    n = F.col("at") + 1 + F.sum("skip").over(w.orderBy("at", "skip").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    n = F.col("at") + first - 1 + F.sum("skip").over(w.orderBy("at", "skip").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return both.withColumn("n", n).where("skip = 0").drop("at", "skip")
 
 
-def settle_names(wanted: DataFrame, taken: DataFrame, key) -> DataFrame:
-    """(orig, final) of (orig, head, tail): head + tail where no other name has that key (k of ``taken``), else head + ` (n)` + tail.
+def settle_names(wanted: DataFrame, taken: DataFrame, key, form: tuple[str, str, int] = COUNTED) -> DataFrame:
+    """(orig, final) of (orig, head, tail): head + tail where no other name has that key (k of ``taken``), else head + a number in its form, ` (n)`, + tail.
 
     ``key`` maps a Column to its comparison key. Names are given in order of ``orig``. All losers of a name get
     different free numbers at once, so two rounds do however many want it. It goes on until none is left: every round
@@ -76,10 +79,10 @@ def settle_names(wanted: DataFrame, taken: DataFrame, key) -> DataFrame:
     """
     from folioflow.session import cut
 
-    left = wanted.select("orig", "head", "tail", key(F.col("head")).alias("kh"), key(F.col("tail")).alias("kt"), F.lit(1).cast("bigint").alias("n"))
+    left = wanted.select("orig", "head", "tail", key(F.col("head")).alias("kh"), key(F.col("tail")).alias("kt"), F.lit(0).cast("bigint").alias("n"))
     settled = None
     while True:
-        made = F.when(F.col("n") > 1, F.concat(F.lit(" ("), F.col("n").cast("string"), F.lit(")"))).otherwise(F.lit(""))
+        made = F.when(F.col("n") > 0, F.concat(F.lit(form[0]), F.col("n").cast("string"), F.lit(form[1]))).otherwise(F.lit(""))
         tried = left.withColumn("final", F.concat("head", made, "tail")).withColumn("k", F.concat("kh", made, "kt")).join(taken.withColumn("t", F.lit(True)), "k", "left")
         tried = cut(tried.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("n", "orig"))))
         good = tried.where("t is null and r = 1")
@@ -88,7 +91,7 @@ def settle_names(wanted: DataFrame, taken: DataFrame, key) -> DataFrame:
         if bad.isEmpty():
             return settled
         taken = cut(taken.union(good.select("k")))
-        left = free_numbers(bad, taken)
+        left = free_numbers(bad, taken, form)
 
 
 def settle_clashes(rows: DataFrame, path: str, key, order: list[str]) -> DataFrame:

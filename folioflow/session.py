@@ -57,6 +57,12 @@ def spread(df: DataFrame, scan: bool = True) -> DataFrame:
     return df.repartition(wanted if scan else max(wanted, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one key together, over as many tasks as the session asks for: the adaptive planner merges partitions by their bytes, but here a byte is much work for Python."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def first_delivery(pages: DataFrame, *columns: str) -> DataFrame:
     """One row per page_id, whatever number of times it was delivered; the smallest row_id wins.
 

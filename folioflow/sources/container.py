@@ -302,13 +302,13 @@ def _latest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("file", "key").agg(F.max_by(F.struct("a", "b"), "ord").alias("x")).select("file", "key", "x.a", "x.b")
 
 
-def nodes(found: DataFrame) -> DataFrame:
+def nodes(found: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """(file, cell, oid, jcid, props, refs, cells, file_data, ord): every object of every cell, newest part of each kind.
 
     Partition 4 names the type, 1 holds the properties, 2 the bytes of a file; an object is as new as its newest
-    revision, within it as its last group. Blobs stand in where an object has no bytes of its own.
+    revision, within it as its last group. Blobs stand in where an object has no bytes of its own. ``chain`` is revision_groups, if it is at hand.
     """
-    chain = revision_groups(found)
+    chain = revision_groups(found) if chain is None else chain
     refs = found.where("kind = 'group_ref'").select("file", F.col("key").alias("element"), F.col("a").alias("grp"), F.col("ord").alias("grp_ord"))
     held = found.where("kind = 'object'").select("file", F.col("key").alias("grp"), F.col("a").alias("oid"), F.col("b").alias("blob"), "n", "refs", "cells", "data", "ord")
     blobs = _blob(found)
@@ -334,9 +334,9 @@ def _little_endian(b):
     return F.when(F.length(b) >= 4, F.conv(digits, 16, 10).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
 
 
-def roots(found: DataFrame) -> DataFrame:
+def roots(found: DataFrame, chain: DataFrame | None = None) -> DataFrame:
     """(file, cell, role, oid): the newest root object of each role of each cell."""
-    chain = revision_groups(found)
+    chain = revision_groups(found) if chain is None else chain
     r = found.where("kind = 'root'").select("file", F.col("key").alias("element"), F.col("n").alias("role"), F.col("a").alias("oid"), "ord")
     return chain.join(r, ["file", "element"]).groupBy("file", "cell", "role").agg(F.max_by("oid", F.struct((-F.col("depth")).alias("d"), "ord")).alias("oid"))
 

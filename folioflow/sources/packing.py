@@ -1,10 +1,15 @@
-"""Writes small page containers for the tests."""
+"""Writes page containers: bytes of single files, and whole tables of pages as container files."""
 
 from __future__ import annotations
 
 import struct
 import uuid
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioflow.session import spread_by
 from folioflow.sources.container import FORMAT, OBJECT_TYPES, SIGNATURE
 from folioflow.sources.properties import KINDS, PROPS
 
@@ -105,7 +110,7 @@ class Space:
                 declared.append(obj("object_declare", xid(n) + compact(1) + compact(len(raw)) + compact(len(refs)) + compact(len(cells))))
                 held.append(obj("object_data", compact(len(refs)) + b"".join(xid(r) for r in refs) + compact(len(cells)) + b"".join(pair(c) for c in cells) + compact(len(raw)) + raw))
             if data is not None:
-                blob = 9000 + n
+                blob = 1 << 40 | n
                 blobs[blob] = data
                 declared.append(obj("blob_declare", xid(n) + xid(blob) + compact(2) + compact(0) + compact(0)))
                 held.append(obj("object_blob_ref", b"\0\0" + xid(blob)))
@@ -116,7 +121,7 @@ def container(spaces: list[Space], extra: dict[int, Space] | None = None) -> byt
     """A file of these spaces; ``extra`` maps a space to an older one that its revision builds on."""
     elements, index, blobs = [], [], {}
     for i, s in enumerate(spaces, 1):
-        e = i * 100
+        e = 1 << 41 | i * 100
         base = (extra or {}).get(s.g)
         index.append(obj("cell_mapping", pair(s.g) + xid(e) + b"\0"))
         index.append(obj("revision_mapping", xid(e + 1) + xid(e + 2) + b"\0"))
@@ -133,6 +138,127 @@ def container(spaces: list[Space], extra: dict[int, Space] | None = None) -> byt
     return SIGNATURE + b"\0" * 32 + uuid.UUID(FORMAT).bytes_le + b"\0" * 4 + body
 
 
+PAGES_A_FILE = 100
+CHECK, NUMBERED = "To Do", "\x03\ufffd\x00."
+PICTURES = (b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xe0", b"GIF89a")
+
+
+def page_space(g: int, row: dict) -> Space:
+    """One page as an object space: a title, a heading, a run of formats, a numbered list, a task, a table, a link field, code, and a picture or an attachment."""
+    n = iter(range(g * 1000, g * 1000 + 1000))
+    root, meta, page, outline = (next(n) for _ in range(4))
+    s = Space(g, root, meta).add(root, "manifest", ("content", [page]))
+    s.add(meta, "meta", *((k, v) for k, v in (("cached_title", row["title"] or ""), ("level", row["level"]), ("created", row["created"])) if v is not None))
+    elements: list[int] = []
+    files: list[int] = []
+    blank, bold, italic, listed, task, heading, code = (next(n) for _ in range(7))
+    s.add(blank, "text").add(bold, "text", ("bold", True)).add(italic, "text", ("italic", True))
+    s.add(listed, "list", ("number_format", NUMBERED)).add(task, "ink", ("tag_label", CHECK), ("tag_shape", 3))
+    s.add(heading, "text", ("style_id", "h2")).add(code, "text", ("style_id", "code"))
+
+    def element(text: str, *props, of_text: tuple = ()) -> int:
+        e, t = next(n), next(n)
+        s.add(e, "element", ("content", [t]), *props).add(t, "text", ("text", text), *of_text)
+        return e
+
+    elements.append(element(row["section"], of_text=(("style", heading),)))
+    runs = ["Notebook ", row["notebook"], ", level ", str(row["level"])]
+    ends = [sum(map(len, runs[: i + 1])) for i in range(3)]
+    elements.append(element("".join(runs), of_text=(("run_index", struct.pack("<3I", *ends)), ("run_formats", [blank, bold, blank, italic]))))
+    elements += [element(part, ("lists", [listed])) for part in row["path"].split("/")]
+    e, t = next(n), next(n)
+    elements.append(e)
+    s.add(e, "element", ("content", [t])).add(t, "text", ("text", f"Check {row['page_id']}"), ("tag_states", [[("tag_definition", task), ("tag_status", 1 - row["page_id"] % 2)]]))
+    rows = []
+    for words in (("page", "level"), (str(row["page_id"]), str(row["level"])), ("short|row",)):
+        cells = []
+        for w in words:
+            c = next(n)
+            s.add(c, "cell", ("children", [element(w)]))
+            cells.append(c)
+        r = next(n)
+        s.add(r, "row", ("children", cells))
+        rows.append(r)
+    table, holder = next(n), next(n)
+    s.add(table, "table", ("children", rows)).add(holder, "element", ("content", [table]))
+    elements.append(holder)
+    field = f'\ufddfHYPERLINK "https://notes.example/{row["page_id"]}"'
+    elements.append(element(field + "source", of_text=(("run_index", struct.pack("<I", len(field))),)))
+    elements.append(element(f"id = {row['page_id']}", of_text=(("style", code),)))
+    s.add(outline, "outline", ("children", elements))
+    kind, file, data = row["page_id"] % 3, next(n), next(n)
+    files.append(file)
+    if kind == 0:
+        s.add(file, "image", ("picture", data), ("image_name", f"plan {row['page_id'] % 5}.png"), ("image_alt", f"Plan {row['page_id']}")).add(data, "ink", data=PICTURES[0] + bytes([row["page_id"] % 7]))
+    elif kind == 1:
+        s.add(file, "image", ("image_name", f"lost {row['page_id']}.png"))
+    else:
+        s.add(file, "file", ("file", data), ("file_name", f"sheet {row['page_id'] % 4}")).add(data, "ink", data=b"%PDF-" + bytes([row["page_id"] % 6]))
+    props = [("children", [outline, *files])]
+    if (row["title"] or "").strip():
+        title, block = next(n), next(n)
+        s.add(block, "title", ("children", [title])).add(title, "outline", ("is_title", True), ("children", [element(row["title"])]))
+        props.insert(0, ("structure", [block]))
+    if row["modified"] is not None:
+        props.append(("modified", row["modified"]))
+    return s.add(page, "page", *props)
+
+
+def older(s: Space, title: str) -> Space:
+    """A revision that a page's space builds on: its page bears another title and has an outline that the newer one no longer names."""
+    page = next(o[0] for o in s.objects if o[1] == "page")
+    return Space(s.g, s.root, s.meta).add(page, "page", ("page_cached_title", title)).add(s.g * 1000 + 999, "outline", ("children", []))
+
+
+def section_file(rows: list[dict]) -> bytes:
+    """A section of these pages in their order: current ones listed by the section, older versions by its history. Every fourth page has a base revision."""
+    spaces = [(10 + i, r) for i, r in enumerate(rows)]
+    built = {g: page_space(g, r) for g, r in spaces}
+    current, old = [g for g, r in spaces if not r["is_version"]], [(g, r) for g, r in spaces if r["is_version"]]
+    section = Space(1, 1001).add(1001, "section", ("children", [1002])).add(1002, "series", ("page_spaces", current), ("page_metas", [1100 + g for g in current]))
+    for g in current:
+        section.add(1100 + g, "meta", ("cached_title", "listed"), ("level", 1))
+    history = Space(2, 2001).add(2001, "history", ("children", [2100 + g for g, _ in old]))
+    for g, r in old:
+        history.add(2100 + g, "version", ("version_refs", [g]), *([("version_time", r["saved"])] if r["saved"] is not None else []))
+    bases = {g: older(built[g], f"before {r['page_id']}") for g, r in spaces if r["page_id"] % 4 == 0}
+    return container([section, *(built[g] for g in current), *(built[g] for g, _ in old), *([history] if old else [])], bases)
+
+
+def toc_file(entries: list[tuple[str, int, str]]) -> bytes:
+    """A table of contents of (file name, index, display name), behind some other bytes as it is served."""
+    toc = Space(1, 1001).add(1001, "manifest", ("toc_children", [1100 + i for i in range(len(entries))]))
+    for i, (name_, index, display) in enumerate(entries):
+        toc.add(1100 + i, "ink", ("toc_name", name_), ("toc_index", index), ("toc_display", display))
+    return b"stub" * 9 + container([toc])
+
+
+def ticks(c: str):
+    """`yyyy-MM-dd HH:mm:ss UTC` as tenths of microseconds since 1601; NULL stays NULL."""
+    return (F.unix_timestamp(F.substring(c, 1, 19), "yyyy-MM-dd HH:mm:ss") + F.lit(11_644_473_600)) * 10_000_000
+
+
+def assigned(pages: DataFrame) -> DataFrame:
+    """Pages with ``file``: about PAGES_A_FILE pages a file, however many pages a section has."""
+    files = max(1, pages.count() // PAGES_A_FILE)
+    return pages.withColumn("file", F.concat(F.lit("/packed/"), F.pmod("page_id", F.lit(files)).cast("string"), F.lit(".one")))
+
+
+def pack(pages: DataFrame) -> DataFrame:
+    """(path, content) of container files that hold these pages (page_id, path, title, notebook, section, level, created, modified, is_version, file), in order of page_id.
+
+    A file is one group of bounded size.
+    """
+    rows = pages.select("file", "page_id", F.coalesce("path", F.lit("")).alias("path"), "title", F.coalesce("notebook", F.lit("")).alias("notebook"), F.coalesce("section", F.lit("")).alias("section"), F.coalesce("level", F.lit(1)).alias("level"),
+                        ticks("created").alias("created"), (F.unix_timestamp(F.substring("modified", 1, 19), "yyyy-MM-dd HH:mm:ss") - F.lit(315_532_800)).alias("modified"), ticks("modified").alias("saved"), "is_version")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("page_id").astype(object).where(group.notna(), None).to_dict("records")
+        return pd.DataFrame([{"path": ordered[0]["file"], "content": section_file(ordered)}])
+
+    return spread_by(rows, "file").groupBy("file").applyInPandas(one, "path string, content binary")
+
+
 def sample() -> bytes:
     """A section with two pages (a list, a table, a picture used twice, formats, a link field, a tag) and an older version."""
     section = Space(50, 501).add(501, "section", ("children", [502])).add(502, "series", ("page_spaces", [60, 61]), ("page_metas", [503, 599, 504]))

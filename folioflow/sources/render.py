@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import safe_name, stem
+from folioflow.operators.merging import DASHED, settle_names
+from folioflow.session import cut, spread_by
 from folioflow.sources import container as co
 from folioflow.sources.properties import KINDS, PROPS, decode_object, edges, kind_name, properties
 
@@ -365,17 +367,23 @@ PAGE_ROWS = (
 )
 
 
-def page_order(found: DataFrame) -> DataFrame:
+def graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots) of all files, each computed once and written: ordering and rendering both read them."""
+    chain = cut(co.revision_groups(found))
+    return cut(co.nodes(found, chain)), cut(co.roots(found, chain))
+
+
+def page_order(found: DataFrame, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(file, idx, cell, meta_cell, meta_oid, is_version, version_time): current pages in section order, then older versions.
 
     Page spaces and their metadata are paired by position after unresolved metadata have dropped out; a space is found
     by its full id or by its first part. A section without a section object lists its page spaces as they come.
     """
-    nodes = co.nodes(found)
-    tops = co.roots(found).where("role = 1").select("file", "cell", F.col("oid").alias("root"))
+    nodes, tops = held or graph(found)
+    tops = tops.where("role = 1").select("file", "cell", F.col("oid").alias("root"))
     kinds = nodes.select("file", "cell", "oid", "jcid", "first")
     top_kind = tops.join(kinds.select("file", "cell", F.col("oid").alias("root"), "jcid"), ["file", "cell", "root"])
-    props = properties(nodes)
+    props = cut(properties(nodes.where(F.col("jcid").isin(*[KINDS[k] for k in ("section", "series", "history", "version")]))))
     links = edges(props)
     ords = found.where("kind = 'cell'").groupBy("file", F.col("key").alias("cell")).agg(F.min("ord").alias("cell_ord"))
     section = top_kind.where(F.col("jcid") == KINDS["section"]).join(ords, ["file", "cell"]).groupBy("file").agg(F.min_by(F.struct("cell", "root"), "cell_ord").alias("s")).select("file", "s.cell", "s.root")
@@ -417,11 +425,12 @@ def _space_lookup(found: DataFrame) -> DataFrame:
     return names.groupBy("f2", "name").agg(F.max_by("cell", "ord").alias("found_cell"))
 
 
-def render_pages(found: DataFrame) -> DataFrame:
+def render_pages(found: DataFrame, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """PAGE_ROWS of all pages; bodies hold tokens for attachments, which :func:`place_assets` resolves."""
-    order = page_order(found)
-    nodes = co.nodes(found).select("file", "cell", "oid", "jcid", "props", "refs", "cells", "file_data")
-    tops = co.roots(found).groupBy("file", "cell").agg(F.max(F.when(F.col("role") == 1, F.col("oid"))).alias("root"), F.max(F.when(F.col("role") == 2, F.col("oid"))).alias("meta_root"))
+    held = held or graph(found)
+    order = page_order(found, held)
+    nodes = held[0].select("file", "cell", "oid", "jcid", "props", "refs", "cells", "file_data")
+    tops = held[1].groupBy("file", "cell").agg(F.max(F.when(F.col("role") == 1, F.col("oid"))).alias("root"), F.max(F.when(F.col("role") == 2, F.col("oid"))).alias("meta_root"))
     metas = nodes.select(F.col("file").alias("mf"), F.col("cell").alias("mc"), F.col("oid").alias("mo"), F.struct("jcid", "props", "refs", "cells").alias("section_meta"))
     order = order.join(metas, (F.col("file") == F.col("mf")) & (F.col("meta_cell") == F.col("mc")) & (F.col("meta_oid") == F.col("mo")), "left").drop("mf", "mc", "mo")
     rows = order.join(tops, ["file", "cell"], "left").join(nodes, ["file", "cell"], "left")
@@ -440,7 +449,7 @@ def render_pages(found: DataFrame) -> DataFrame:
         first = {k: head[k] for k in ("file", "idx", "is_version", "version_time", "cell")}
         return pd.DataFrame([first | got])
 
-    return rows.groupBy("file", "is_version", "idx").applyInPandas(one, PAGE_ROWS)
+    return spread_by(rows, "file", "is_version", "idx").groupBy("file", "is_version", "idx").applyInPandas(one, PAGE_ROWS)
 
 
 def _node(oid: str, jcid: object, props: object, refs: object, cells: object, data: object) -> Node:
@@ -452,10 +461,11 @@ def place_assets(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages, assets): bodies with the paths of their attachments, and one row a file to write.
 
     Within a section equal bytes are one file under the first name met; a name is cut at the first of `?#&`, gets an
-    extension from its bytes if it has none, and `-1`, `-2` ... where another file bears it.
+    extension from its bytes if it has none, and `-1`, `-2` ... where another file bears it, made names included.
     """
     from folioflow.functions.text import extension, file_type
 
+    pages = cut(pages)  # rendered once, read for the attachments and for the bodies
     used = pages.select("file", "is_version", "idx", F.posexplode("assets").alias("at", "a")).select("file", "is_version", "idx", "at", "a.*")
     place = F.struct("is_version", "idx", "at")
     first = used.groupBy("file", "digest").agg(F.min_by(F.struct("name", "content"), place).alias("x"), F.min(place).alias("met")).select("file", "digest", "met", "x.name", "x.content")
@@ -463,8 +473,10 @@ def place_assets(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = F.coalesce(F.nullif(F.regexp_replace(F.coalesce("name", F.lit("")), "(?s)[?#&].*", ""), F.lit("")), F.concat(F.lit("asset-"), n.cast("string")))
     named = first.withColumn("base", safe_name(plain))
     named = named.withColumn("base", F.when(F.col("base").contains("."), F.col("base")).otherwise(F.concat("base", file_type("content"))))
-    clash = F.row_number().over(Window.partitionBy("file", "base").orderBy("met")) - 1
-    named = named.withColumn("k", clash).withColumn("path", F.concat(F.lit("assets/"), F.when(F.col("k") == 0, F.col("base")).otherwise(F.concat(stem("base"), F.lit("-"), F.col("k").cast("string"), extension("base")))))
+    # names are settled within a file: its name leads the key
+    wanted = named.select(F.struct("file", "met", "digest").alias("orig"), F.concat("file", F.lit("\x01"), stem("base")).alias("head"), extension("base").alias("tail"))
+    settled = settle_names(wanted, wanted.select(F.lit("").alias("k")).limit(0), lambda c: c, DASHED).select("orig.file", "orig.digest", F.concat(F.lit("assets/"), F.substring_index("final", "\x01", -1)).alias("path"))
+    named = named.drop("base").join(settled, ["file", "digest"])
     from folioflow.functions.text import md_path
 
     paths = used.select("file", "is_version", "idx", "digest").distinct().join(named.select("file", "digest", "path"), ["file", "digest"])
@@ -488,6 +500,23 @@ def toc_entries(found: DataFrame) -> DataFrame:
     return first.select("file", "name", "index", "color", "display", (F.row_number().over(Window.partitionBy("file").orderBy("index", "cell", "oid")) - 1).alias("rank"))
 
 
+def dump(found: DataFrame, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(file, cell, json): the objects of each page space from its root down, as :func:`node_json` tells them. A space is one group, as a page is."""
+    import json
+
+    nodes, tops = held or graph(found)
+    first = tops.where("role = 1").select("file", "cell", F.col("oid").alias("root"))
+    rows = nodes.select("file", "cell", "oid", "jcid", "props", "refs", "cells", "file_data").join(first, ["file", "cell"])
+
+    def one(space: pd.DataFrame) -> pd.DataFrame:
+        known = {r.oid: _node(r.oid, r.jcid, r.props, r.refs, r.cells, r.file_data) for r in space.itertuples(index=False) if r.oid is not None}
+        head = space.iloc[0]
+        told = node_json(known, head["root"]) if head["root"] in known else {}
+        return pd.DataFrame([{"file": head["file"], "cell": head["cell"], "json": json.dumps(told, ensure_ascii=False, default=str)}])
+
+    return spread_by(rows, "file", "cell").groupBy("file", "cell").applyInPandas(one, "file string, cell string, json string")
+
+
 def node_json(nodes: dict[str, Node], oid: str, depth: int = 0, seen: set[str] | None = None) -> dict:
     """An object and all it refers to; what has been told or lies deeper than 40 is named only."""
     import base64

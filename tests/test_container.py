@@ -1,5 +1,5 @@
 import pytest
-from packer import Space, compact, container, guid, name, obj, pset, sample, xid
+from folioflow.sources.packing import Space, compact, container, guid, name, obj, pset, sample, xid
 
 from folioflow.sources import container as co
 from folioflow.sources import properties as pr
