@@ -296,6 +296,13 @@ def header(state: State, o: Options) -> None:
     state.items = items.drop("__e")
 
 
+def folder_note_name(way: str, folder: str | Column, path: str | Column) -> Column:
+    """What the page of a folder is called in it: `index.md`, `00 - Title.md`, or the folder's own name."""
+    if way == "index":
+        return F.lit("index.md")
+    return F.concat(F.lit("00 - "), strip_number(path), F.lit(".md")) if way == "zero" else F.concat(basename(folder), F.lit(".md"))
+
+
 def nest(state: State, o: Options) -> None:
     """Pages with sub-pages become folders that hold them; one round a level, from the top."""
     live = alive(state.items)
@@ -309,7 +316,7 @@ def nest(state: State, o: Options) -> None:
         label = F.when(F.lit(o.folder_numbers) & number("path").isNotNull(), F.concat(number("path"), F.lit(" - "), strip_number("path"))).otherwise(strip_number("path"))
         wanted = now.withColumn("folder", F.concat(F.when(dirname("path") != "", F.concat(dirname("path"), F.lit("/"))).otherwise(F.lit("")), label))
         made = cut(unique_folders(state, wanted).join(now, "orig"))
-        note = {"index": F.lit("index.md"), "zero": F.concat(F.lit("00 - "), strip_number("path"), F.lit(".md"))}.get(o.folder_note, F.concat(basename("final"), F.lit(".md")))
+        note = folder_note_name(o.folder_note, "final", "path")
         delete(state, made.where("folder_only").select("orig", F.lit("blank page; its folder holds the sub-pages").alias("detail")), "nest")
         order = alive(state.items).select("orig", number("path").cast("bigint").alias("o"), "path")
         below = kids.join(made.select(F.col("orig").alias("parent"), "final"), "parent").join(order, "orig")
