@@ -96,7 +96,7 @@ class Options:
     keep_versions: bool = False
     keep_json: bool = False
     chunk_pattern: str = r"Pages \d+-\d+"
-    namer: Callable[[DataFrame], DataFrame] | None = None  # (orig, title, raw, plain) -> (orig, new_title, by)
+    namer: Callable[[DataFrame], DataFrame] | None = None  # (orig, title, raw, plain, folder, content) -> (orig, new_title, by); see namer.py
 
 
 @dataclass
@@ -250,13 +250,13 @@ def retitle(state: State, o: Options) -> None:
     else:
         lines = ti.content_lines(content(F.col("body"), F.col("first_title"), F.col("title")))
         head = F.get("lines", F.lit(0))
-        rows = live.withColumn("lines", lines).select("orig", "title", head["raw"].alias("raw"), head["plain"].alias("plain"))
+        rows = live.withColumn("lines", lines).select("orig", "title", head["raw"].alias("raw"), head["plain"].alias("plain"), content(F.col("body"), F.col("first_title"), F.col("title")).alias("content"))
         rows = rows.withColumn("reason", ti.title_problem("title", F.coalesce("plain", F.lit("")))).where("reason is not null")
         images = _image_names(state, rows.where("plain is null").select("orig"))
         rows = rows.join(images, "orig", "left")
         ruled = rows.withColumn("new_title", ti.heuristic_title("title", "raw", "plain", "image"))
         if o.namer is not None:
-            named = o.namer(rows.select("orig", "title", "raw", "plain")).select("orig", F.col("new_title").alias("named"), "by")
+            named = o.namer(rows.select("orig", "title", "raw", "plain", dirname("orig").alias("folder"), "content")).select("orig", F.col("new_title").alias("named"), "by")
             ruled = ruled.join(named, "orig", "left").withColumn("source", F.when(F.col("named").isNotNull(), F.col("by")).when(F.col("new_title").isNotNull(), "rules").otherwise("kept")).withColumn("new_title", F.coalesce("named", "new_title"))
         else:
             ruled = ruled.withColumn("source", F.when(F.col("new_title").isNotNull(), "rules").otherwise("kept"))
@@ -465,25 +465,23 @@ def _section(rows: DataFrame, group: str, order: list[str], shown: Column, limit
 
 
 def write(result: dict[str, DataFrame], source: str, target: str) -> None:
-    """Write the cleaned files below ``target`` (which must not exist): notes anew, all else copied byte by byte. One task a group of files."""
-    from pathlib import Path
+    """Write the cleaned files below ``target`` (which must not exist): notes anew, all else copied byte by byte. See :func:`folioflow.sources.export.write_files`."""
+    from folioflow.sources.export import write_files
 
-    root = Path(target)
-    if root.exists():
-        raise FileExistsError(target)
+    write_files(result["items"].select("path", "orig", "text"), target, source)
 
-    def put(rows) -> None:
-        import shutil
 
-        for r in rows:
-            to = root.joinpath(*r["path"].split("/"))
-            to.parent.mkdir(parents=True, exist_ok=True)
-            if r["text"] is not None:
-                to.write_text(r["text"], encoding="utf-8", newline="\n")
-            else:
-                shutil.copy2(Path(source) / r["orig"], to)
+def write_report(result: dict[str, DataFrame], folder: str) -> None:
+    """`actions.jsonl` and `renames.csv`, each a folder of part files, and `report.md` below a folder that must not exist."""
+    from folioflow.sources.export import write_files
 
-    result["items"].select("path", "orig", "text").foreachPartition(put)
+    spark = result["actions"].sparkSession
+    text = spark.createDataFrame([("report.md", report(result))], "path string, text string")
+    write_files(text, folder)
+    shown = result["actions"].select("step", "action", "path", "detail", F.col("to_path").alias("to"), F.col("from_path").alias("from"))
+    shown.write.mode("errorifexists").json(f"{folder}/actions.jsonl")
+    if result["renames"] is not None:
+        result["renames"].write.mode("errorifexists").option("header", True).option("escape", '"').csv(f"{folder}/renames.csv")
 
 
 def clean_folder(spark: SparkSession, source: str, options: Options | None = None) -> dict[str, DataFrame]:
