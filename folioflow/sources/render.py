@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import pairwise, zip_longest
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -25,6 +27,8 @@ FIELD = "\ufddf"  # the mark of a hyperlink field
 FIELD_RULE = re.compile(FIELD + r'HYPERLINK\s+"([^"]*)"(.*)', re.S)
 SELF_LINK = re.compile(r"(https?://|www\.|mailto:)\S+")
 NBSP = "\u00a0"
+BREAK = re.compile("\r\n|\r|\v")
+INK = "*[ink drawing – not exported]*"
 TOKEN = "\x02{}\x02"
 WRAPS = (("bold", "**{}**"), ("italic", "*{}*"), ("strike", "~~{}~~"), ("underline", "<u>{}</u>"), ("superscript", "<sup>{}</sup>"), ("subscript", "<sub>{}</sub>"))
 
@@ -134,28 +138,28 @@ class Page:
         self.unknown[name] = self.unknown.get(name, 0) + 1
 
     # ---- text
-    def text(self, node: Node) -> str:
+    def runs(self, node: Node) -> list[tuple[str, Node | None]]:
+        """The runs of a text object with their formats, as rows."""
         full = wide(node.get("text"))
         if not full and isinstance(node.get("text_ansi"), bytes):
             full = node.get("text_ansi").decode("cp1252", "replace").rstrip("\0")
         self.chars += len(full)
-        packed = node.get("run_index") or b""
-        bounds = [0, *(int.from_bytes(packed[i : i + 4], "little") for i in range(0, len(packed) // 4 * 4, 4)), len(full)]
-        formats = self.kids(node, "run_formats")
-        out, url = [], None
-        for i, (a, z) in enumerate(zip(bounds, bounds[1:])):
-            run = full[a:z]
-            field = FIELD_RULE.match(run) if FIELD in run else None
-            if field:
-                url, run = field.groups()
+        ends = struct.unpack(f"<{len(packed) // 4}I", packed[: len(packed) // 4 * 4]) if (packed := node.get("run_index")) else ()
+        pieces = [full[i:j] for i, j in pairwise((0, *ends, len(full)))]
+        return list(zip_longest(pieces, self.kids(node, "run_formats")[: len(pieces)]))
+
+    def text(self, node: Node) -> str:
+        """A text with its marks. The text that follows a link field, in its run or as the next one, is the link's."""
+        pending: list[str] = []
+
+        def shown(run: str, fmt: Node | None) -> str:
+            if FIELD in run and (field := FIELD_RULE.match(run)):
+                pending[:], run = [field[1]], field[2]
                 if not run:
-                    continue
-            if url is not None:
-                out.append(f"[{run}]({url})")
-                url = None
-            else:
-                out.append(styled(run, formats[i] if i < len(formats) else None))
-        return re.sub("\r\n|\r|\v", "\n", "".join(out))
+                    return ""
+            return f"[{run}]({pending.pop()})" if pending else styled(run, fmt)
+
+        return BREAK.sub("\n", "".join(shown(*row) for row in self.runs(node)))
 
     def marker(self, element: Node) -> str:
         lists = self.kids(element, "lists")
@@ -234,38 +238,35 @@ class Page:
                 n = 0 if reset else n
                 yield node, 0
 
+    def drawn(self, part: Node, indent: str, lead: str, inset: str) -> list[str]:
+        """Lines of one object: its kind says how. An object of another kind is noted and has none."""
+        if part.kind == KINDS["text"]:
+            style = self.one(part, "style")
+            return paragraph(self.text(part), wide(style.get("style_id")) if style else "", indent, lead)
+        if part.kind == KINDS["table"]:
+            return self.grid(part, inset)
+        inline = {KINDS["image"]: self.picture, KINDS["file"]: self.attachment, KINDS["ink"]: lambda _: INK}.get(part.kind)
+        if inline is None:
+            self.strange(part)
+            return []
+        return [indent + lead + inline(part)]
+
     def element(self, node: Node, lines: list[str], depth: int = 0, lists: int = 0, number: int = 0) -> None:
+        """An element after the lines so far: its objects behind its list mark and tags, then the elements under it."""
         content = self.kids(node, "content")
-        mark, tags = self.marker(node), self.tags([node, *content])
-        if mark == "1. " and number:
-            mark = f"{number}. "
-        mark = mark or ("- " if tags.startswith("[") else "")
-        listed = bool(mark)
-        lead = mark + tags
-        indent = "    " * lists + ("" if listed else NBSP * 4 * max(depth - lists, 0))
-        self.join(lines, listed)
-        wrote = False
-        for part in content:
-            if part.kind == KINDS["text"]:
-                style = self.one(part, "style")
-                lines += paragraph(self.text(part), wide(style.get("style_id")) if style else "", indent, lead)
-            elif part.kind == KINDS["table"]:
-                lines += self.grid(part, "    " * lists)
-            elif part.kind == KINDS["image"]:
-                lines.append(indent + lead + self.picture(part))
-            elif part.kind == KINDS["file"]:
-                lines.append(indent + lead + self.attachment(part))
-            elif part.kind == KINDS["ink"]:
-                lines.append(f"{indent}{lead}*[ink drawing – not exported]*")
-            else:
-                self.strange(part)
-                continue
-            wrote = True
-        if not wrote and lead.strip():
-            lines.append(indent + lead.rstrip())
+        tags = self.tags([node, *content])
+        mark = self.marker(node) or ("- " if tags[:1] == "[" else "")
+        mark = f"{number}. " if number and mark == "1. " else mark
+        inset = "    " * lists
+        indent = inset if mark else inset + NBSP * 4 * max(depth - lists, 0)
+        self.join(lines, bool(mark))
+        own = [line for part in content for line in self.drawn(part, indent, mark + tags, inset)]
+        drawn = own or any(p.kind == KINDS["table"] for p in content)
+        bare = (mark + tags).rstrip()
+        lines += own if drawn or not bare else [indent + bare]
         self.paragraphs += bool(content)
         for child, n in self.siblings(self.kids(node, "children"), reset=False):
-            self.element(child, lines, depth + 1, lists + listed, n)
+            self.element(child, lines, depth + 1, lists + bool(mark), n)
 
     def join(self, lines: list[str], listed: bool) -> None:
         """How the next element follows: a hard break after plain text, a blank line where a list begins or ends."""
@@ -306,22 +307,16 @@ class Page:
         return title, f"*{when[0]} {when[1]}*".strip() if any(when) else ""
 
     def body(self, page: Node) -> list[str]:
+        """Lines of all that stands on a page: outlines with a blank line before each, other objects as they come; title blocks are told elsewhere."""
         lines: list[str] = []
         for node in self.kids(page, "children"):
             if node.kind == KINDS["outline"]:
-                if lines:
-                    lines.append("")
+                lines += [""] if lines else []
                 self.outline_into(node, lines)
-            elif node.kind == KINDS["image"]:
-                lines.append(self.picture(node))
-            elif node.kind == KINDS["table"]:
-                lines += self.grid(node, "")
-            elif node.kind == KINDS["file"]:
-                lines.append(self.attachment(node))
-            elif node.kind == KINDS["ink"]:
-                lines.append("*[ink drawing – not exported]*")
-            elif node.kind != KINDS["title"]:
+            elif node.kind == KINDS["text"]:
                 self.strange(node)
+            elif node.kind != KINDS["title"]:
+                lines += self.drawn(node, "", "", "")
         return lines
 
 
