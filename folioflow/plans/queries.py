@@ -15,6 +15,7 @@ from folioflow.operators import links as li
 from folioflow.operators import merging as me
 from folioflow.operators import numbering as nu
 from folioflow.session import first_delivery, table
+from folioflow.sources import export as ex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,6 +36,12 @@ def _safe(x: str) -> str:
     return f"coalesce(nullif(regexp_replace(substring({b}, 1, 80), '{WS}+$', ''), ''), 'Untitled')"
 
 
+def _mdpath(x: str) -> str:
+    for a, b in tx.LINK_ESCAPES:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def _dir(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '[^/]*$', ''), '/$', '')"
 
@@ -106,14 +113,53 @@ def notebook_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg("paragraphs"), 4).alias("avg_paragraphs"), F.grouping("notebook").cast("bigint").alias("is_total"))
 
 
-@query(f"""SELECT notebook, section, '# ' || section || chr(10) || string_agg('| ' || idx || ' | ' || coalesce(title, 'Untitled page') || ' |', chr(10) ORDER BY idx, page_id) AS body
-  FROM {PAGES} WHERE NOT is_version GROUP BY notebook, section""")
+_HEAD = f"""'---' || chr(10) || array_to_string(list_filter(['title: ' || to_json(title), 'notebook: ' || to_json(notebook), 'section: ' || to_json(section), 'level: ' || level,
+  CASE WHEN coalesce(created, '') <> '' THEN 'created: ' || to_json(created) END, CASE WHEN coalesce(modified, '') <> '' THEN 'modified: ' || to_json(modified) END], lambda x: x IS NOT NULL), chr(10)) || chr(10)"""
+_EXPORTED = f"""e AS (SELECT page_id, notebook, coalesce(grp, '') AS grp, section, idx, coalesce(nullif({_strip('title')}, ''), 'Untitled page') AS title, level, created, modified, body, paragraphs, text_chars, is_version, version_of, warnings,
+  {_safe('notebook')} || '/' || CASE WHEN coalesce(grp, '') <> '' THEN {_safe('grp')} || '/' ELSE '' END || {_safe('section')} AS folder FROM {PAGES})"""
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pages(spark, sf_dir, "notebook", "grp", "section", "idx", "title", "level", "created", "modified", "body", "paragraphs", "text_chars", "is_version", "version_of", "warnings")
+    return p.withColumn("title", F.coalesce(F.nullif(tx.strip("title"), F.lit("")), F.lit("Untitled page")))
+
+
+@query(f"""WITH {_EXPORTED}, r AS (SELECT *, '| ' || idx || ' | ' || repeat('&nbsp;&nbsp;&nbsp;', level - 1) || '[' || title || '](' || {_mdpath("printf('%02d', idx) || ' - ' || " + _safe('title') + " || '.md'")} || ') | ' || level || ' | ' || coalesce(created, '') || ' | ' || coalesce(modified, '') || ' | ' || paragraphs || ' | ' || text_chars || ' |' AS line FROM e WHERE NOT is_version)
+  SELECT folder || '/README.md' AS path, (idx // {ex.INDEX_ROWS} - min(idx // {ex.INDEX_ROWS}) OVER (PARTITION BY folder))::bigint AS part, text FROM (
+    SELECT folder, min(idx) AS idx, CASE WHEN idx // {ex.INDEX_ROWS} = (SELECT min(b.idx // {ex.INDEX_ROWS}) FROM r b WHERE b.folder = r.folder) THEN '# ' || section || chr(10) || chr(10) || 'Notebook: **' || notebook || '**' || CASE WHEN grp <> '' THEN ' / ' || grp ELSE '' END || '  ' || chr(10) || 'Source: `' || section || '.one`' || chr(10) || chr(10)
+      || '| # | Page | Level | Created | Modified | Paragraphs | Chars |' || chr(10) || '|---|---|---|---|---|---|---|' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY r.idx, line) || chr(10) AS text
+    FROM r GROUP BY folder, notebook, grp, section, idx // {ex.INDEX_ROWS})""")
 def section_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text of each section's index file, rows in page order (a section's index is one file by definition)."""
-    p = _pages(spark, sf_dir, "notebook", "section", "idx", "title", "is_version").where("not is_version")
-    row = F.concat(F.lit("| "), F.col("idx").cast("string"), F.lit(" | "), F.coalesce("title", F.lit("Untitled page")), F.lit(" |"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("idx", "page_id", row.alias("r")))), lambda x: x["r"])
-    return p.groupBy("notebook", "section").agg(F.concat(F.lit("# "), F.first("section"), F.lit("\n"), F.array_join(rows, "\n")).alias("body"))
+    """The text of each section's index file, in parts of bounded size."""
+    return ex.section_indexes(_exported(spark, sf_dir).where("not is_version"))
+
+
+@query(f"""WITH {_EXPORTED}, st AS (SELECT notebook, grp, section, count(*) FILTER (NOT is_version) AS pages, count(*) FILTER (is_version) AS versions, coalesce(sum(text_chars) FILTER (NOT is_version), 0) AS chars, coalesce(sum(paragraphs) FILTER (NOT is_version), 0) AS paragraphs FROM e GROUP BY ALL)
+  SELECT {_safe('notebook')} || '/README.md' AS path, 0::bigint AS part, '# ' || notebook || chr(10) || chr(10) || '| Section | Pages | Old versions | Paragraphs | Chars |' || chr(10) || '|---|---|---|---|---|' || chr(10)
+    || string_agg('| [' || CASE WHEN grp <> '' THEN grp || ' / ' ELSE '' END || section || '](' || {_mdpath("CASE WHEN grp <> '' THEN " + _safe('grp') + " || '/' ELSE '' END || " + _safe('section') + " || '/README.md'")} || ') | ' || pages || ' | ' || versions || ' | ' || paragraphs || ' | ' || chars || ' |', chr(10) ORDER BY grp, section) || chr(10) AS text
+  FROM st GROUP BY notebook""")
+def notebook_index_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each notebook's index file."""
+    return ex.notebook_indexes(ex.section_stats(_exported(spark, sf_dir)))
+
+
+@query(f"""WITH {_EXPORTED} SELECT folder || '/' || printf('%02d', idx) || ' - ' || {_safe('title')} || '.md' AS path, {_HEAD} || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || coalesce(body, '') AS text FROM e WHERE NOT is_version
+  UNION ALL SELECT folder || '/_versions/' || {_safe('title')} || ' - version ' || n || ' - ' || coalesce(nullif(replace(substring(coalesce(modified, ''), 1, 19), ':', '-'), ''), 'unknown') || '.md',
+    {_HEAD} || 'version_of: ' || to_json(title) || CASE WHEN coalesce(modified, '') <> '' THEN chr(10) || 'version_saved: ' || to_json(modified) ELSE '' END || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || ' (older version)' || chr(10) || chr(10) || coalesce(body, '')
+    FROM (SELECT *, row_number() OVER (PARTITION BY version_of ORDER BY coalesce(modified, ''), page_id) AS n FROM e WHERE is_version)""")
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path and text of every note and older version that an export writes."""
+    p = _exported(spark, sf_dir)
+    n = F.row_number().over(Window.partitionBy("version_of").orderBy(F.coalesce("modified", F.lit("")), "page_id"))
+    old = p.where("is_version").withColumn("n", n).withColumn("version_time", F.col("modified"))
+    return ex.page_files(p.where("not is_version")).unionByName(ex.version_files(old))
+
+
+@query(f"""WITH {_EXPORTED}, st AS (SELECT notebook, grp, section, count(*) FILTER (NOT is_version) AS pages, count(*) FILTER (is_version) AS versions, coalesce(sum(text_chars) FILTER (NOT is_version), 0) AS chars, coalesce(sum(paragraphs) FILTER (NOT is_version), 0) AS paragraphs, coalesce(sum(len(warnings)) FILTER (NOT is_version), 0) AS w FROM e GROUP BY ALL)
+  SELECT notebook, grp, section, section || ': ' || pages || ' pages, ' || paragraphs || ' paragraphs, ' || chars || ' chars, ' || versions || ' old versions' || CASE WHEN w > 0 THEN ', ' || w || ' warnings' ELSE '' END AS line FROM st""")
+def section_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an export says of each section."""
+    return ex.summaries(ex.section_stats(_exported(spark, sf_dir)))
 
 
 @query("SELECT step, action, count(*) AS n, count(detail) AS n_detail, count(DISTINCT path) AS n_paths FROM page_action GROUP BY step, action")
