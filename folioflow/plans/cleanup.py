@@ -248,9 +248,8 @@ def retitle(state: State, o: Options) -> None:
         wanted = o.renames.select(path_key("path").alias("k"), "new_title")
         jobs = live.withColumn("k", path_key("orig")).join(wanted, "k").where("new_title <> title").select("orig", "title", F.lit("renames file").alias("reason"), "new_title", F.lit("renames file").alias("source"))
     else:
-        lines = ti.content_lines(content(F.col("body"), F.col("first_title"), F.col("title")))
-        head = F.get("lines", F.lit(0))
-        rows = live.withColumn("lines", lines).select("orig", "title", head["raw"].alias("raw"), head["plain"].alias("plain"), content(F.col("body"), F.col("first_title"), F.col("title")).alias("content"))
+        rows = live.select("orig", "title", content(F.col("body"), F.col("first_title"), F.col("title")).alias("content"))
+        rows = rows.select("orig", "title", "content", F.inline_outer(F.array(ti.first_content("content"))))
         rows = rows.withColumn("reason", ti.title_problem("title", F.coalesce("plain", F.lit("")))).where("reason is not null")
         images = _image_names(state, rows.where("plain is null").select("orig"))
         rows = rows.join(images, "orig", "left")

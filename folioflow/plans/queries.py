@@ -14,7 +14,7 @@ from folioflow.operators import hierarchy as hi
 from folioflow.operators import links as li
 from folioflow.operators import merging as me
 from folioflow.operators import numbering as nu
-from folioflow.session import first_delivery, table
+from folioflow.session import first_delivery, spread, table
 from folioflow.sources import export as ex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,7 +75,8 @@ def query(sql: str | None = None):
 
 
 def _pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return first_delivery(table(spark, sf_dir, "page_out"), *columns)
+    pages = table(spark, sf_dir, "page_out").select("row_id", "page_id", *columns)
+    return first_delivery(spread(pages), *columns, texts=True) if "body" in columns else first_delivery(pages, *columns, texts=False)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,9 +433,8 @@ def title_problem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def heuristic_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proposed titles of pages with a poor one, from their first line with text."""
-    p = _pages(spark, sf_dir, "title", "body").withColumn("lines", ti.content_lines("body"))
-    head = F.get("lines", F.lit(0))
-    p = p.select("page_id", F.coalesce("title", F.lit("")).alias("title"), head["raw"].alias("raw"), head["plain"].alias("plain"))
+    # a generator, so that the line is looked for once, whatever is asked of it after
+    p = _pages(spark, sf_dir, "title", "body").select("page_id", F.coalesce("title", F.lit("")).alias("title"), F.inline_outer(F.array(ti.first_content("body"))))
     p = p.withColumn("problem", ti.title_problem("title", F.coalesce("plain", F.lit("")))).where("problem is not null")
     return p.select("page_id", "problem", ti.heuristic_title("title", "raw", "plain").alias("new_title"))
 

@@ -64,17 +64,20 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism * 3, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
-def first_delivery(pages: DataFrame, *columns: str) -> DataFrame:
+def first_delivery(pages: DataFrame, *columns: str, texts: bool = True) -> DataFrame:
     """One row per page_id, whatever number of times it was delivered; the smallest row_id wins.
 
-    Only ids are grouped: the later deliveries are found on two narrow columns and written, so the planner knows their
+    Narrow columns (``texts`` false) are one aggregate with map-side combine. With texts only ids are grouped: the later deliveries are found on two narrow columns and written, so the planner knows their
     size, and are then taken out. Texts are not shuffled to drop a few copies unless the copies are many. Rows
     without a page_id are one page. Rows that repeat a row_id too are told apart by nothing, so one of them is kept.
     """
+    first = [F.min_by(c, F.coalesce("row_id", F.lit(2**63 - 1))).alias(c) for c in columns]
+    if not texts:
+        return pages.groupBy("page_id").agg(*first)
     ids = pages.select("page_id", "row_id")
     several = ids.groupBy(F.col("page_id").alias("p")).agg(F.min("row_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = cut(ids.join(several, F.col("page_id").eqNullSafe(F.col("p"))).select("page_id", "row_id", "first"))
     untold = later.groupBy("page_id").agg(F.count_if(F.col("row_id").isNull()).alias("bare"), F.count_if(F.col("row_id") == F.col("first")).alias("same")).where("bare > 0 or same > 1")
     if untold.isEmpty():
         return pages.join(later.where("row_id <> first").select("row_id"), "row_id", "left_anti").select("page_id", *columns)
-    return pages.groupBy("page_id").agg(*[F.min_by(c, F.coalesce("row_id", F.lit(2**63 - 1))).alias(c) for c in columns])
+    return pages.groupBy("page_id").agg(*first)
