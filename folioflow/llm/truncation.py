@@ -6,7 +6,7 @@ the final context's end and continuation likelihoods, backed off from long to sh
 with one occurrence of the value left out, give log-odds of having been cut. A prior per channel, length and ellipsis
 (limits pile up cut values at one length) and an exact look at what the body or another
 copy of the title says next are added; the sum is held against a threshold per language and column, fitted where the
-errors of log-odds and prior are fewest on values whose end another text shows.
+errors expected over all values are fewest: values whose end another text shows tell how cut ones score.
 
 Everything is built-in functions: the counts are one aggregate with map-side combine over hashed contexts.
 """
@@ -39,7 +39,8 @@ FUNCTION_WORDS = {
     "nl": "het een op van bij naar onze mijn voor achter de tijdens", "pl": "na w i po za pod przed nasz mój obok koło przy",
     "ru": "в на за под у и с после перед наш мой",
 }
-CODE = r"\s+[0-9A-Z]{1,3}-[0-9A-Za-z]{2,5}(?:\s+\S{1,2})?$"  # a catalogue code at the end is no language: the phrase before it had ended
+# A catalogue code at the end is no language: the phrase before it had ended. Codes grow with the number of pages, so one with figures on both sides of its dash may have any length.
+CODE = r"\s+(?:[0-9A-Z]{1,3}-[0-9A-Za-z]{2,5}|(?=\S*\p{N}\S*\p{Pd}\S*\p{N})[\p{Lu}\p{N}\p{Cf}]+\p{Pd}[\p{L}\p{N}\p{Cf}]+)(?:\s+\S{1,2})?$"
 ELLIPSIS = r"[\s\u00a0]*(?:…|\.{3,})[\s\u00a0]*$"
 
 
@@ -141,25 +142,46 @@ def detect(values: DataFrame) -> DataFrame:
 
 
 def thresholds(rows: DataFrame) -> DataFrame:
-    """(tbl, lang, threshold): where log-odds and prior part whole from cut values at the least cost, a miss costing MISS false alarms.
+    """(tbl, lang, threshold): where whole and cut values part at the least cost, a miss costing MISS false alarms.
 
-    Counted on values whose end another text shows: a longer copy or the body's word goes on (cut), or the body's sentence ends there (whole).
-    A language's errors are added to those of its column, which counts as SHRINK known values, so a language with
-    few known values leans on its column. At most one row a column and language: two columns, ten languages.
+    The cost is counted over all values that the threshold decides, those whose end no other text shows; the few whole ones that a body
+    repeats are unlike the rest, and would not tell how many false alarms a threshold gives. How cut values spread over the scores is known from those whose word or
+    title goes on elsewhere; how many there are among the undecided, from the values at LIMIT or more, which are as good as all cut.
+    A language's spread and errors are added to those of its column, which counts as SHRINK known values, so a language with
+    few known values leans on its column. A column without a known cut value at LIMIT or more has no row. At most one row a column and language: two columns, ten languages.
     """
-    known = F.when(F.col("body_says") == "whole", 0).when((F.col("copy_says") == "cut") | (F.col("body_says") == "inside"), 1)
-    step = F.least(F.lit(LIMIT * STEPS), F.greatest(F.lit(-LIMIT * STEPS - 1), F.floor(F.col("model") * STEPS))).cast("int")
-    counts = rows.select("tbl", "lang", known.alias("y"), step.alias("b")).where("y is not null").groupBy("tbl", "lang", "b").agg(F.sum("y").alias("cut"), F.sum(1 - F.col("y")).alias("whole"))
-    entry = F.collect_list(F.struct("b", "cut", "whole"))
+    known = F.coalesce(F.col("copy_says") == "cut", F.lit(False)) | F.coalesce(F.col("body_says") == "inside", F.lit(False))
+    undecided = F.coalesce(F.col("body_says") != "whole", F.lit(True)) & ~known
+    score = F.floor(F.when(known, F.col("model")).otherwise(F.col("total")) * STEPS)
+    step = F.least(F.lit(LIMIT * STEPS), F.greatest(F.lit(-LIMIT * STEPS - 1), score)).cast("int")
+    counts = rows.where(known | undecided).groupBy("tbl", "lang", step.alias("b")).agg(F.count_if(known).alias("cut"), F.count_if(undecided).alias("undecided"))
+    entry = F.collect_list(F.struct("b", "cut", "undecided"))
     cells = counts.groupBy("tbl", "lang").agg(entry.alias("own"))
-    column = counts.groupBy("tbl").agg(entry.alias("all"), F.sum(F.col("cut") + F.col("whole")).alias("n"))
+    column = counts.groupBy("tbl").agg(entry.alias("all"), F.sum("cut").alias("n")).where(F.exists("all", lambda x: (x["b"] == LIMIT * STEPS) & (x["cut"] > 0)))
 
-    def errors(bins: str, at: Column) -> Column:
-        return F.aggregate(bins, F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(x["b"] < at, MISS * x["cut"]).otherwise(x["whole"]))
+    def total(entries: Column, field: str) -> Column:
+        return F.aggregate(entries, F.lit(0).cast("double"), lambda acc, x: acc + x[field])
 
+    def at_step(entries: str, b: Column, field: str) -> Column:
+        return total(F.filter(entries, lambda x: x["b"] == b), field)
+
+    def by_step(cut_values, entries: str) -> Column:
+        steps = F.sequence(F.lit(-LIMIT * STEPS - 1), F.lit(LIMIT * STEPS))
+        return F.transform(steps, lambda b: F.struct(b.alias("b"), cut_values(b).alias("cut"), at_step(entries, b, "undecided").alias("undecided")))
+
+    def expected(steps: str) -> Column:
+        top = F.element_at(steps, -1)
+        cut_here = lambda x: x["cut"] * top["undecided"] / top["cut"]
+        return F.transform(steps, lambda x: F.struct(x["b"].alias("b"), cut_here(x).alias("cut"), F.greatest(F.lit(0.0), x["undecided"] - cut_here(x)).alias("whole")))
+
+    def errors(steps: str, at: Column) -> Column:
+        return MISS * total(F.filter(steps, lambda x: x["b"] < at), "cut") + total(F.filter(steps, lambda x: x["b"] >= at), "whole")
+
+    bins = cells.join(column, "tbl").select("tbl", "lang", "n", by_step(lambda b: at_step("own", b, "cut") + SHRINK * at_step("all", b, "cut") / F.col("n"), "own").alias("own"), by_step(lambda b: at_step("all", b, "cut"), "all").alias("all"))
+    bins = bins.select("tbl", "lang", "n", expected("own").alias("own"), expected("all").alias("all"))
     tried = F.transform(F.sequence(F.lit(-LIMIT * STEPS), F.lit(LIMIT * STEPS)), lambda at: F.struct(
-        (errors("own", at) + SHRINK * errors("all", at) / F.col("n")).alias("errors"), F.abs(at / STEPS - DEFAULT).alias("far"), (at / STEPS).alias("threshold")))
-    return cells.join(column, "tbl").select("tbl", "lang", F.array_min(tried)["threshold"].alias("threshold"))
+        F.round(errors("own", at) + SHRINK * errors("all", at) / F.col("n"), 6).alias("errors"), F.abs(at / STEPS - DEFAULT).alias("far"), (at / STEPS).alias("threshold")))
+    return bins.select("tbl", "lang", F.array_min(tried)["threshold"].alias("threshold"))
 
 
 def shares(found: DataFrame) -> DataFrame:

@@ -109,6 +109,22 @@ def test_truncation(spark):
     assert truncation.detect(truncation.titles(page.limit(0), renames.limit(0))).count() == 0
 
 
+def test_truncation_thresholds_count_false_alarms_over_all_values(spark):
+    known = [("page_out", "pl", "inside", None, 6.0)] * 60 + [("page_out", "pl", "inside", None, -2.4)] + [("page_out", "pl", "whole", None, -5.0)] * 3
+    undecided = [("page_out", "pl", None, None, 6.0)] * 40 + [("page_out", "pl", None, None, -2.0)] * 500 + [("page_out", "nl", None, None, -2.0)] * 50 + [("renames", "pl", None, None, -2.0)] * 50
+    rows = spark.createDataFrame(known + undecided, "tbl string, lang string, body_says string, copy_says string, model double").withColumn("total", F.col("model"))
+    got = {(r["tbl"], r["lang"]): r["threshold"] for r in truncation.thresholds(rows).collect()}
+    assert set(got) == {("page_out", "pl"), ("page_out", "nl")} and all(-2 < t < 6 for t in got.values())
+
+
+def test_catalogue_codes_of_any_length_end_a_title(spark):
+    values = ["Valve handle EMZ-tzme", "Valve handle CH02-t20hc", "Valve handle UA6Q1-m1q6au", "Valve handle 6ΟS1-t1so6 m2", "Valve handle R7X–wx7r", "Valve handle COVID-19", "Valve handle half-empty", "Valve hand"]
+    page = spark.createDataFrame([(i, i, v, "app", f"p/{i}.md", None) for i, v in enumerate(values)], "row_id bigint, page_id bigint, title string, origin string, path string, body string")
+    renames = spark.createDataFrame([], "rename_id bigint, path string, old_title string, new_title string, source string")
+    phrases = {r["record_id"]: r["phrase"] for r in truncation.titles(page, renames).collect()}
+    assert [phrases[i] for i in range(len(values))] == ["Valve handle"] * 5 + ["Valve handle COVID-0", "Valve handle half-empty", "Valve hand"]
+
+
 COLUMNS = {"p1_found": ["page_id", "family"], "p2_found": ["tbl", "record_id"], "p3_found": ["page_id", "field"], "p4_found": ["page_id", "field", "kind"], "p5_found": ["page_id_a", "page_id_b", "field"],
            "p6_found": ["doc_id", "item_id"], "p7_found": ["source"], "p8_found": ["doc_id", "true_lang"]}
 
