@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from folioflow.sources import packing as pk
 from folioflow.sources import properties as pr
 from folioflow.sources import render as re_
 from folioflow.sources import sections as se
+from folioflow.sources import spaces as sp
 
 COLUMNS = ("path", "title", "notebook", "grp", "section", "idx", "level", "created", "modified", "is_version")
 # What each page holds, for the SQL: q has a row a page, f its file.
@@ -22,18 +25,32 @@ _KEPT: dict[tuple[str, str], "Store"] = {}
 
 
 class Store:
-    """The packed pages of one data folder: each stage is computed once a session and written."""
+    """The packed pages of one data folder. The pages are written once a session; files are made, read and forgotten file by file in each query, for they are far larger than what is asked of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.pages = cut(pk.assigned(_pages(spark, sf_dir, *COLUMNS)))
-        self.files = cut(pk.pack(self.pages))
-        self.facts = co.facts(self.files)
-        self.graph = re_.graph(self.facts)
-        self._rendered: DataFrame | None = None
+        self.files = pk.pack(self.pages)
+        self._placed: tuple[DataFrame, DataFrame] | None = None
+
+    def placed(self) -> tuple[DataFrame, DataFrame]:
+        """(pages, assets), rendered once a session."""
+        if self._placed is None:
+            self._placed = re_.place_assets(sp.pages(self.files))
+        return self._placed
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return co.facts(self.files)
+
+    @cached_property
+    def graph(self) -> tuple[DataFrame, DataFrame]:
+        return re_.graph(self.facts)
+
+    @cached_property
+    def _rendered(self) -> DataFrame:
+        return cut(re_.render_pages(self.facts, self.graph))
 
     def rendered(self) -> DataFrame:
-        if self._rendered is None:
-            self._rendered = cut(re_.render_pages(self.facts, self.graph))
         return self._rendered
 
     def ids(self) -> DataFrame:
@@ -86,7 +103,7 @@ def container_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
   sha1(CASE WHEN bytes[1] = 'i' THEN '\\x89PNG\\x0D\\x0A\\x1A\\x0A'::blob ELSE '%PDF-'::blob END || from_hex(lpad(bytes[2:], 2, '0'))) AS digest FROM named""")
 def container_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attachments of every file: equal bytes once, names set apart by numbers, extensions from their bytes."""
-    return re_.place_assets(store(spark, sf_dir).rendered())[1].select("file", "path", "digest")
+    return store(spark, sf_dir).placed()[1].select("file", "path", "digest")
 
 
 @query(f"""WITH {Q}, h AS (SELECT count(DISTINCT f) AS files, count(DISTINCT CASE WHEN is_version THEN f END) AS histories, count(*) AS pages, count(*) FILTER (page_id % 4 = 0) AS bases, count(DISTINCT CASE WHEN page_id % 3 <> 1 THEN page_id END) AS blobs FROM q)

@@ -7,10 +7,11 @@ last-writer merge, reference resolution) is relational and works on any number o
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +25,7 @@ OBJECT_TYPES = {
     "declarations": 0x1D, "group_data": 0x1E, "start": 0x7A,
 }
 ELEMENT_KINDS = {1: "index", 2: "storage", 3: "cell", 4: "revision", 5: "group", 6: "fragment", 10: "blob"}
+SIMPLE = bytes([0, 0, 4 << 1 | 1])  # data without references or cells, of four bytes
 TAGS = ((0x07, 0x04, 1, 3), (0x3F, 0x20, 2, 6), (0x7F, 0x40, 3, 7), (0xFF, 0x80, 5, 8))  # mask, tag, bytes, shift of an extended id
 
 
@@ -121,26 +123,61 @@ def header(cur: Cursor) -> tuple[bool, int, int, bool]:
 
 def flatten(cur: Cursor) -> list[Entry]:
     """The stream object at the cursor and all it holds, parents before children."""
-    out: list[Entry] = []
-    open_: list[Entry] = []
+    return [Entry(*e) for e in _spans(cur)[0]]
+
+
+def _spans(cur: Cursor) -> tuple[list[tuple], dict[int, list[tuple]]]:
+    """The entries of :func:`flatten` as plain tuples, and those that each holds. Headers of usual form are read in place, for there is one every few bytes."""
+    buffer, at, end = cur.buffer, cur.at, cur.end
+    out: list[tuple] = []
+    below: dict[int, list[tuple]] = {}
+    open_: list[tuple] = []
+    parent, siblings = -1, []
+    word = struct.Struct("<I").unpack_from
     while True:
-        if open_ and cur.at >= cur.end:
-            raise EOFError(f"an object of type {open_[-1].type:#x} does not end")
-        starts, kind, length, holds = header(cur)
-        if not starts:
-            if not open_:
-                raise ValueError(f"an end of type {kind:#x} without a start, at {cur.at}")
-            if open_[-1].type != kind:
-                raise ValueError(f"an end of type {kind:#x} for a start of type {open_[-1].type:#x}, at {cur.at}")
-            open_.pop()
+        if at >= end:
+            if open_:
+                raise EOFError(f"an object of type {open_[-1][2]:#x} does not end")
+            raise EOFError(f"a byte wanted at {at}")
+        lead = buffer[at]
+        form = lead & 3
+        if form == 2 and at + 4 <= end:
+            v = word(buffer, at)[0]
+            starts, kind, length, holds = True, v >> 3 & 0x3FFF, v >> 17, v & 4
+            at += 4
+            if length == 0x7FFF:
+                cur.at = at
+                length = cur.compact()
+                at = cur.at
+        elif form == 1:
+            starts, kind = False, lead >> 2
+            at += 1
         else:
-            entry = Entry(len(out), open_[-1].id if open_ else -1, kind, cur.at, cur.at + length)
-            cur.take(length)
+            cur.at = at
+            starts, kind, length, holds = header(cur)
+            at = cur.at
+        if starts:
+            entry = (len(out), parent, kind, at, at + length)
+            at += length
+            if at > end:
+                raise EOFError(f"{length} bytes wanted at {at - length} of {end}")
             out.append(entry)
+            siblings.append(entry)
             if holds:
                 open_.append(entry)
+                parent = entry[0]
+                siblings = below[parent] = []
+        else:
+            if not open_:
+                raise ValueError(f"an end of type {kind:#x} without a start, at {at}")
+            if open_[-1][2] != kind:
+                raise ValueError(f"an end of type {kind:#x} for a start of type {open_[-1][2]:#x}, at {at}")
+            open_.pop()
+            parent = open_[-1][0] if open_ else -1
+            siblings = below[parent] if open_ else []
         if not open_:
-            return out
+            cur.at = at
+            return out, below
 
 
 ROWS = "file string, kind string, ord bigint, key string, a string, b string, n bigint, refs array<string>, cells array<string>, data binary"
@@ -167,101 +204,158 @@ class Row(NamedTuple):
 
 def decode(content: bytes) -> list[Row]:
     """All facts of one section file, in file order. A file of another format raises ValueError."""
+    return [Row._make(r) for r in decode_rows(content)]
+
+
+def decode_rows(content: bytes) -> list[tuple]:
+    """The rows of :func:`decode` as plain tuples."""
     cur = Cursor(content)
     cur.take(48)
     if (found := cur.guid()) != FORMAT:
         raise ValueError(f"not a packaged page container (format {found})")
     cur.take(4)
-    entries = flatten(cur)
+    entries, below = _spans(cur)
     t = OBJECT_TYPES
-    if entries[0].type != t["start"]:
-        raise ValueError(f"the package starts with type {entries[0].type:#x}")
-    below: dict[int, list[Entry]] = {}
-    for e in entries[1:]:
-        below.setdefault(e.parent, []).append(e)
-    package = next((e for e in below.get(0, []) if e.type == t["package"]), None)
+    if entries[0][2] != t["start"]:
+        raise ValueError(f"the package starts with type {entries[0][2]:#x}")
+    package = next((e for e in below.get(0, ()) if e[2] == t["package"]), None)
     if package is None:
         raise ValueError("no data element package")
-    rows: list[Row] = []
-    for element in below.get(package.id, []):
-        if element.type != t["element"]:
+    rows: list[tuple] = []
+    ids: dict[bytes, str] = {}
+    for at, _, type_, start, end in below.get(package[0], ()):
+        if type_ != t["element"]:
             continue
-        c = Cursor(content, element.start, element.end)
+        c = Cursor(content, start, end)
         name = c.xid()
         c.serial()
         kind = ELEMENT_KINDS.get(c.compact())
-        parts = below.get(element.id, [])
+        parts = below.get(at, ())
         if kind == "group":
-            rows.extend(_objects(content, name, parts, below, len(rows)))
+            _objects(content, name, parts, below, rows, ids)
             continue
         for part in parts:
-            p = Cursor(content, part.start, part.end)
+            type_, p = part[2], Cursor(content, part[3], part[4])
             n = len(rows)
-            if kind == "index" and part.type == t["cell_mapping"]:
+            if kind == "index" and type_ == t["cell_mapping"]:
                 cell = p.pair()
-                rows.append(Row("cell", n, cell, p.xid()))
-            elif kind == "index" and part.type == t["revision_mapping"]:
+                rows.append(("cell", n, cell, p.xid(), None, None, None, None, None))
+            elif kind == "index" and type_ == t["revision_mapping"]:
                 rev = p.xid()
-                rows.append(Row("revision_map", n, rev, p.xid()))
-            elif kind == "cell" and part.type == t["cell_revision"]:
-                rows.append(Row("current", n, name, p.xid()))
-            elif kind == "revision" and part.type == t["revision"]:
+                rows.append(("revision_map", n, rev, p.xid(), None, None, None, None, None))
+            elif kind == "cell" and type_ == t["cell_revision"]:
+                rows.append(("current", n, name, p.xid(), None, None, None, None, None))
+            elif kind == "revision" and type_ == t["revision"]:
                 rev = p.xid()
-                rows.append(Row("revision", n, name, rev, p.xid()))
-            elif kind == "revision" and part.type == t["revision_root"]:
+                rows.append(("revision", n, name, rev, p.xid(), None, None, None, None))
+            elif kind == "revision" and type_ == t["revision_root"]:
                 role = p.xid()
-                rows.append(Row("root", n, name, p.xid(), n=int(role.rpartition("/")[2]) if role else None))
-            elif kind == "revision" and part.type == t["revision_groups"]:
-                rows.append(Row("group_ref", n, name, p.xid()))
-            elif kind == "blob" and part.type == t["blob"]:
-                rows.append(Row("blob", n, name, data=p.block()))
+                rows.append(("root", n, name, p.xid(), None, int(role.rpartition("/")[2]) if role else None, None, None, None))
+            elif kind == "revision" and type_ == t["revision_groups"]:
+                rows.append(("group_ref", n, name, p.xid(), None, None, None, None, None))
+            elif kind == "blob" and type_ == t["blob"]:
+                rows.append(("blob", n, name, None, None, None, None, None, p.block()))
     return rows
 
 
-def _objects(content: bytes, group: str | None, parts: list[Entry], below: dict[int, list[Entry]], base: int) -> Iterator[Row]:
-    """Declarations and data of a group, paired by position; a blob is named by the declaration, else by the data."""
+def _objects(content: bytes, group: str | None, parts: list[tuple], below: dict[int, list[tuple]], rows: list[tuple], ids: dict[bytes, str]) -> None:
+    """Declarations and data of a group, paired by position; a blob is named by the declaration, else by the data.
+
+    ``ids`` holds the ids of the file that were met before, by their bytes: most are met several times.
+    """
     t = OBJECT_TYPES
+    declare, blob_declare, object_data, blob_ref = t["object_declare"], t["blob_declare"], t["object_data"], t["object_blob_ref"]
+    c = Cursor(content)
+
+    def xid(at: int, end: int) -> str | None:
+        """The id at a place, whose end is left in c.at."""
+        if at + 17 <= end and content[at] & 7 == 4:
+            c.at = at + 17
+            key = content[at : at + 17]
+            if (known := ids.get(key)) is None:
+                known = ids[key] = f"{key[4:0:-1].hex()}-{key[6:4:-1].hex()}-{key[8:6:-1].hex()}-{key[9:11].hex()}-{key[11:].hex()}/{key[0] >> 3}"
+            return known
+        c.at, c.end = at, end
+        return c.xid()
+
+    def compact(end: int) -> int:
+        at = c.at
+        if at < end:
+            lead = content[at]
+            if lead & 1 or not lead:
+                c.at = at + 1
+                return lead >> 1
+            if lead & 2 and at + 2 <= end:
+                c.at = at + 2
+                return (lead | content[at + 1] << 8) >> 2
+        c.end = end
+        return c.compact()
+
+    held = {p[2]: below.get(p[0], ()) for p in reversed(parts)}
     declared: list[tuple[str | None, str | None, int]] = []
-    held = {p.type: below.get(p.id, []) for p in reversed(parts)}
-    for d in held.get(t["declarations"], []):
-        c = Cursor(content, d.start, d.end)
-        if d.type == t["object_declare"]:
-            declared.append((c.xid(), None, c.compact()))
-        elif d.type == t["blob_declare"]:
-            declared.append((c.xid(), c.xid(), c.compact()))
-    data = [d for d in held.get(t["group_data"], []) if d.type in (t["object_data"], t["object_blob_ref"])]
+    for _, _, type_, start, end in held.get(t["declarations"], ()):
+        if type_ == declare:
+            key = content[start : start + 17]
+            if start + 17 < end and key in ids and (lead := content[start + 17]) & 1:
+                declared.append((ids[key], None, lead >> 1))
+            else:
+                declared.append((xid(start, end), None, compact(end)))
+        elif type_ == blob_declare:
+            declared.append((xid(start, end), xid(c.at, end), compact(end)))
+    data = [d for d in held.get(t["group_data"], ()) if d[2] == object_data or d[2] == blob_ref]
     if len(data) > len(declared):
         raise ValueError(f"group {group} holds {len(data)} objects but declares {len(declared)}")
-    for i, (d, (oid, blob, partition)) in enumerate(zip(data, declared)):
-        c = Cursor(content, d.start, d.end)
-        refs, cells = c.many(c.xid), c.many(c.pair)
-        if d.type == t["object_data"]:
-            yield Row("object", base + i, group, oid, blob, partition, refs, cells, c.block())
+    n = len(rows)
+    for (_, _, type_, start, end), (oid, blob, partition) in zip(data, declared):
+        if type_ == object_data and end - start == 7 and content[start : start + 3] == SIMPLE:  # half of all objects tell a type
+            rows.append(("object", n, group, oid, blob, partition, [], [], content[start + 3 : end]))
+            n += 1
+            continue
+        c.at = start
+        refs = [xid(c.at, end) for _ in range(compact(end))]
+        cells = []
+        if count := compact(end):
+            c.end = end
+            cells = [c.pair() for _ in range(count)]
+        if type_ == object_data:
+            c.end = end
+            block = c.take(compact(end))
         else:
-            yield Row("object", base + i, group, oid, blob or c.xid(), partition, refs, cells, b"")
-
+            block, blob = b"", blob or xid(c.at, end)
+        rows.append(("object", n, group, oid, blob, partition, refs, cells, block))
+        n += 1
 
-def facts(files: DataFrame) -> DataFrame:
-    """Rows of ROWS for a frame of (path, content). A file that cannot be decoded gives one row of kind `error` with the reason in ``a``.
 
-    They are decoded once and written, for everything after reads them several times.
-    """
-    from folioflow.session import cut
+def told(files: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ROWS for a frame of (path, content), all columns or those named, not written. A file that cannot be decoded gives one row of kind `error` with the reason in ``a``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
 
+    whole = _parse_datatype_string(ROWS)
+    kept = type(whole)([whole[c] for c in columns or whole.names])
+    arrow = to_arrow_schema(kept)
+    at = [None if f.name == "file" else Row._fields.index(f.name) for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch.column(0), batch.column(1)):
+                path = path.as_py()
                 try:
-                    rows = decode(bytes(content))
+                    rows = decode_rows(content.as_py())
                 except (ValueError, EOFError) as e:
                     rows = [Row("error", 0, a=str(e))]
                 for i in range(0, len(rows), 5000):
-                    part = pd.DataFrame(rows[i : i + 5000], columns=Row._fields)
-                    part["n"] = part["n"].astype("Int64")
-                    yield part.assign(file=path)[["file", *Row._fields]]
+                    part = rows[i : i + 5000]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part) if k is None else [r[k] for r in part], f.type) for k, f in zip(at, arrow)], schema=arrow)
+
+    return files.select("path", "content").mapInArrow(run, kept)
+
+
+def facts(files: DataFrame) -> DataFrame:
+    """The rows of :func:`told`. They are decoded once and written, for everything after reads them several times."""
+    from folioflow.session import cut
 
-    return cut(files.select("path", "content").mapInPandas(run, ROWS))
+    return cut(told(files))
 
 
 def read_sections(spark: SparkSession, root: str) -> DataFrame:
