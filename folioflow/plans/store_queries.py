@@ -111,7 +111,7 @@ def container_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnest([pages + files + histories, pages + files + histories, pages + files + histories + bases, pages + files + histories + bases, pages + files + histories + bases, 2 * (pages + bases) + files + histories, blobs]) AS n FROM h""")
 def container_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of all containers by kind (objects are counted by container_nodes)."""
-    return store(spark, sf_dir).facts.where("kind <> 'object'").groupBy("kind").agg(F.count("*").alias("n"))
+    return co.told(store(spark, sf_dir).files, "kind").where("kind <> 'object'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {Q}, t AS (SELECT count(*) AS pages, sum(parts) AS parts, sum(titled::int) AS titled, count(*) FILTER (page_id % 4 = 0) AS bases, count(*) FILTER (NOT is_version) AS cur, count(*) FILTER (is_version) AS old,
