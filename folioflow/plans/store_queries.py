@@ -120,7 +120,7 @@ def container_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnest([files, files, histories, old, pages + cur, pages, pages, pages + titled + bases, 15 * pages + parts + titled, pages, pages + data, 11 * pages + parts + titled, pages, 3 * pages, 5 * pages, pages - held, held, titled])::bigint AS n FROM t, s""")
 def container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects of all page spaces by kind: newest revision over its base, the base's own objects kept."""
-    nodes = store(spark, sf_dir).graph[0]
+    nodes = sp.nodes(store(spark, sf_dir).files, "jcid")
     names = F.create_map(*[F.lit(x) for pair in pr.KIND_NAMES.items() for x in pair])
     return nodes.select(F.coalesce(F.try_element_at(names, F.col("jcid").cast("int")), F.format_string("jcid_%08X", "jcid")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
