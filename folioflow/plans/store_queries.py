@@ -95,8 +95,7 @@ _ASSETS = f"""{Q}, a AS (SELECT *, CASE page_id % 3 WHEN 0 THEN 'plan ' || (page
 def container_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The Markdown of every page: styles, formats, lists, tasks, tables, links, code and attachments."""
     s = store(spark, sf_dir)
-    pages, _ = re_.place_assets(s.rendered())
-    return pages.join(s.ids(), ["file", "is_version", "idx"]).select("page_id", "body")
+    return s.placed()[0].join(s.ids(), ["file", "is_version", "idx"]).select("page_id", "body")
 
 
 @query(f"""WITH {_ASSETS} SELECT '/packed/' || f || '.one' AS file, 'assets/' || name AS path,

@@ -99,5 +99,5 @@ def test_attachments_write_their_pages_once(spark, folder, monkeypatch):
     for module in (session, sq, re_):
         monkeypatch.setattr(module, "cut", lambda df: written.append(df.columns) or whole(df))
     sq._KEPT.clear()
-    assert QUERIES["container_assets"](spark, folder).count() > 0
+    assert QUERIES["container_assets"](spark, folder).count() > 0 and QUERIES["container_bodies"](spark, folder).count() == 12
     assert sum("body" in columns for columns in written) == 1 and not any("refs" in columns for columns in written)
