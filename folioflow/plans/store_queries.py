@@ -163,10 +163,9 @@ def container_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {Q} SELECT '/packed/' || f || '.one' AS file, unnest(['cut', 'other format', 'empty']) AS fault FROM (SELECT DISTINCT f FROM q)""")
 def container_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file cut short, of another format, and empty: each gives one row that says so, and no other fact."""
-    files = store(spark, sf_dir).files
-    bad = [files.select(F.concat(F.lit(f"{fault}:"), "path").alias("path"), content.alias("content")) for fault, content in (
+    bad = [F.struct(F.concat(F.lit(f"{fault}:"), "path").alias("path"), content.alias("content")) for fault, content in (
         ("cut", F.expr("substring(content, 1, length(content) - 1)")), ("other format", F.expr("concat(X'00', content)")), ("empty", F.expr("X''")))]
-    found = co.facts(bad[0].unionByName(bad[1]).unionByName(bad[2]))
+    found = co.told(store(spark, sf_dir).files.select(F.inline(F.array(*bad))), "file", "kind")
     only = found.groupBy("file").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where("n = 1 and kind = 'error'")
     return only.select(F.substring_index("file", ":", -1).alias("file"), F.substring_index("file", ":", 1).alias("fault"))
 
