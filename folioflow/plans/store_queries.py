@@ -76,7 +76,7 @@ _SECONDS = "to_timestamp(epoch(strptime(substring({0}, 1, 19), '%Y-%m-%d %H:%M:%
 def container_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page out of its container: order, title, level, times, sizes and warnings."""
     s = store(spark, sf_dir)
-    got = s.rendered().join(s.ids(), ["file", "is_version", "idx"])
+    got = sp.pages(s.files).join(s.ids(), ["file", "is_version", "idx"])
     return got.select("page_id", "is_version", "idx", "title", "level", tx.iso("created").alias("created"), tx.iso("modified").alias("modified"), tx.iso("version_time").alias("saved"), "paragraphs", "text_chars", F.size("warnings").alias("n_warnings"))
 
 
