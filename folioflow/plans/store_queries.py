@@ -140,12 +140,10 @@ def container_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnest([files + old + 21 * pages + parts + 2 * titled, pages + 11 * pages + parts + titled, titled, parts, 4 * pages, 2 * pages, cur, data])::bigint AS n FROM t""")
 def container_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References between objects by property, positions kept, each resolved to an object of its space."""
-    nodes = store(spark, sf_dir).graph[0]
-    links = pr.edges(pr.properties(nodes))
+    links = sp.edges(store(spark, sf_dir).files, "pid", "known")
     names = {pr.PROPS[k]: k for k in ("children", "content", "structure", "lists", "run_formats", "style", "page_metas")} | {pr.PROPS[k]: "held bytes" for k in ("picture", "file")}
     label = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    known = nodes.select("file", "cell", F.col("oid").alias("dst"))
-    return links.join(known, ["file", "cell", "dst"]).select(F.try_element_at(label, F.col("pid").cast("int")).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
+    return links.where("known").select(F.try_element_at(label, F.col("pid").cast("int")).alias("name")).where("name is not null").groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {Q} SELECT page_id, 'manifest' AS kind, 'page' AS inner_kind, (6 + parts)::int AS n_elements, 'Check ' || page_id AS task FROM q""")
