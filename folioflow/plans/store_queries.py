@@ -150,12 +150,12 @@ def container_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON dump of each page's objects, and what it says at some places."""
     s = store(spark, sf_dir)
-    cells = s.rendered().select("file", "is_version", "idx", "cell").join(s.ids(), ["file", "is_version", "idx"]).select("file", "cell", "page_id")
-    told = re_.dump(s.facts, s.graph).join(cells, ["file", "cell"])
+    told = sp.dumps(s.files)
     elements = "$.content[0].children[0].children"
     parts = F.json_array_length(F.get_json_object("json", elements))
     task = F.get(F.from_json(F.get_json_object("json", elements), "array<struct<content:array<struct<text:string>>>>"), parts - 4)
-    return told.select("page_id", F.get_json_object("json", "$.kind").alias("kind"), F.get_json_object("json", "$.content[0].kind").alias("inner_kind"), parts.alias("n_elements"), F.get(task["content"], F.lit(0))["text"].alias("task"))
+    said = told.select("file", "is_version", "idx", F.get_json_object("json", "$.kind").alias("kind"), F.get_json_object("json", "$.content[0].kind").alias("inner_kind"), parts.alias("n_elements"), F.get(task["content"], F.lit(0))["text"].alias("task"))
+    return said.join(s.ids(), ["file", "is_version", "idx"]).select("page_id", "kind", "inner_kind", "n_elements", "task")
 
 
 @query(f"""WITH {Q} SELECT '/packed/' || f || '.one' AS file, unnest(['cut', 'other format', 'empty']) AS fault FROM (SELECT DISTINCT f FROM q)""")
