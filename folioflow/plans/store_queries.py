@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +36,6 @@ class Store:
             self._placed = re_.place_assets(sp.pages(self.files))
         return self._placed
 
-    @cached_property
-    def facts(self) -> DataFrame:
-        return co.facts(self.files)
-
-    @cached_property
-    def graph(self) -> tuple[DataFrame, DataFrame]:
-        return re_.graph(self.facts)
-
-    @cached_property
-    def _rendered(self) -> DataFrame:
-        return cut(re_.render_pages(self.facts, self.graph))
-
-    def rendered(self) -> DataFrame:
-        return self._rendered
-
     def ids(self) -> DataFrame:
         """(page_id, file, is_version, idx): pages are packed in order of their ids."""
         n = F.row_number().over(Window.partitionBy("file", "is_version").orderBy("page_id"))
@@ -130,7 +113,7 @@ def container_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     unnest([10 * pages + parts + titled, 2 * pages, pages, pages + cur, pages + cur, c, m, saved, old, pages, pages, 2 * pages, 2 * pages, pages, parts, pages, pages, pages - held, seen, held, seen, titled])::bigint AS n FROM t""")
 def container_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded properties of all objects by name (references are counted by container_edges)."""
-    props = pr.properties(store(spark, sf_dir).graph[0])
+    props = sp.properties(store(spark, sf_dir).files, "name")
     counted = props.where(~F.col("name").isin("children", "content", "structure", "page_spaces", "page_metas", "file", "tag_shape"))
     return counted.groupBy("name").agg(F.count("*").alias("n"))
 

@@ -70,7 +70,7 @@ def test_facts_are_told_by_column(files, graph):
     assert co.told(files, "kind").where("kind = 'error'").count() == 1
 
 
-QUERIES_IN_ONE_PASS = ("container_facts", "container_nodes", "container_edges", "container_pages", "container_json", "container_faults")
+QUERIES_IN_ONE_PASS = ("container_facts", "container_nodes", "container_properties", "container_edges", "container_pages", "container_json", "container_faults")
 
 
 @pytest.fixture(scope="module")
