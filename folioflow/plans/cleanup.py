@@ -105,6 +105,7 @@ class State:
     actions: list[DataFrame] = field(default_factory=list)
     renames: DataFrame | None = None
     unlinked: DataFrame | None = None
+    aimed: DataFrame | None = None  # links of all live notes with what they aim at, while no step changes texts
     ran: list[str] = field(default_factory=list)
 
     def log(self, rows: DataFrame, step: str) -> None:
@@ -172,8 +173,9 @@ def place(state: State, moves: DataFrame, step: str, action: str = "move") -> No
     movers = movers.join(stay.groupBy("k", "digest").agg(F.min("to_orig").alias("to_orig")), ["k", "digest"], "left")
     first = F.min("orig").over(Window.partitionBy("k", "digest", "is_note"))
     movers = movers.withColumn("to_orig", F.when(~F.col("is_note"), F.coalesce("to_orig", F.when(first != F.col("orig"), first))))
-    merged = cut(movers.where("to_orig is not null").select("orig", "to_orig"))
-    left = cut(movers.where("to_orig is null").select("orig", "path", "target"))
+    movers = cut(movers.select("orig", "path", "target", "to_orig"))
+    merged = movers.where("to_orig is not null").select("orig", "to_orig")
+    left = movers.where("to_orig is null").select("orig", "path", "target")
     taken = cut(held.select("k").union(folders).distinct())
     folder = F.when(dirname("target") != "", F.concat(dirname("target"), F.lit("/"))).otherwise(F.lit(""))
     settled = settle_names(left.select("orig", F.concat(folder, stem("target")).alias("head"), extension("target").alias("tail")), taken, path_key)
@@ -270,7 +272,7 @@ def retitle(state: State, o: Options) -> None:
     body = F.when(repeats, F.concat(lead, F.col("__new"), F.substring("body", F.length(lead) + F.length(head) + 1, F.length("body")))).otherwise(F.col("body"))
     renamed = F.col("__new").isNotNull()
     items = items.withColumn("body", F.when(renamed, body).otherwise(F.col("body"))).withColumn("fm", F.when(renamed & F.col("has_fm"), set_field(F.col("fm"), "title", F.col("__new"))).otherwise(F.col("fm"))).withColumn("title", F.coalesce("__new", "title"))
-    state.items = cut(items)
+    state.items, state.aimed = cut(items), None
     moves = state.items.where("__new is not null").select("orig", F.concat(F.when(dirname("path") != "", F.concat(dirname("path"), F.lit("/"))).otherwise(F.lit("")), number("path"), F.lit(" - "), safe_name("__new"), F.lit(".md")).alias("target"))
     state.items = state.items.drop("__new")
     place(state, moves, "titles", "rename")
@@ -279,7 +281,7 @@ def retitle(state: State, o: Options) -> None:
 def _image_names(state: State, pages: DataFrame) -> DataFrame:
     """(orig, image): the name that the first telling image of a page gives."""
     notes = alive(state.items).where("is_note").join(pages, "orig")
-    seen = resolved_links(state, notes).where("is_image and item is not null")
+    seen = resolved_links(state, notes, shared=False).where("is_image and item is not null")
     name = F.coalesce(ti.name_from_alt("alt", basename("item_path")), F.when(~ti.is_generic_asset(basename("item_path")), stem("item_path")))
     return seen.select("note", "ord", name.alias("name")).where("name is not null").groupBy(F.col("note").alias("orig")).agg(F.min_by("name", "ord").alias("image"))
 
@@ -292,7 +294,7 @@ def header(state: State, o: Options) -> None:
     items = state.items.withColumn("__e", F.when(F.col("is_note") & F.col("has_fm") & ~F.col("deleted"), all_).otherwise(0))
     items = cut(items.withColumn("body", F.when(F.col("__e") > 0, F.concat(F.lit("\n"), F.substring("body", F.col("__e") + 1, F.length("body")))).otherwise(F.col("body"))))
     state.log(items.where("__e > 0").select("orig", F.lit("edit").alias("action"), F.lit("removed title heading and date line").alias("detail")), "header")
-    state.items = items.drop("__e")
+    state.items, state.aimed = items.drop("__e"), None
 
 
 def folder_note_name(way: str, folder: str | Column, path: str | Column) -> Column:
@@ -326,19 +328,29 @@ def nest(state: State, o: Options) -> None:
         front = cut(below.select("orig"))
 
 
-def resolved_links(state: State, notes: DataFrame) -> DataFrame:
+def aimed_links(state: State, notes: DataFrame) -> DataFrame:
+    """Links of notes with ``goal``, the first path of what they aim at. Texts were written at first paths, so neither moves nor merges change it."""
+    return li.resolve(li.links(notes.where("is_note"), "orig", "body"), "orig", state.items.select(F.col("orig").alias("goal")), "goal", path_key)
+
+
+def resolved_links(state: State, notes: DataFrame, shared: bool = True) -> DataFrame:
     """Links of notes with the item they reach: note, here, ord, start, end, dest, is_image, alt, inside, item, item_path, item_note, item_deleted.
 
-    Links are read from a note's first folder, for its text was written there; merged items stand for their doubles.
+    Links are read from a note's first folder, for its text was written there; merged items stand for their doubles. With
+    ``shared`` the texts of all live notes are read once for all steps that don't change them.
     """
-    found = li.links(notes.where("is_note"), "orig", "body")
+    if shared:
+        if state.aimed is None:
+            state.aimed = cut(aimed_links(state, alive(state.items)))
+        found = state.aimed.join(notes.where("is_note").select("orig"), "orig", "left_semi")
+    else:
+        found = aimed_links(state, notes)
     # doubles of doubles: each chain of merges ends at the item that stayed
     merged = descendants(state.items.where("merged_into is not null").select("orig", "merged_into"), "orig", "merged_into")
     last = merged.join(state.items.where("merged_into is not null").select(F.col("orig").alias("root_id"), "merged_into"), "root_id").select(F.col("page_id").alias("goal"), F.col("merged_into").alias("stays"))
-    goals = state.items.select(F.col("orig").alias("goal")).join(last, "goal", "left").select("goal", F.coalesce("stays", "goal").alias("item"))
     ends = state.items.select(F.col("orig").alias("item"), F.col("path").alias("item_path"), F.col("is_note").alias("item_note"), F.col("deleted").alias("item_deleted"))
-    aimed = li.resolve(found, "orig", goals, "goal", path_key)
-    return aimed.join(ends, "item", "left").withColumnRenamed("orig", "note")
+    reached = found.join(last, "goal", "left").withColumn("item", F.coalesce("stays", "goal")).drop("goal", "stays")
+    return reached.join(ends, "item", "left").withColumnRenamed("orig", "note")
 
 
 def attachments(state: State, o: Options) -> None:
