@@ -107,6 +107,8 @@ class State:
     unlinked: DataFrame | None = None
     aimed: DataFrame | None = None  # links of all live notes with what they aim at, while no step changes texts
     ran: list[str] = field(default_factory=list)
+    files: DataFrame | None = None
+    attached: DataFrame | None = None
 
     def log(self, rows: DataFrame, step: str) -> None:
         """Rows with orig, action, detail, to_path and from_path (the last three may be missing)."""
@@ -410,33 +412,42 @@ def finish_links(state: State) -> DataFrame:
     return broken
 
 
-def run(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
-    """Clean a vault: items (with final paths and texts), actions, renames, findings, broken links and what needs attention.
-
-    Unknown step names raise ValueError. Nothing is written; see :func:`write`.
-    """
-    from folioflow.functions.scan import scan
-
+def stepped(files: DataFrame, options: Options | None = None) -> State:
+    """A vault after its steps, links still as they were. Unknown step names raise ValueError."""
     o = options or Options()
     unknown = (set(o.skip) | set(o.only)) - {name for name, _ in STEPS}
     if unknown:
         raise ValueError(f"no such step: {', '.join(sorted(unknown))}")
     loaded = load(files)
-    attached = loaded.where("attached is not null").select("orig", "attached")
-    state = State(loaded.drop("attached"))
+    state = State(loaded.drop("attached"), files=files, attached=loaded.where("attached is not null").select("orig", "attached"))
     for name, step in STEPS:
         if name in o.skip or (o.only and name not in o.only):
             continue
         step(state, o)
         state.ran.append(name)
+    return state
+
+
+def logged(state: State) -> DataFrame:
+    """All that the steps logged, in their order; pointing links at their targets logs nothing."""
+    actions = state.items.sparkSession.createDataFrame([], "step_no int, step string, action string, path string, detail string, to_path string, from_path string")
+    for a in state.actions:
+        actions = actions.unionByName(a)
+    return actions
+
+
+def run(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
+    """Clean a vault: items (with final paths and texts), actions, renames, findings, broken links and what needs attention. Nothing is written; see :func:`write`."""
+    return finished(stepped(files, options))
+
+
+def finished(state: State) -> dict[str, DataFrame]:
+    from folioflow.functions.scan import scan
+
+    files, attached = state.files, state.attached
     broken = finish_links(state)
     text = F.when(F.col("is_note"), F.when(F.col("has_fm"), F.concat(front_matter_text(F.col("fm")), "body")).otherwise(F.col("body")))
     items = cut(alive(state.items).select("path", "orig", "is_note", "digest", "title", "has_fm", "first_title", "body", text.alias("text")))
-    spark = files.sparkSession
-    none = spark.createDataFrame([], "step_no int, step string, action string, path string, detail string, to_path string, from_path string")
-    actions = none
-    for a in state.actions:
-        actions = actions.unionByName(a)
     inner = content(F.col("body"), F.col("first_title"), F.col("title"))
     sparse = F.length(F.regexp_replace(inner, r"(?U)\s", ""))
     lit = lambda kind, c: items.where(c).select(F.lit(kind).alias("kind"), "path")
@@ -448,7 +459,7 @@ def run(files: DataFrame, options: Options | None = None) -> dict[str, DataFrame
         attention = attention.union(files.where("unreadable").select(F.lit("unreadable").alias("kind"), "path"))
     if state.unlinked is not None:
         attention = attention.union(state.unlinked.select(F.lit("unlinked").alias("kind"), "path"))
-    return {"items": items, "actions": actions, "renames": state.renames, "broken": broken, "attention": attention, "findings": scan(items.join(attached, "orig", "left").select("path", F.coalesce("text", "attached", F.lit("")).alias("text")))}
+    return {"items": items, "actions": logged(state), "renames": state.renames, "broken": broken, "attention": attention, "findings": scan(items.join(attached, "orig", "left").select("path", F.coalesce("text", "attached", F.lit("")).alias("text")))}
 
 
 def report(result: dict[str, DataFrame]) -> str:

@@ -58,14 +58,23 @@ def _cleaned(spark: SparkSession, files: DataFrame, *only: str, **options) -> di
     return cl.run(cut(files), cl.Options(only=frozenset(only), **options))
 
 
+_STEPPED: dict[tuple, cl.State] = {}
 _KEPT: dict[tuple, dict[str, DataFrame]] = {}
 
 
+def _stepped_vault(spark: SparkSession, sf_dir: str, *only: str) -> cl.State:
+    """The vault after these steps, once a session; its links are left as they are."""
+    key = (spark.sparkContext.applicationId, sf_dir, only)
+    if key not in _STEPPED:
+        _STEPPED[key] = cl.stepped(cut(vault(spark, sf_dir)), cl.Options(only=frozenset(only)))
+    return _STEPPED[key]
+
+
 def _cleaned_vault(spark: SparkSession, sf_dir: str, *only: str) -> dict[str, DataFrame]:
     """The vault cleaned by these steps, once a session."""
     key = (spark.sparkContext.applicationId, sf_dir, only)
     if key not in _KEPT:
-        _KEPT[key] = _cleaned(spark, vault(spark, sf_dir), *only)
+        _KEPT[key] = cl.finished(_stepped_vault(spark, sf_dir, *only))
     return _KEPT[key]
 
 
@@ -175,4 +184,4 @@ def cleaned_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cleaned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the whole clean-up did, by step and action."""
-    return _cleaned_vault(spark, sf_dir)["actions"].groupBy("step", "action").agg(F.count("*").alias("n"))
+    return cl.logged(_stepped_vault(spark, sf_dir)).groupBy("step", "action").agg(F.count("*").alias("n"))
